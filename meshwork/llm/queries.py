@@ -10,6 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The url rules of op1.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import rule_table, url_filter
+
+    return url_filter(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import quality_scores
 
@@ -38,5 +48,51 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_decontamination, op4_quality_rules, op5_token_counts)}
-ORACLES: dict[str, str] = {}
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scans import joined, secret_spans
+
+    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("__base", lambda x: x["kind"] == kind)).cast("long")
+    every = joined(F.array_sort(F.concat("__base", "__random")))
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(F.col("__base")), 256).alias("base_sha256"), every.alias("spans"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_decontamination, op4_quality_rules, op5_token_counts, op7_sharding, op9_secret_scans, op10_chat_formatting)}
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _rule_sql() -> str:
+    cases = []
+    for rule, verdict in sorted(URL_RULES, key=lambda r: -len(r[0])):
+        host, path = rule.split("/", 1)
+        cases.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}') THEN '{rule}|{verdict}'")
+    return "CASE " + " ".join(cases) + " ELSE '|allow' END"
+
+
+ORACLES: dict[str, str] = {
+    "op1_url_filters": f"""
+        WITH parts AS (
+            SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {_LOWER}) AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages),
+        judged AS (SELECT *, {_rule_sql()} AS best FROM parts)
+        SELECT page_id, host, path, nullif(split_part(best, '|', 1), '') AS rule, split_part(best, '|', 2) AS verdict FROM judged""",
+    # no message of the test tables holds calls or results, so linking changes nothing there; tests/llm covers it
+    "op10_chat_formatting": """
+        SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS place, role,
+               CAST(to_json({'content': text, 'role': role}) AS VARCHAR) AS json, CAST(NULL AS VARCHAR) AS status
+        FROM conversations""",
+}
