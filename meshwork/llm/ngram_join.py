@@ -275,7 +275,7 @@ def links(texts: DataFrame, size: int, threshold: int, bands: tuple = BANDS, blo
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), size: int = 3, threshold: int = 90, **options) -> DataFrame:
-    """keys, n_shingles, key (the text's hash), node_id (smallest id among equal texts) and component_id for each row.
+    """keys, n_shingles, key (the text's hash), group_key (the component's), node_id (smallest id among equal texts) and component_id for each row.
 
     The first of ``keys`` is the id.  A text of fewer words than ``size`` is one n-gram; null and empty texts have an empty set,
     and their row is its own component.  Null ids count only where a component has no other; repeated rows are fine.
@@ -289,7 +289,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
     smallest = meta.filter("n > 0").groupBy("key").agg(F.min(F.col("row")[keys[0]]).alias("node_id"))
     labelled = checkpoint(smallest.join(found, "key", "left"))
     tops = labelled.filter("label is not null").groupBy("label").agg(F.min("node_id").alias("component_id"))
-    named = labelled.join(tops, "label", "left").select("key", "node_id", F.coalesce("component_id", "node_id").alias("component_id"))
+    named = labelled.join(tops, "label", "left").select("key", "node_id", F.coalesce("label", "key").alias("group_key"), F.coalesce("component_id", "node_id").alias("component_id"))
     own = F.col("row")[keys[0]]
     out = meta.join(named, "key", "left")
-    return out.select(*(F.col("row")[c].alias(c) for c in keys), F.col("n").alias("n_shingles"), "key", F.when(F.col("n") > 0, F.col("node_id")).otherwise(own).alias("node_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"))
+    return out.select(*(F.col("row")[c].alias(c) for c in keys), F.col("n").alias("n_shingles"), "key", F.coalesce("group_key", "key").alias("group_key"), F.when(F.col("n") > 0, F.col("node_id")).otherwise(own).alias("node_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """docs with one row of each component: that with the smallest id (nulls last).  Rows without n-grams all stay."""
+    found = checkpoint(near_duplicates(docs, text, (key,), **options).select(F.col(key).alias("id"), "n_shingles", "key", "group_key"))
+    row = lambda i, t: F.xxhash64(F.coalesce(F.col(i).cast("string"), F.lit("null")), t)
+    best = found.filter("n_shingles > 0").groupBy("group_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x"))
+    winners = best.select(F.col("x.id").alias("id"), F.col("x.key").alias("key"), F.lit(True).alias("__one"))
+    bare = found.filter("n_shingles = 0").select("id", "key", F.lit(False).alias("__one")).distinct()
+    stay = winners.unionAll(bare).select(row("id", F.col("key")).alias("__row"), "__one")
+    kept = docs.withColumn("__row", row(key, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))).join(stay, "__row")
+    place = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
+    return kept.withColumn("__place", place).filter(~F.col("__one") | (F.col("__place") == 1)).select(*docs.columns)

@@ -91,17 +91,19 @@ def features(s: k.Slice) -> dict[str, np.ndarray | pa.Array]:
     }
 
 
+def _host_hashes(hosts: pa.Array) -> np.ndarray:
+    return np.concatenate([k.span_hashes(s.data, s.offsets[:-1], s.offsets[1:]) for s in k.slices(hosts)]).view(np.int64) if len(hosts) else np.zeros(0, np.int64)
+
+
 def _scan(text: str, host: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in k.slices(b.column(b.schema.get_field_index(text))):
                 part = b.slice(s.first, s.rows)
                 got = features(s)
-                hosts = next(k.slices(pc.fill_null(part.column(part.schema.get_field_index(host)).cast(pa.string()), "")))
-                while hosts.rows < s.rows:  # never: hosts are shorter than a slice
-                    raise ValueError("host names are too long")
-                got["host_key"] = k.span_hashes(hosts.data, hosts.offsets[:-1], hosts.offsets[1:]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(x)) if x in part.schema.names and x not in got else (got[x] if isinstance(got[x], pa.Array) else pa.array(got[x])) for x in names], names)
+                got["host_key"] = _host_hashes(part.column(part.schema.get_field_index(host)))
+                made = {x: v if isinstance(v, pa.Array) else pa.array(v) for x, v in got.items()}
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(x)) for x in names[: -len(got)]), *(made[x] for x in names[-len(got) :])], names)
 
     return run
 
@@ -135,25 +137,56 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
     return removed.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"))
 
 
+def keep_documents(docs: DataFrame, text: str = "text", host: str = "source", line_limit: int = 20, family_share: float = 0.5, keep_share: float = 0.15, max_broadcast: int = 2_000_000) -> DataFrame:
+    """The rows of docs that quality_rules() keeps, as they are; texts are scanned twice and not shuffled."""
+    names = [x.split()[0] for x in _FEATURES.split(", ")]
+    data = docs.select(F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
+    found = checkpoint(data.mapInArrow(_scan("__text", "__host", names), _FEATURES).select("host_key", "text_key", "family", "lines"))
+    over = checkpoint(frequent_lines(found, line_limit, family_share))
+    if over.count() > max_broadcast:  # whole rows go along
+        columns = tuple(docs.columns)
+        return quality_rules(docs, text, host, columns, line_limit, family_share, keep_share, max_broadcast).filter("kept").select(*columns)
+    columns, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(_line_keys(over))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = k.HashSet(shared.value)
+        for b in _scan("__text", "__host", [*columns, *names])(batches):
+            got = {c: b.column(b.schema.get_field_index(c)) for c in names}
+            n, again = got["n_words"].to_numpy(), got["n_repeat_words"].to_numpy()
+            removed = _removed(frequent, got["host_key"].to_numpy(), got["lines"], got["line_words"])
+            kept = (n >= MIN_WORDS) & (100 * again <= MAX_REPEATED_PERCENT * n) & ~((removed > 0) & (n - removed < keep_share * n))
+            yield b.select(columns).filter(pa.array(kept))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.withColumns({"__text": F.col(text).cast("string"), "__host": F.col(host).cast("string")}).mapInArrow(run, kinds)
+
+
 def _combined(host: np.ndarray, line: np.ndarray) -> np.ndarray:
     return k.mix(line.view(np.uint64) + k.mix(host.view(np.uint64)))
 
 
+def _line_keys(over: DataFrame) -> np.ndarray:
+    rows = over.toArrow()  # the caller has checked the number of rows
+    host, line = (rows.column(c).to_numpy().astype(np.int64) for c in ("host_key", "line"))
+    return np.unique(_combined(host, line))
+
+
+def _removed(frequent: k.HashSet, hosts: pa.Array | np.ndarray, lines: pa.ListArray, counts: pa.ListArray) -> np.ndarray:
+    """Words in frequent lines of each row."""
+    n = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(n)), n)
+    at = frequent.find(_combined(np.asarray(hosts)[row], lines.flatten().to_numpy(zero_copy_only=False).astype(np.int64)))
+    return np.bincount(row[at], weights=counts.flatten().to_numpy(zero_copy_only=False)[at], minlength=len(n)).astype(np.int64)
+
+
 def _removed_by_set(found: DataFrame, over: DataFrame, names: list[str]) -> DataFrame:
-    rows = over.toArrow()
-    column = lambda c: rows.column(c).to_numpy().astype(np.int64)
-    shared = found.sparkSession.sparkContext.broadcast(np.unique(_combined(column("host_key"), column("line"))))
+    shared = found.sparkSession.sparkContext.broadcast(_line_keys(over))
     kept = [n for n in names if n not in ("lines", "line_words", "text_key", "family", "host_key")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = k.HashSet(shared.value)
         for b in batches:
-            lines, counts = b.column(b.schema.get_field_index("lines")), b.column(b.schema.get_field_index("line_words"))
-            n = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(n)), n)
-            host = b.column(b.schema.get_field_index("host_key")).to_numpy()
-            at = frequent.find(_combined(host[row], lines.flatten().to_numpy(zero_copy_only=False).astype(np.int64)))
-            removed = np.bincount(row[at], weights=counts.flatten().to_numpy(zero_copy_only=False)[at], minlength=len(n)).astype(np.int64)
+            removed = _removed(frequent, *(b.column(b.schema.get_field_index(x)) for x in ("host_key", "lines", "line_words")))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(x)) for x in kept), pa.array(removed)], [*kept, "removed_words"])
 
     kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
@@ -196,8 +229,7 @@ def _host_keys(names: list[str]):
                     cuts = np.concatenate([[a], newline[np.searchsorted(newline, a) : np.searchsorted(newline, z)] + 1, [z + 1]])
                     begin, finish = np.searchsorted(w.starts, cuts[:-1]), np.searchsorted(w.starts, np.minimum(cuts[1:], z))
                     out.append(np.where(finish > begin, _sequence_hashes(w.hashes, begin, finish).view(np.int64), 0))
-            hosts = next(k.slices(pc.fill_null(get("__host"), "")))
-            keys = k.span_hashes(hosts.data, hosts.offsets[:-1], hosts.offsets[1:]).view(np.int64)
+            keys = _host_hashes(get("__host"))
             lines = _lists(np.concatenate([np.zeros(0, np.int64), *out]), np.array([len(x) for x in out], np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([*(get(x) for x in names), pa.array(keys), lines], [*names, "host_key", "__lines"])
 

@@ -48,6 +48,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_sampling import encode_pieces
+
+    found = encode_pieces(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", "lossless")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -75,7 +82,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_decontamination, op4_quality_rules, op5_token_counts, op7_sharding, op8_ngram_jaccard_join, op9_secret_scans, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_decontamination, op4_quality_rules, op5_token_counts, op6_piece_sampling, op7_sharding, op8_ngram_jaccard_join, op9_secret_scans, op10_chat_formatting)}
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 

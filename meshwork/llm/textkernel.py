@@ -66,15 +66,22 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+class SpanHasher:
+    """64-bit hashes of data[starts[i]:ends[i]] for one piece of data, from one prefix sum."""
+
+    def __init__(self, data: np.ndarray):
+        powers, self.inverse = _power_tables(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+        return mix(h + (ends - starts).astype(np.uint64) * _Q)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[starts[i]:ends[i]]; data is one piece."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    p, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _Q)
+    return SpanHasher(data)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 @dataclass
