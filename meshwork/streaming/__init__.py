@@ -1,0 +1 @@
+"""Empty on purpose: all programs of the engine are batch programs over a whole graph."""
