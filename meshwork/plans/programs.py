@@ -23,7 +23,7 @@ def _check_source(graph: Graph, source: int) -> None:
 
 def pagerank_program(damping: float, threshold: float, source: int | None, normalise: bool = True) -> Program:
     """Ranks start and teleport evenly, or at a source.  Rank of vertices without out-edges is dropped, and the end is normalised."""
-    even = lambda ctx: F.lit(1.0 / ctx.num_vertices)
+    even = lambda ctx: F.lit(1.0 / max(ctx.num_vertices, 1))
     at = lambda ctx, i: even(ctx) if source is None else (i == source).cast("double")
     return Program(
         init=at,
