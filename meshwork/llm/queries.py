@@ -84,6 +84,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_decontamination, op4_quality_rules, op5_token_counts, op6_piece_sampling, op7_sharding, op8_ngram_jaccard_join, op9_secret_scans, op10_chat_formatting)}
 
+_ALNUM, _NOT_SPACE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
@@ -108,4 +109,30 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS place, role,
                CAST(to_json({'content': text, 'role': role}) AS VARCHAR) AS json, CAST(NULL AS VARCHAR) AS status
         FROM conversations""",
+    "op3_decontamination": rf"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_ALNUM}') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_ALNUM}') AS w FROM benchmark),
+        sized AS (SELECT item_id, w, least(len(w), 10) AS size FROM b WHERE len(w) > 0),
+        wanted AS (SELECT DISTINCT item_id, size, array_to_string(w[i + 1 : i + size], ' ') AS words FROM (SELECT *, unnest(range(len(w) - size + 1)) AS i FROM sized)),
+        sizes AS (SELECT DISTINCT size FROM wanted),
+        seen AS (SELECT rid, size, i, array_to_string(w[i + 1 : i + size], ' ') AS words FROM (SELECT rid, w, size, unnest(range(len(w) - size + 1)) AS i FROM d, sizes WHERE len(w) >= size)),
+        hits AS MATERIALIZED (SELECT rid, item_id, seen.size, i FROM seen JOIN wanted USING (size, words)),
+        covered AS (SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest(range(i, i + size)) AS place FROM hits) GROUP BY rid),
+        items AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY rid)
+        SELECT doc_id, len(w) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)""",
+    "op8_ngram_jaccard_join": rf"""
+        WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_NOT_SPACE}') AS w FROM documents),
+        grams AS MATERIALIZED (
+            SELECT DISTINCT rid, array_to_string(w[i + 1 : i + 3], ' ') AS g FROM (SELECT rid, w, unnest(range(greatest(len(w) - 2, least(len(w), 1)))) AS i FROM d)),
+        sizes AS MATERIALIZED (SELECT rid, count(*) AS n FROM grams GROUP BY rid),
+        common AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM grams a JOIN grams b USING (g) WHERE a.rid <> b.rid GROUP BY ALL),
+        links AS MATERIALIZED (SELECT a, b FROM common JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+        labels(it, rid, l, moved) AS (
+            SELECT 0, rid, doc_id, true FROM d
+            UNION ALL
+            SELECT it + 1, rid, least(l, coalesce(c, l)), coalesce(c < l, false) FROM (
+                SELECT p.it, p.rid, p.l, m.c FROM labels p LEFT JOIN (SELECT b, min(q.l) AS c FROM labels q JOIN links ON a = q.rid GROUP BY b) m ON m.b = p.rid)
+            WHERE (SELECT bool_or(moved) FROM labels))
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, l AS component_id FROM labels JOIN d USING (rid) LEFT JOIN sizes USING (rid) WHERE it = (SELECT max(it) FROM labels)""",
 }
