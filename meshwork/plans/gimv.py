@@ -105,7 +105,7 @@ class Layout:
             self.dense = self._keep(edges.join(few, "src", "left_semi"))
             rest = edges.join(few, "src", "left_anti")
         rows = rest.select("src", "dst", "weight", F.lit(False).alias("self"), F.lit(0).cast("long").alias("degree"), F.lit(False).alias("dense"))
-        self.rows = self._keep(rows.unionAll(selves).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src"))
+        self.rows = self._keep(rows.unionAll(selves).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").sortWithinPartitions("src"))
 
     def _keep(self, df: DataFrame) -> DataFrame:
         self.cached.append(df.persist(StorageLevel.MEMORY_AND_DISK))
