@@ -135,10 +135,9 @@ def adjacency_list_weighted(spark: SparkSession, d: str) -> DataFrame:
     return part_hi(spark, d).adjacency().select("src", "degree", F.array_join(item, " ").alias("nbrs"))
 
 
-@query("SELECT min(weight) AS least, max(weight) AS most, sum(dst) AS total, min(src) AS first, bool_and(weight > 46) AS every, bool_or(weight > 46) AS some FROM part_hi")
+@query("SELECT min(weight) AS least, max(weight) AS most, CAST(sum(dst) AS BIGINT) AS total, min(src) AS first, bool_and(weight > 46) AS every, bool_or(weight > 46) AS some FROM part_hi")
 def global_counters(spark: SparkSession, d: str) -> DataFrame:
     e = part_hi(spark, d).edges.withColumn("big", F.col("weight") > 46)
-    # sum of longs; DuckDB's is wider, which the values do not need
     return e.agg(counter("weight", "min").alias("least"), counter("weight", "max").alias("most"), counter("dst", "sum").alias("total"), counter("src", "min").alias("first"), counter("big", "min", True).alias("every"), counter("big", "sum", True).alias("some"))
 
 
@@ -198,7 +197,7 @@ def edges_of_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rank_sql(graph: str = "part_hi", rounds: int | None = None, alpha: float = 0.85, source: int | None = None, tail: str = "SELECT id, round(r / (SELECT sum(r) FROM last), 9) AS score FROM last") -> str:
-    at = f"1.0::DOUBLE / n" if source is None else f"CASE WHEN id = {source} THEN 1.0::DOUBLE ELSE 0 END"
+    at = "1.0::DOUBLE / n" if source is None else f"CASE WHEN id = {source} THEN 1.0::DOUBLE ELSE 0 END"
     teleport = "1.0 / n" if source is None else f"CASE WHEN p.id = {source} THEN 1.0 ELSE 0 END"
     stop = f"it < {rounds}" if rounds is not None else "(SELECT bool_or(moved) FROM pr)"
     return f"""g AS MATERIALIZED (SELECT src, dst FROM {graph}), size AS MATERIALIZED (SELECT greatest(max(src), max(dst)) + 1 AS n FROM g),
@@ -355,4 +354,4 @@ def normalize_l1(spark: SparkSession, d: str) -> DataFrame:
 def converged_flag(spark: SparkSession, d: str) -> DataFrame:
     result = programs.connected_components(part_hi(spark, d))
     parts = count_all(result.vector.select("value").distinct(), n=F.count("*"))["n"]
-    return spark.range(1).select(F.lit(result.iterations).alias("iterations"), F.lit(result.converged).alias("converged"), F.lit(parts).alias("components"))
+    return spark.range(1).select(F.lit(result.iterations).alias("iterations"), F.lit(result.converged).alias("converged"), F.lit(parts).cast("long").alias("components"))
