@@ -63,6 +63,9 @@ class Program:
     finalize: Callable[[Context, Column], Column] = lambda ctx, value: value
     weighted: bool = False
     kind: str = "double"
+    #: Only vertices that changed in the round before send; for programs whose merge is idempotent (min, max) and whose
+    #: values move one way, as what the others have to say has arrived already.
+    incremental: bool = False
 
 
 @dataclass
@@ -84,6 +87,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cutoff(degrees: DataFrame, threshold: int, most: int) -> int | None:
+    """The out-degree from which vertices are handled as dense: the threshold, or, if more than ``most`` vertices reach it, the
+    least power of two that few enough do; None if no vertex is dense, or too many whatever the cut."""
+    if threshold < 0:
+        return None
+    power = F.floor(F.log2(F.col("degree").cast("double"))).cast("int")
+    classes = {r.power: r.n for r in degrees.filter(is_dense(F.col("degree"), threshold)).groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()}
+    if 0 < sum(classes.values()) <= most:
+        return threshold
+    cut, total = None, 0
+    for p in sorted(classes, reverse=True):
+        total += classes[p]
+        if total > most:
+            break
+        cut = 1 << p
+    return cut
+
+
 class Layout:
     """Edges and self rows in the form that rounds use; cached until close()."""
 
@@ -94,10 +115,10 @@ class Layout:
         edges = graph.edges.select("src", "dst", weight.alias("weight")) if program.weighted else graph.edges.select("src", "dst", F.lit(None).cast("double").alias("weight"))
         degrees = graph.out_degrees().persist(StorageLevel.MEMORY_AND_DISK)
         self.cached = [degrees]
-        hubs = degrees.filter(is_dense(F.col("degree"), threshold)).select(F.col("id").alias("src"))
-        count = hubs.limit(max_broadcast + 1).count() if threshold >= 0 else 0
-        self.hybrid = 0 < count <= max_broadcast
-        flag = is_dense(F.col("degree"), threshold) if self.hybrid else F.lit(False)
+        cut = cutoff(degrees, threshold, max_broadcast)
+        self.hybrid = cut is not None
+        flag = is_dense(F.col("degree"), cut) if self.hybrid else F.lit(False)
+        hubs = degrees.filter(flag).select(F.col("id").alias("src"))
         selves = spark.range(self.n).join(degrees, "id", "left").select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(None).cast("double").alias("weight"), F.lit(True).alias("self"), F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce(flag, F.lit(False)).alias("dense"))
         rest = edges
         if self.hybrid:
@@ -123,10 +144,12 @@ def superstep(layout: Layout, vector: DataFrame, program: Program, ctx: Context,
     sent = program.combine2(ctx, F.col("value"), F.col("out"), F.col("weight"))
     if program.sends is not None:
         sent = F.when(program.sends(ctx, F.col("value")), sent)
+    awake = F.col("changed_at") == iteration - 1 if program.incremental else F.lit(True)
+    rows = rows.filter(F.col("self") | awake)
     mine = lambda c: F.when(F.col("self"), F.col(c))
     messages = rows.select(F.col("dst").alias("to"), F.when(~F.col("self"), sent).alias("message"), mine("value").alias("old"), mine("degree").alias("degree"), mine("dense").alias("dense"), mine("changed_at").alias("changed_at"))
     if layout.hybrid:
-        hubs = F.broadcast(vector.filter("dense").select("id", "value", F.col("degree").alias("out")))
+        hubs = F.broadcast(vector.filter(F.col("dense") & awake).select("id", "value", F.col("degree").alias("out")))
         none = {c: F.lit(None).cast(messages.schema[c].dataType).alias(c) for c in ("old", "degree", "dense", "changed_at")}
         heavy = layout.dense.join(hubs, F.col("src") == F.col("id")).select(F.col("dst").alias("to"), sent.alias("message"), *none.values())
         messages = messages.unionAll(heavy)

@@ -61,6 +61,7 @@ def shortest_paths(graph: Graph, source: int, max_iter: int = -1, unreachable: s
         sends=lambda ctx, value: value.isNotNull(),
         finalize=lambda ctx, value: F.coalesce(value, F.lit(UNREACHABLE)) if unreachable == "sentinel" else value,
         weighted=True,
+        incremental=True,
     )
     return run(graph, program, max_iter, **options)
 
@@ -79,6 +80,7 @@ def label_program(largest: bool = False) -> Program:
         apply=lambda ctx, i, old, message: pick(old, message),
         changed=lambda ctx, old, new: (new > old) if largest else (new < old),
         kind="long",
+        incremental=True,
     )
 
 

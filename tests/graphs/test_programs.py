@@ -66,6 +66,11 @@ def test_rounds_at_once(t1, unroll):
     assert vector(result) == GOLDEN["sssp 3"] and result.iterations == 4
 
 
+def test_cutoff(t1):
+    degrees = t1.out_degrees()  # 2 1 1 2 2
+    assert [gimv.cutoff(degrees, *a) for a in ((-1, 9), (0, 9), (2, 3), (0, 4), (0, 2), (9, 9))] == [None, 0, 2, 2, None, None]
+
+
 def test_limits_and_sources(t1):
     assert programs.connected_components(t1, 0).iterations == 1  # at least one round
     assert vector(programs.shortest_paths(t1, 5, unreachable="sentinel"))[0] == programs.UNREACHABLE
