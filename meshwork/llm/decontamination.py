@@ -136,13 +136,14 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", ke
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", drop_share: float = 0.5, **options) -> DataFrame:
     """docs without the spans of benchmark windows; rows of which more than ``drop_share`` of the words are hit go."""
-    columns = docs.columns
-    found = find_benchmark(docs, benchmark, text=text, keys=tuple(columns), **options)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).cast("string").alias("__body"))
+    found = find_benchmark(rows, benchmark, text="__body", keys=("__row",), carry=("__body",), **options)
     kept = found.filter(F.col("n_hit") <= drop_share * F.col("n_words"))
-    data = F.encode(F.col(text), "UTF-8")
+    data = F.encode(F.col("__body"), "UTF-8")
     # cut from the last span to the first, so offsets stay right
     cut = F.aggregate(F.reverse("spans"), data, lambda rest, x: F.concat(F.substring(rest, F.lit(1), x["start"]), F.substring(rest, x["end"] + 1, F.octet_length(rest))))
-    return kept.withColumn(text, F.when(F.col("n_hit") > 0, F.decode(cut, "UTF-8")).otherwise(F.col(text))).select(*columns)
+    clean = F.when(F.col("n_hit") > 0, F.decode(cut, "UTF-8")).otherwise(F.col("__body"))
+    return kept.select(*(clean.alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns))
 
 
 def items_digest(items: list[str]) -> str:

@@ -281,9 +281,9 @@ def encode_pieces(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = (
     """keys, carry, ids (array of int) and lossless (decoding gives the text back) of each row.
 
     The sample of a row depends on its keys (or ``seed``, a long), its text, the model and the temperature alone; repeated rows are
-    sampled alike.  A null text has null ids; an empty one none.
+    sampled alike.  A null text has null ids; an empty one none.  Columns that are called ids or lossless are replaced.
     """
-    columns = list(dict.fromkeys([*keys, *carry]))
+    columns = [c for c in dict.fromkeys([*keys, *carry]) if c not in ("ids", "lossless")]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     own = F.xxhash64(*keys) if seed is None else seed.cast("long")
 

@@ -140,25 +140,24 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
 def keep_documents(docs: DataFrame, text: str = "text", host: str = "source", line_limit: int = 20, family_share: float = 0.5, keep_share: float = 0.15, max_broadcast: int = 2_000_000) -> DataFrame:
     """The rows of docs that quality_rules() keeps, as they are; texts are scanned twice and not shuffled."""
     names = [x.split()[0] for x in _FEATURES.split(", ")]
-    data = docs.select(F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
+    data = rows.drop("__row")
     found = checkpoint(data.mapInArrow(_scan("__text", "__host", names), _FEATURES).select("host_key", "text_key", "family", "lines"))
     over = checkpoint(frequent_lines(found, line_limit, family_share))
     if over.count() > max_broadcast:  # whole rows go along
-        columns = tuple(docs.columns)
-        return quality_rules(docs, text, host, columns, line_limit, family_share, keep_share, max_broadcast).filter("kept").select(*columns)
-    columns, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(_line_keys(over))
+        return quality_rules(rows, "__text", "__host", ("__row",), line_limit, family_share, keep_share, max_broadcast).filter("kept").select("__row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(_line_keys(over))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = k.HashSet(shared.value)
-        for b in _scan("__text", "__host", [*columns, *names])(batches):
+        for b in _scan("__text", "__host", ["__row", *names])(batches):
             got = {c: b.column(b.schema.get_field_index(c)) for c in names}
             n, again = got["n_words"].to_numpy(), got["n_repeat_words"].to_numpy()
             removed = _removed(frequent, got["host_key"].to_numpy(), got["lines"], got["line_words"])
             kept = (n >= MIN_WORDS) & (100 * again <= MAX_REPEATED_PERCENT * n) & ~((removed > 0) & (n - removed < keep_share * n))
-            yield b.select(columns).filter(pa.array(kept))
+            yield b.select(["__row"]).filter(pa.array(kept))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumns({"__text": F.col(text).cast("string"), "__host": F.col(host).cast("string")}).mapInArrow(run, kinds)
+    return rows.mapInArrow(run, f"__row {rows.schema['__row'].dataType.simpleString()}").select("__row.*")
 
 
 def _combined(host: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -207,10 +206,10 @@ def remove_frequent_lines(docs: DataFrame, text: str = "text", host: str = "sour
     data = docs.select(F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
     over = checkpoint(frequent_lines(checkpoint(data.mapInArrow(_scan("__text", "__host", names), _FEATURES)), line_limit, family_share))
     # lines are matched by their hash here: split, number, drop, join again, all within the row
-    rows = over.groupBy("host_key").agg(F.collect_set("line").alias("__over"))
+    rows = over.groupBy(F.col("host_key").alias("__host_key")).agg(F.collect_set("line").alias("__over"))
     hashed = docs.withColumns({"__text": F.col(text).cast("string"), "__host": F.col(host).cast("string")})
-    keyed = hashed.mapInArrow(_host_keys([*docs.columns]), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", host_key long, __lines array<long>")
-    joined = keyed.join(rows, "host_key", "left")
+    keyed = hashed.mapInArrow(_host_keys([*docs.columns]), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __host_key long, __lines array<long>")
+    joined = keyed.join(rows, "__host_key", "left")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.filter(F.arrays_zip(lines.alias("t"), F.col("__lines").alias("h")), lambda x: ~F.coalesce(F.array_contains(F.col("__over"), x["h"]), F.lit(False)))
     return joined.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(F.transform(kept, lambda x: x["t"]), "\n"))).select(*docs.columns)
@@ -231,6 +230,6 @@ def _host_keys(names: list[str]):
                     out.append(np.where(finish > begin, _sequence_hashes(w.hashes, begin, finish).view(np.int64), 0))
             keys = _host_hashes(get("__host"))
             lines = _lists(np.concatenate([np.zeros(0, np.int64), *out]), np.array([len(x) for x in out], np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(get(x) for x in names), pa.array(keys), lines], [*names, "host_key", "__lines"])
+            yield pa.RecordBatch.from_arrays([*(get(x) for x in names), pa.array(keys), lines], [*names, "__host_key", "__lines"])
 
     return run

@@ -1,7 +1,9 @@
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from meshwork.llm import piece_sampling
+from meshwork.llm import piece_sampling, quality_rules
 from tests.llm.test_ngram_join import brute
 from tests.llm.test_text_rules import base_counts, brute_benchmark
 from tests.llm.test_native import SECRETS, base_spans
@@ -47,8 +49,16 @@ def test_stages(spark, tmp_path):
     assert sum(r.text.count("[SECRET]") for r in got.values()) >= 6
 
 
-def test_columns_and_empty(spark):
-    docs = documents(spark)
-    for _, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[1:2] + corpus_pipeline.STAGES[3:4]:
-        assert stage(spark, docs, "").columns == docs.columns
-        assert stage(spark, empty(spark), "").collect() == []
+def test_columns_and_empty(spark, tmp_path):
+    """Columns of other names, as the operators' own, stay as they are."""
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clash = {c: F.lit("mine") for c in ("n_words", "host_key", "lines", "family", "n_hit", "spans", "items", "kept", "ids", "key", "n_shingles", "group_key")}
+    docs = documents(spark).withColumns(clash)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and 0 < out.filter("n_words = 'mine' and ids = 'mine'").count() <= docs.count()
+        assert stage(spark, empty(spark), str(tmp_path)).collect() == []
+    last = corpus_pipeline.STAGES[4][1](spark, docs, "")
+    assert sorted(last.columns) == sorted([*docs.columns, "lossless"]) and last.filter("lossless").count() == docs.count()
+    kept = quality_rules.keep_documents(docs, max_broadcast=-1)
+    assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, quality_rules.keep_documents(docs).collect()))
