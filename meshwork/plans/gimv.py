@@ -66,6 +66,8 @@ class Program:
     #: Only vertices that changed in the round before send; for programs whose merge is idempotent (min, max) and whose
     #: values move one way, as what the others have to say has arrived already.
     incremental: bool = False
+    #: Raises an error if the program does not fit the graph.
+    check: Callable[[Context], None] | None = None
 
 
 @dataclass
@@ -110,11 +112,12 @@ class Layout:
 
     def __init__(self, graph: Graph, program: Program, threshold: int, max_broadcast: int):
         spark: SparkSession = graph.edges.sparkSession
-        self.n = graph.num_vertices()
         weight = F.col("weight") if program.weighted and graph.weighted else F.lit(1.0)
         edges = graph.edges.select("src", "dst", weight.alias("weight")) if program.weighted else graph.edges.select("src", "dst", F.lit(None).cast("double").alias("weight"))
-        degrees = graph.out_degrees().persist(StorageLevel.MEMORY_AND_DISK)
+        # out-degrees, dense vertices and the number of vertices come from one pass over the edges
+        degrees = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"), F.max("dst").alias("far")).persist(StorageLevel.MEMORY_AND_DISK)
         self.cached = [degrees]
+        self.n = degrees.agg(F.max(F.greatest("id", "far")) + 1).head()[0] or 0
         cut = cutoff(degrees, threshold, max_broadcast)
         self.hybrid = cut is not None
         flag = is_dense(F.col("degree"), cut) if self.hybrid else F.lit(False)
@@ -172,6 +175,8 @@ def run(graph: Graph, program: Program, max_iter: int = -1, dense_threshold: int
     layout = Layout(graph, program, dense_threshold, max_broadcast)
     try:
         ctx = Context(layout.n, dict(params or {}))
+        if program.check is not None:
+            program.check(ctx)
         vector, done, job_ms, converged = initial(layout, program, ctx), 0, [], False
         limit = None if max_iter < 0 else max(1, max_iter)
         at_once = 1 if layout.hybrid else max(1, unroll)  # the hybrid round uses the vector twice

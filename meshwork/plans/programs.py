@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ THRESHOLD = 1e-8
 UNREACHABLE = 8.988465674311579e307
 
 
-def _check_source(graph: Graph, source: int) -> None:
-    n = graph.num_vertices()
-    if not 0 <= source < n:
-        raise ValueError(f"source {source} is not a vertex of 0 to {n - 1}")
+def _is_vertex(source: int) -> Callable[[Context], None]:
+    def check(ctx: Context) -> None:
+        if not 0 <= source < ctx.num_vertices:
+            raise ValueError(f"source {source} is not a vertex of 0 to {ctx.num_vertices - 1}")
+
+    return check
 
 
 def pagerank_program(damping: float, threshold: float, source: int | None, normalise: bool = True) -> Program:
@@ -32,6 +36,7 @@ def pagerank_program(damping: float, threshold: float, source: int | None, norma
         apply=lambda ctx, i, old, message: damping * F.coalesce(message, F.lit(0.0)) + (1 - damping) * at(ctx, i),
         changed=lambda ctx, old, new: F.abs(new - old) > threshold,
         scalars=lambda ctx: {"total": F.sum("value")},
+        check=None if source is None else _is_vertex(source),
         finalize=lambda ctx, value: value / F.lit(ctx.scalars["total"]) if normalise and ctx.scalars.get("total") else value,
     )
 
@@ -42,7 +47,6 @@ def pagerank(graph: Graph, max_iter: int = -1, damping: float = DAMPING, thresho
 
 def random_walk(graph: Graph, source: int, max_iter: int = -1, damping: float = DAMPING, threshold: float = THRESHOLD, **options) -> Result:
     """Random walk with restart (personalised PageRank): teleports go to the source."""
-    _check_source(graph, source)
     return run(graph.unweighted(), pagerank_program(damping, threshold, source), max_iter, **options)
 
 
@@ -51,7 +55,6 @@ def shortest_paths(graph: Graph, source: int, max_iter: int = -1, unreachable: s
 
     Weights may be negative; a negative cycle that can be reached never comes to rest without max_iter.
     """
-    _check_source(graph, source)
     program = Program(
         init=lambda ctx, i: F.when(i == source, F.lit(0.0)),
         combine2=lambda ctx, value, degree, weight: value + weight,
@@ -62,6 +65,7 @@ def shortest_paths(graph: Graph, source: int, max_iter: int = -1, unreachable: s
         finalize=lambda ctx, value: F.coalesce(value, F.lit(UNREACHABLE)) if unreachable == "sentinel" else value,
         weighted=True,
         incremental=True,
+        check=_is_vertex(source),
     )
     return run(graph, program, max_iter, **options)
 
