@@ -9,6 +9,8 @@ and suffix filters; each pair is verified once, on whole sets, and a pair that i
    rarest first: of any m + 1 of them a partner has one.  So the first m + 1 are its prefix, and a text with more than m
    n-grams that no other text has links with nothing - most texts end here.  A text with no more than m n-grams in its band
    would not be safe; if there is one, the bands are moved up and the scan is made again.
+   The first scan also finds, by bounded counters in each task, n-grams that very many texts have (a passage
+   in a third of them, say): these come last in the order without being counted, so no task gathers all texts that have one.
 2. Texts that share a prefix n-gram, and whose lengths allow a link, fall into clusters (connected components by joins).
 3. The texts of a cluster meet in one task, or, for a large cluster, in one task for each pair of its blocks, and are
    joined there exactly: rare-first prefixes, length, positional and suffix (size by range of n-grams) filters, then
@@ -20,6 +22,7 @@ Equal texts are one node throughout (64-bit hash).  N-grams are compared by 64-b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +35,12 @@ from .shared import checkpoint, partitions
 
 #: Band edges (set sizes) and, for each band, the share of the hash space in 1/8.
 BANDS = ((0, 8), (64, 4), (256, 2))
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 256
 BLOCK_GRAMS = 1 << 21
 _SUFFIX_PARTS = 16
+HOT = 16_384  # n-grams that a task reports, and that are held to be hot, at most
+COUNTED = 2_000_000  # n-grams that a task's counter takes in before it is thinned out
+SEEN = 1_000_000  # keys by which a task tells copies
 
 
 def missing(n: np.ndarray, threshold: int) -> np.ndarray:
@@ -64,24 +70,86 @@ def _get(b: pa.RecordBatch, name: str) -> pa.Array:
     return b.column(b.schema.get_field_index(name))
 
 
-def _sizes(size: int):
-    """Rows (doc_id columns as struct, key) with the size of their sets."""
+def band_grams(own: np.ndarray, threshold: int, bands: tuple) -> list[tuple[int, np.ndarray]]:
+    """(band, n-grams of it) for the bands that a set takes part in; the band is mixed into its n-grams."""
+    n, out = len(own), []
+    for band, (low, share) in enumerate(bands):
+        high = bands[band + 1][0] if band + 1 < len(bands) else None
+        # a pair meets in the band of its smaller set, which holds all sets up to 1/t times its upper edge
+        if n >= low and (high is None or threshold * n <= 100 * high):
+            some = own if share == 8 else own[(own >> np.uint64(61)) < np.uint64(share)]
+            out.append((band, k.mix(some + np.uint64(band))))
+    return out
+
+
+class Frequent:
+    """A bounded counter of n-grams over the texts of a task."""
+
+    def __init__(self) -> None:
+        self.grams, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.new: list[np.ndarray] = []
+        self.waiting = self.texts = 0
+
+    def add(self, grams: np.ndarray) -> None:
+        self.new.append(grams)
+        self.waiting += len(grams)
+        if self.waiting > COUNTED:
+            self.merge()
+
+    def merge(self) -> None:
+        grams = np.concatenate([self.grams, *self.new])
+        counts = np.concatenate([self.counts, np.ones(self.waiting, np.int64)])
+        self.grams, at = np.unique(grams, return_inverse=True)
+        self.counts = np.bincount(at, counts, len(self.grams)).astype(np.int64)
+        self.new, self.waiting = [], 0
+        if len(self.grams) > COUNTED // 4:
+            top = np.argsort(-self.counts, kind="stable")[: COUNTED // 4]
+            top.sort()
+            self.grams, self.counts = self.grams[top], self.counts[top]
+
+    def top(self) -> tuple[np.ndarray, np.ndarray]:
+        """Those that at least 64 texts and one in 500 have, the most frequent first."""
+        self.merge()
+        top = np.argsort(-self.counts, kind="stable")[:HOT]
+        top = top[self.counts[top] >= max(64, self.texts // 500)]
+        return self.grams[top].view(np.int64), self.counts[top]
+
+
+def _sizes(size: int, threshold: int, bands: tuple):
+    """(row, key, n) of each row, and at the end of a task one row with its most frequent n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, seen = Frequent(), set()
+        lists = lambda x: pa.array(x, pa.list_(pa.int64()))
+        names = ["row", "key", "n", "hot", "hot_n"]
+        kind = None
         for b in batches:
+            kind = _get(b, "row").type
+            keys = _get(b, "key").to_numpy()
             for s in k.slices(_get(b, "text")):
                 part = b.slice(s.first, s.rows)
-                _, edges = sets(s, size)
-                yield pa.RecordBatch.from_arrays([_get(part, "row"), _get(part, "key"), pa.array(np.diff(edges), pa.int64())], ["row", "key", "n"])
+                h, edges = sets(s, size)
+                for i in range(s.rows):
+                    key = int(keys[s.first + i])
+                    if key not in seen and len(seen) < SEEN:  # copies count once
+                        seen.add(key)
+                        frequent.texts += 1
+                        for _, grams in band_grams(h[edges[i] : edges[i + 1]], threshold, bands):
+                            frequent.add(grams)
+                yield pa.RecordBatch.from_arrays([_get(part, "row"), _get(part, "key"), pa.array(np.diff(edges), pa.int64()), lists([None] * s.rows), lists([None] * s.rows)], names)
+        if kind is not None:
+            grams, counts = frequent.top()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([None], pa.int64()), pa.array([None], pa.int64()), lists([grams.tolist()]), lists([counts.tolist()])], names)
 
     return run
 
 
-def _grams(size: int, threshold: int, bands: tuple):
-    """(key, n, safe, grams): n-grams of each new key in the bands of its size; a gram's band is mixed into it."""
+def _grams(size: int, threshold: int, bands: tuple, shared):
+    """(key, n, band, safe, grams, hot): n-grams of each new key, the hot ones apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        hot = shared.value
         for b in batches:
             keys = _get(b, "key").to_numpy()
             for s in k.slices(_get(b, "text")):
@@ -91,37 +159,38 @@ def _grams(size: int, threshold: int, bands: tuple):
                     key, n = int(keys[s.first + i]), int(edges[i + 1] - edges[i])
                     if not n or key in seen:  # a copy in the same task
                         continue
-                    if len(seen) < 1_000_000:
+                    if len(seen) < SEEN:
                         seen.add(key)
-                    own = h[edges[i] : edges[i + 1]]
-                    for band, (low, share) in enumerate(bands):
-                        high = bands[band + 1][0] if band + 1 < len(bands) else None
-                        # a pair meets in the band of its smaller set, which holds all sets up to 1/t times its upper edge
-                        if n >= low and (high is None or threshold * n <= 100 * high):
-                            some = own if share == 8 else own[(own >> np.uint64(61)) < np.uint64(share)]
-                            out.append((key, n, band, len(some) > n - -(-threshold * n // 100), k.mix(some + np.uint64(band)).view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.bool_()), pa.array([x[4] for x in out], pa.list_(pa.int64()))],
-                    ["key", "n", "band", "safe", "grams"],
-                )
+                    for band, grams in band_grams(h[edges[i] : edges[i + 1]], threshold, bands):
+                        known = k.member(grams, hot)
+                        out.append((key, n, band, len(grams) > n - -(-threshold * n // 100), grams[~known].view(np.int64), grams[known].view(np.int64)))
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)], ["key", "n", "band", "safe", "grams", "hot"])
 
     return run
 
 
-def prefixes(texts: DataFrame, size: int, threshold: int, bands: tuple) -> DataFrame | None:
-    """(key, n, gram): prefix n-grams that more than one text has, of texts that may link; None if a text isn't safe."""
-    found = texts.mapInArrow(_grams(size, threshold, bands), "key long, n int, band int, safe boolean, grams array<long>")
+def prefixes(texts: DataFrame, size: int, threshold: int, bands: tuple, hot: np.ndarray) -> DataFrame | None:
+    """(key, n, gram): prefix n-grams that more than one text has, of texts that may link; None if a text isn't safe.
+
+    N-grams known to be hot come last in the order, and their rows are not gathered to be counted.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(hot)  # HOT at most
+    found = texts.mapInArrow(_grams(size, threshold, bands, shared), "key long, n int, band int, safe boolean, grams array<long>, hot array<long>")
     rows = found.select("key", "n", "band", F.explode(F.when(F.col("safe"), F.col("grams")).otherwise(F.array(F.lit(None).cast("long")))).alias("gram"))
     # a text that isn't safe shows as a null gram, which is dealt by its key
     rows = rows.withColumn("at", F.coalesce("gram", F.col("key"))).repartition("at")
     gram = Window.partitionBy("at")
     once = rows.withColumn("copy", F.lag("key").over(gram.orderBy("key", "band")) == F.col("key")).filter("copy is null or not copy")
-    counted = once.withColumn("df", F.count("*").over(gram))
+    counted = once.select("key", "n", "band", "gram", F.count("*").over(gram).alias("df"))
+    if len(hot):
+        most = F.lit((1 << 63) - 1).alias("df")
+        counted = counted.unionAll(found.filter("safe").select("key", "n", "band", F.explode("hot").alias("gram"), most))
     allowed = F.col("n") - F.ceil(F.col("n") * threshold / 100).cast("int")
     by_text = counted.groupBy("key", "n", "band").agg(
         F.count_if(F.col("gram").isNull()).alias("unsafe"),
         F.count_if(F.col("df") == 1).alias("alone"),
-        F.collect_list(F.when((F.col("df") > 1) & F.col("gram").isNotNull(), F.struct("df", "gram"))).alias("shared"),
+        F.collect_set(F.when((F.col("df") > 1) & F.col("gram").isNotNull(), F.struct("df", "gram"))).alias("shared"),
     )
     kept = checkpoint(by_text.withColumn("m", allowed).filter((F.col("unsafe") > 0) | ((F.col("alone") <= F.col("m")) & (F.size("shared") > 0))))
     if kept.filter("unsafe > 0").head(1):
@@ -147,16 +216,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def clusters(postings: DataFrame, threshold: int) -> DataFrame:
-    """(key, n, cluster) of texts that share a prefix n-gram with another text of a size that allows a link."""
-    by_size = Window.partitionBy("gram").orderBy("n", "key")
-    before = F.lag("n").over(by_size)
-    runs = postings.withColumn("new", F.when(before.isNull() | (100 * before < threshold * F.col("n")), 1).otherwise(0))
-    runs = runs.withColumn("run", F.sum("new").over(by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    run = Window.partitionBy("gram", "run")
-    # a star to the first text of each run connects as well as all pairs do
-    edges = runs.select("key", F.min("key").over(run).alias("first")).filter("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct()
-    found = components(edges)
-    return found.select("key", F.col("label").alias("cluster"))
+    """(key, cluster) of texts that share a prefix n-gram with another text of a size that allows a link.
+
+    Sizes fall into classes as wide as the threshold allows (and a little more), so two linked texts are of one class or of
+    neighbouring ones; each text stands in its class and the next.
+    """
+    size = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / threshold) + 1e-6)).cast("int")
+    placed = postings.select("gram", F.explode(F.array(size, size + 1)).alias("class"), "key")
+    # a star to the first text connects as well as all pairs do
+    firsts = placed.groupBy("gram", "class").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
+    edges = placed.join(firsts, ["gram", "class"]).filter("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct()
+    return components(edges).select("key", F.col("label").alias("cluster"))
 
 
 class Forest:
@@ -253,9 +323,10 @@ def _verify(size: int, threshold: int):
     return run
 
 
-def links(texts: DataFrame, size: int, threshold: int, bands: tuple = BANDS, block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """Forest edges (a, b) between keys of texts (key, text) that link."""
-    while (found := prefixes(texts, size, threshold, bands)) is None:
+def links(texts: DataFrame, size: int, threshold: int, bands: tuple = BANDS, block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS, hot: np.ndarray | None = None) -> DataFrame:
+    """Forest edges (a, b) between keys of texts (key, text) that link; hot: sorted n-grams known to be frequent."""
+    hot = np.zeros(0, np.uint64) if hot is None else hot
+    while (found := prefixes(texts, size, threshold, bands, hot)) is None:
         bands = tuple((2 * low, share) for low, share in bands)
     postings = checkpoint(found)
     near = clusters(postings, threshold)
@@ -274,7 +345,7 @@ def links(texts: DataFrame, size: int, threshold: int, bands: tuple = BANDS, blo
     return met.groupBy("bin").applyInArrow(_verify(size, threshold), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), size: int = 3, threshold: int = 90, **options) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), size: int = 3, threshold: int = 90, bands: tuple = BANDS, **options) -> DataFrame:
     """keys, n_shingles, key (the text's hash), group_key (the component's), node_id (smallest id among equal texts) and component_id for each row.
 
     The first of ``keys`` is the id.  A text of fewer words than ``size`` is one n-gram; null and empty texts have an empty set,
@@ -284,8 +355,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
     key = F.xxhash64(t)
     data = docs.select(F.struct(*(F.col(c) for c in keys)).alias("row"), key.alias("key"), t.alias("text"))
     kind = docs.select(F.struct(*(F.col(c) for c in keys)).alias("row")).schema["row"].dataType.simpleString()
-    meta = checkpoint(data.mapInArrow(_sizes(size), f"row {kind}, key long, n long"))
-    found = components(checkpoint(links(data.select("key", "text").filter("text <> ''"), size, threshold, **options)))
+    scanned = checkpoint(data.mapInArrow(_sizes(size, threshold, bands), f"row {kind}, key long, n long, hot array<long>, hot_n array<long>"))
+    meta = scanned.filter("hot is null").select("row", "key", "n")
+    reports = scanned.filter("hot is not null").select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x"))
+    top = reports.groupBy(F.col("x.hot").alias("gram")).agg(F.sum("x.hot_n").alias("n")).orderBy(F.desc("n"), "gram").limit(HOT).collect()
+    hot = np.sort(np.array([r.gram for r in top], np.int64).view(np.uint64))
+    found = components(checkpoint(links(data.select("key", "text").filter("text <> ''"), size, threshold, bands, hot=hot, **options)))
     smallest = meta.filter("n > 0").groupBy("key").agg(F.min(F.col("row")[keys[0]]).alias("node_id"))
     labelled = checkpoint(smallest.join(found, "key", "left"))
     tops = labelled.filter("label is not null").groupBy("label").agg(F.min("node_id").alias("component_id"))

@@ -70,6 +70,23 @@ def test_other_sizes(spark):
     assert ngram_join.near_duplicates(empty(spark)).collect() == []
 
 
+def test_hot_ngrams(spark):
+    """A passage in most texts, and a large group of near copies: the counters find their n-grams."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage, base = [word() for _ in range(25)], [word() for _ in range(80)]
+    texts = [" ".join(passage + [word() for _ in range(rng.randint(2, 60))]) for _ in range(150)]
+    texts += [" ".join(w if rng.random() > 0.02 else word() for w in base) for _ in range(150)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    frequent = ngram_join.Frequent()
+    frequent.texts = 100
+    for _ in range(70):
+        frequent.add(np.array([5, 7], np.uint64))
+    assert frequent.top()[0].tolist() == [5, 7]
+    got = ngram_join.near_duplicates(docs, block_rows=20).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute([*enumerate(texts)]))
+
+
 def test_local_join():
     rng = random.Random(1)
     base = [rng.sample(range(1000), rng.randint(5, 60)) for _ in range(6)]
