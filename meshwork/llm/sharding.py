@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpoint, ranked
+from .shared import checkpoint, partitions, ranked
 
 _CLASSES = 64  # gains are ordered by their power of two
 
@@ -92,6 +92,27 @@ def _fill(rank: Column, label: Column, linked: list[int], singles: int, shards:
     return shard, slot.cast("long")
 
 
+def _labelled(placed: DataFrame, cells: DataFrame, shards: int, total: int) -> DataFrame:
+    """placed with the label of each document: the shard of its cell, or ``shards`` if it has no links.
+
+    Documents are numbered by group, so a cell (group, shard, n, first) is a run of numbers.  Runs and documents are dealt by
+    number, in chunks of equal size however large a group is, and a sweep hands each document the run that is open.
+    """
+    chunk = max(1, -(-total // (4 * partitions(placed.sparkSession))))
+    of = lambda c: F.call_function("div", F.col(c) if isinstance(c, str) else c, F.lit(chunk))
+    ends = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = cells.withColumn("high", F.col("first") + F.sum("n").over(ends)).withColumn("low", F.col("high") - F.col("n"))
+    parts = runs.select("shard", "low", "high", F.explode(F.sequence(of("low"), of(F.col("high") - 1))).alias("chunk"))
+    none = F.lit(None).cast(placed.schema["row"].dataType).alias("row")
+    blank = lambda at, kind, label: [F.col("chunk"), at.alias("at"), F.lit(kind).alias("kind"), label.cast("int").alias("label"), none, *(F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in ("size", "text_crc32", "group"))]
+    opens = parts.select(*blank(F.greatest(F.col("low"), F.col("chunk") * chunk), 1, F.col("shard")))
+    closes = parts.select(*blank(F.col("high"), 0, F.lit(shards))).filter((F.col("at") < (F.col("chunk") + 1) * chunk))
+    rows = placed.select(of("at").alias("chunk"), "at", F.lit(2).alias("kind"), F.lit(None).cast("int").alias("label"), "row", "size", "text_crc32", "group")
+    sweep = Window.partitionBy("chunk").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = rows.unionAll(opens).unionAll(closes).withColumn("label", F.coalesce(F.last("label", ignorenulls=True).over(sweep), F.lit(shards)))
+    return swept.filter("kind = 2").select("row", "size", "text_crc32", "group", "at", "label")
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", keys: tuple[str, ...] = ("doc_id",), rounds: int = 4) -> DataFrame:
     """keys, size (UTF-8 bytes of the text and 1), text_crc32, law (``rows``), shard, slot (from 0, without gaps).
 
@@ -107,12 +128,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", keys:
     counted = checkpoint(counted.withColumns({"total": F.sum("n").over(everywhere), "first": F.min("first").over(everywhere)}).filter("total > 1"))
     total = placed.count()
     cells = propagate(counted.select("group", "shard", "n"), shards, total / shards, rounds)
-    ends = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shares = cells.withColumn("end", F.sum("n").over(ends)).groupBy("group").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("shares"))
-    shares = shares.join(counted.groupBy("group").agg(F.min("first").alias("first")), "group")
-    joined = placed.join(shares, "group", "left")
-    own = F.get(F.filter("shares", lambda x: x["end"] > F.col("at") - F.col("first")), F.lit(0))["shard"]
-    labelled = joined.select("row", "size", "text_crc32", "group", "at", F.coalesce(own, F.lit(shards)).alias("label"))
+    labelled = _labelled(placed, cells.join(counted.groupBy("group").agg(F.min("first").alias("first")), "group"), shards, total)
     ordered = ranked(labelled, "label", "group", "at", name="place")
     load = {r.shard: int(r.n) for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     linked = [load.get(s, 0) for s in range(shards)]
