@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from . import textkernel as k
 from .shared import checkpoint, partitions
 
-#: Band edges (set sizes) and, for each band, the share of the hash space in 1/8.
-BANDS = ((0, 8), (64, 4), (256, 2))
+#: By threshold: band edges (set sizes) and, for each band, the share of the hash space in 1/8.  A share has to be well above
+#: what a set can lack; below the last threshold everything is used.
+BANDS = ((90, ((0, 8), (64, 4), (256, 2))), (80, ((0, 8), (64, 5), (128, 4), (512, 3))), (0, ((0, 8),)))
 BLOCK_ROWS = 256
 BLOCK_GRAMS = 1 << 21
 _SUFFIX_PARTS = 16
@@ -43,6 +44,10 @@ COUNTED = 2_000_000  # n-grams that a task's counter takes in before it is thinn
 SEEN = 1_000_000  # keys by which a task tells copies
 
 
+def bands_for(threshold: int) -> tuple:
+    return next(bands for least, bands in BANDS if threshold >= least)
+
+
 def missing(n: np.ndarray, threshold: int) -> np.ndarray:
     """How many elements of a set of n a linked set can lack."""
     return n - -(-threshold * n // 100)
@@ -323,7 +328,7 @@ def _verify(size: int, threshold: int):
     return run
 
 
-def links(texts: DataFrame, size: int, threshold: int, bands: tuple = BANDS, block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS, hot: np.ndarray | None = None) -> DataFrame:
+def links(texts: DataFrame, size: int, threshold: int, bands: tuple, block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS, hot: np.ndarray | None = None) -> DataFrame:
     """Forest edges (a, b) between keys of texts (key, text) that link; hot: sorted n-grams known to be frequent."""
     hot = np.zeros(0, np.uint64) if hot is None else hot
     while (found := prefixes(texts, size, threshold, bands, hot)) is None:
@@ -345,12 +350,13 @@ def links(texts: DataFrame, size: int, threshold: int, bands: tuple = BANDS, blo
     return met.groupBy("bin").applyInArrow(_verify(size, threshold), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), size: int = 3, threshold: int = 90, bands: tuple = BANDS, **options) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), size: int = 3, threshold: int = 90, bands: tuple | None = None, **options) -> DataFrame:
     """keys, n_shingles, key (the text's hash), group_key (the component's), node_id (smallest id among equal texts) and component_id for each row.
 
     The first of ``keys`` is the id.  A text of fewer words than ``size`` is one n-gram; null and empty texts have an empty set,
     and their row is its own component.  Null ids count only where a component has no other; repeated rows are fine.
     """
+    bands = bands or bands_for(threshold)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     key = F.xxhash64(t)
     data = docs.select(F.struct(*(F.col(c) for c in keys)).alias("row"), key.alias("key"), t.alias("text"))
@@ -370,9 +376,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
     return out.select(*(F.col("row")[c].alias(c) for c in keys), F.col("n").alias("n_shingles"), "key", F.coalesce("group_key", "key").alias("group_key"), F.when(F.col("n") > 0, F.col("node_id")).otherwise(own).alias("node_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, threshold: int = 80, **options) -> DataFrame:
     """docs with one row of each component: that with the smallest id (nulls last).  Rows without n-grams all stay."""
-    found = checkpoint(near_duplicates(docs, text, (key,), **options).select(F.col(key).alias("id"), "n_shingles", "key", "group_key"))
+    found = checkpoint(near_duplicates(docs, text, (key,), size, threshold, **options).select(F.col(key).alias("id"), "n_shingles", "key", "group_key"))
     row = lambda i, t: F.xxhash64(F.coalesce(F.col(i).cast("string"), F.lit("null")), t)
     best = found.filter("n_shingles > 0").groupBy("group_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x"))
     winners = best.select(F.col("x.id").alias("id"), F.col("x.key").alias("key"), F.lit(True).alias("__one"))

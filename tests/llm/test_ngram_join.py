@@ -62,11 +62,12 @@ def test_components(spark, options):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute(rows))
 
 
-def test_other_sizes(spark):
-    docs = documents(spark, corpus(8)[:150])
+@pytest.mark.parametrize("size,threshold", [(5, 80), (2, 60)])
+def test_other_sizes(spark, size, threshold):
+    docs = documents(spark, corpus(8)[:250])
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = ngram_join.near_duplicates(docs, size=5, threshold=80).collect()
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute(rows, 5, 80))
+    got = ngram_join.near_duplicates(docs, size=size, threshold=threshold).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute(rows, size, threshold))
     assert ngram_join.near_duplicates(empty(spark)).collect() == []
 
 

@@ -18,7 +18,7 @@ def expected(rows):
     """rows: (doc_id, text); the texts that stay."""
     rows = [r for r in rows if not base_counts(r[1])[5]]
     kept, seen = [], set()
-    for (d, t), (_, n, c) in zip(rows, brute(rows), strict=True):
+    for (d, t), (_, n, c) in zip(rows, brute(rows, 5, 80), strict=True):
         if n == 0 or (d == c and (c not in seen)):
             seen.add(c)
             kept.append((d, t))
