@@ -2,9 +2,12 @@
 
 Method: every line is normalised (ASCII lower case, white space collapsed) and hashed; for each host the distinct
 documents with a line are counted; lines above the limit are taken out, and a document of which hardly anything is left
-is rejected.  Exact copies count as one document.  Near copies count as one *family* (a pair of min-hashes over
-five-word windows): a line is over the limit only if more than ``line_limit`` families have it and they are at least
-``family_share`` of the documents with it, so a clean text does not fall because it was copied often.
+is rejected.  Exact copies count as one document, and near copies as one *family*, so a clean text does not fall because
+it was copied often: a line is over the limit if more than ``line_limit`` families have it.
+
+A family is told from the text outside the lines that many documents share, so pages of one template with a short part of
+their own are independent.  A near copy differs from them in that its own lines stand in place of shared lines that the
+texts most like it have: it is known by those missing lines, and takes its family from the shared lines that it has.
 
 One scan of the texts: all that follows works on hashes, which are checkpointed once.
 """
@@ -28,7 +31,12 @@ _WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 
-_FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, host_key long, text_key long, family long, lines array<long>, line_words array<int>"
+_FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, host_key long, text_key long, family long, lines array<long>, line_words array<int>, line_lows array<long>"
+_SALTS = 4
+#: Shared lines up to this number are broadcast in joins.
+_FEW = 200_000
+#: Words that a near copy may have beyond those of the lines it lacks, and may lack, as shares of its words.
+_MORE, _LACKS = 0.02, 0.5
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -84,10 +92,16 @@ def features(s: k.Slice) -> dict[str, np.ndarray | pa.Array]:
     _, one, inverse = np.unique(pair, return_index=True, return_inverse=True)
     total = np.bincount(inverse, weights=(finish - begin)[full], minlength=len(one)).astype(np.int64)
     order = np.argsort(line_row[one], kind="stable")
+    # the least hash of the windows that begin in a line; the line's own where none does
+    at_line = np.searchsorted(finish[full], at, side="right")
+    inside = at_line < len(normal)
+    inside[inside] = at[inside] >= begin[full][at_line[inside]]
+    lows = _per_row_min(k.mix(h[inside] ^ np.uint64(0x51)), at_line[inside], len(normal), k.mix(normal))
     return {
         "n_words": w.counts, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeat_words,
         "text_key": texts.view(np.int64), "family": k.mix(low[0] * np.uint64(3) + low[1]).view(np.int64),
         "lines": _lists(normal[one][order].view(np.int64), np.bincount(line_row[one], minlength=rows), pa.int64()), "line_words": _lists(total[order], np.bincount(line_row[one], minlength=rows), pa.int32()),
+        "line_lows": _lists(lows[one][order].view(np.int64), np.bincount(line_row[one], minlength=rows), pa.int64()),
     }
 
 
@@ -108,15 +122,47 @@ def _scan(text: str, host: str, names: list[str]):
     return run
 
 
-def frequent_lines(found: DataFrame, line_limit: int, family_share: float) -> DataFrame:
-    """(host_key, line) of lines over the limit; each distinct text of a host counts once."""
-    once = found.groupBy("host_key", "text_key").agg(F.first("family").alias("family"), F.first("lines").alias("lines"))
-    rows = once.select("host_key", "family", F.explode("lines").alias("line"))
-    each = rows.groupBy("host_key", "line", "family").agg(F.count("*").alias("n"))
-    return each.groupBy("host_key", "line").agg(F.count("*").alias("families"), F.sum("n").alias("texts")).filter((F.col("families") > line_limit) & (F.col("families") >= family_share * F.col("texts"))).select("host_key", "line")
-
-
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", keys: tuple[str, ...] = ("doc_id",), line_limit: int = 20, family_share: float = 0.5, keep_share: float = 0.15, max_broadcast: int = 2_000_000) -> DataFrame:
+def _families(once: DataFrame, shared: DataFrame) -> DataFrame:
+    """(host_key, family, shared: array of (line, words)) of each distinct text that has lines of ``shared``."""
+    few = shared.count() <= _FEW
+    small = (lambda t: F.broadcast(t)) if few else (lambda t: t)
+    x = F.explode(F.arrays_zip("lines", "line_words", "line_lows")).alias("x")
+    rows = once.select("host_key", "text_key", "n_words", "family", x).select("host_key", "text_key", "n_words", "family", F.col("x.lines").alias("line"), F.col("x.line_words").alias("here"), F.col("x.line_lows").alias("low"))
+    marked = rows.join(small(shared), ["host_key", "line"], "left")
+    has = F.col("words").isNotNull()
+    picks = [F.min_by("line", F.when(has, F.xxhash64("line", F.lit(i)))).alias(f"pick{i}") for i in range(_SALTS)]
+    made = marked.groupBy("host_key", "text_key").agg(
+        F.first("n_words").alias("n_words"), F.first("family").alias("family"), F.sum(F.when(has, 0).otherwise(F.col("here"))).alias("own"),
+        F.min(F.when(~has, F.col("low"))).alias("own_low"), F.collect_list(F.when(has, F.struct("line", "words"))).alias("shared"), *picks)
+    texts = checkpoint(made.filter(F.size("shared") > 0))
+    # the lines that at least half of the texts have that agree in a pick
+    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("salt"), F.col(f"pick{i}").alias("pick")) for i in range(_SALTS)))).alias("key")
+    each = texts.select("host_key", keys, "shared").select("host_key", "key", F.explode("shared").alias("s"))
+    # all texts of a group have the pick itself, so its count is the size of the group
+    counts = each.groupBy("host_key", "key", "s").agg(F.count("*").alias("n"))
+    lists = counts.groupBy("host_key", "key").agg(F.max("n").alias("most"), F.collect_list(F.struct("n", "s")).alias("all"))
+    usual = checkpoint(lists.select("host_key", "key.salt", "key.pick", F.transform(F.filter("all", lambda v: 2 * v["n"] >= F.col("most")), lambda v: v["s"]).alias("usual")))
+    for i in range(_SALTS):
+        texts = texts.join(small(usual.filter(F.col("salt") == i).select("host_key", F.col("pick").alias(f"pick{i}"), F.col("usual").alias(f"usual{i}"))), ["host_key", f"pick{i}"])
+    absent = F.array_except(F.array_distinct(F.concat(*(f"usual{i}" for i in range(_SALTS)))), F.col("shared"))
+    lacks = F.aggregate(absent, F.lit(0).cast("long"), lambda a, v: a + v["words"])
+    near = (F.col("lacks") > 0) & (F.col("own") <= F.col("lacks") + _MORE * F.col("n_words")) & (F.col("lacks") <= _LACKS * F.col("n_words"))
+    family = F.when(near, F.col("pick0")).when(F.col("own") > 0, F.col("own_low")).otherwise(F.col("family"))
+    return texts.withColumn("lacks", lacks).select("host_key", family.alias("family"), "shared")
+
+
+def frequent_lines(found: DataFrame, line_limit: int) -> DataFrame:
+    """(host_key, line) of lines over the limit; each distinct text of a host counts once, and each family."""
+    firsts = [F.first(c).alias(c) for c in ("n_words", "family", "lines", "line_words", "line_lows")]
+    once = checkpoint(found.groupBy("host_key", "text_key").agg(*firsts))
+    rows = once.select("host_key", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
+    shared = rows.groupBy("host_key", F.col("x.lines").alias("line")).agg(F.count("*").alias("n"), F.min("x.line_words").cast("long").alias("words"))
+    shared = checkpoint(shared.filter(F.col("n") > line_limit).drop("n"))
+    each = _families(once, shared).select("host_key", "family", F.explode("shared.line").alias("line")).distinct()
+    return each.groupBy("host_key", "line").agg(F.count("*").alias("families")).filter(F.col("families") > line_limit).select("host_key", "line")
+
+
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", keys: tuple[str, ...] = ("doc_id",), line_limit: int = 20, keep_share: float = 0.15, max_broadcast: int = 2_000_000) -> DataFrame:
     """Returns keys, the base counts, removed_words, base_failed and kept for each row of docs.
 
     Null text has no words, null hosts share one host, repeated rows are judged alike, an empty table gives none, and columns other
@@ -127,7 +173,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
     data = docs.select(*(F.col(c) for c in keys), F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
     found = checkpoint(data.mapInArrow(_scan("__text", "__host", names), f"{kinds}, {_FEATURES}"))
-    over = checkpoint(frequent_lines(found, line_limit, family_share))
+    over = checkpoint(frequent_lines(found, line_limit))
     if over.count() <= max_broadcast:
         removed = _removed_by_set(found, over, names)
     else:
@@ -137,15 +183,15 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
     return removed.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"))
 
 
-def keep_documents(docs: DataFrame, text: str = "text", host: str = "source", line_limit: int = 20, family_share: float = 0.5, keep_share: float = 0.15, max_broadcast: int = 2_000_000) -> DataFrame:
+def keep_documents(docs: DataFrame, text: str = "text", host: str = "source", line_limit: int = 20, keep_share: float = 0.15, max_broadcast: int = 2_000_000) -> DataFrame:
     """The rows of docs that quality_rules() keeps, as they are; texts are scanned twice and not shuffled."""
     names = [x.split()[0] for x in _FEATURES.split(", ")]
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
     data = rows.drop("__row")
-    found = checkpoint(data.mapInArrow(_scan("__text", "__host", names), _FEATURES).select("host_key", "text_key", "family", "lines"))
-    over = checkpoint(frequent_lines(found, line_limit, family_share))
+    found = checkpoint(data.mapInArrow(_scan("__text", "__host", names), _FEATURES).select("host_key", "text_key", "n_words", "family", "lines", "line_words", "line_lows"))
+    over = checkpoint(frequent_lines(found, line_limit))
     if over.count() > max_broadcast:  # whole rows go along
-        return quality_rules(rows, "__text", "__host", ("__row",), line_limit, family_share, keep_share, max_broadcast).filter("kept").select("__row.*")
+        return quality_rules(rows, "__text", "__host", ("__row",), line_limit, keep_share, max_broadcast).filter("kept").select("__row.*")
     shared = docs.sparkSession.sparkContext.broadcast(_line_keys(over))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +226,7 @@ def _removed(frequent: k.HashSet, hosts: pa.Array | np.ndarray, lines: pa.ListAr
 
 def _removed_by_set(found: DataFrame, over: DataFrame, names: list[str]) -> DataFrame:
     shared = found.sparkSession.sparkContext.broadcast(_line_keys(over))
-    kept = [n for n in names if n not in ("lines", "line_words", "text_key", "family", "host_key")]
+    kept = [n for n in names if n not in ("lines", "line_words", "line_lows", "text_key", "family", "host_key")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = k.HashSet(shared.value)
@@ -200,11 +246,11 @@ def _removed_by_join(found: DataFrame, over: DataFrame) -> DataFrame:
     return found.join(sums, ["host_key", "text_key"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
 
 
-def remove_frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", line_limit: int = 20, family_share: float = 0.5) -> DataFrame:
+def remove_frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", line_limit: int = 20) -> DataFrame:
     """docs with the lines over the limit taken out of their texts (all other lines, blank ones too, stay as they are)."""
     names = [x.split()[0] for x in _FEATURES.split(", ")]
     data = docs.select(F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
-    over = checkpoint(frequent_lines(checkpoint(data.mapInArrow(_scan("__text", "__host", names), _FEATURES)), line_limit, family_share))
+    over = checkpoint(frequent_lines(checkpoint(data.mapInArrow(_scan("__text", "__host", names), _FEATURES)), line_limit))
     # lines are matched by their hash here: split, number, drop, join again, all within the row
     rows = over.groupBy(F.col("host_key").alias("__host_key")).agg(F.collect_set("line").alias("__over"))
     hashed = docs.withColumns({"__text": F.col(text).cast("string"), "__host": F.col(host).cast("string")})

@@ -61,6 +61,22 @@ def test_frequent_lines(spark, boilerplate, limit):
     assert cut[0] == texts[0].rsplit("\n", 1)[0] and len(cut[mixed]) < 0.6 * len(texts[mixed])
 
 
+@pytest.mark.parametrize(("template", "own", "lines"), [(18, 20, 1), (9, 10, 1), (9, 6, 1), (18, 24, 3)])
+def test_template_pages(spark, template, own, lines):
+    rng = random.Random(6)
+    same = [_words(rng, 10 if template > 9 or own == 10 else 5) for _ in range(template)]
+    pages = []
+    for _ in range(200):
+        page = list(same)
+        for _ in range(lines):
+            page.insert(rng.randrange(len(page) + 1), _words(rng, own // lines))
+        pages.append("\n".join(page))
+    clean = ["\n".join(_words(rng, 12) for _ in range(6)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(pages + clean)], "doc_id long, text string, source string")
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs).collect()}
+    assert [i for i in range(200) if kept[i]] == [] and all(kept[i] for i in range(200, 230))
+
+
 def brute_benchmark(text, items, window=10):
     find = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
     words, hit, found = find(text), set(), set()
