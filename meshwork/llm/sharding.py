@@ -3,9 +3,9 @@
 Every document begins in the shard of its hash.  In each round the documents of a group look at where the others are, and
 those outside the group's largest shard ask to move there.  A shard takes movers up to its quota, those with most to gain
 first.  As documents of a group and shard are alike, the state is one row for each group and shard (at most as
-many rows a group as there are shards), however large a group is; only groups of two or more take part.  A group that is
-large beside a shard moves in part.  In the end shards are filled to exact quotas: linked documents stay where they are
-up to the quota, and documents without links, which cost no edge anywhere, fill the rest.
+many rows a group as there are shards), however large a group is; only groups of two or more take part.  A group that
+fits nowhere moves in part and fills one shard after the other.  There are four rounds at most.
+In the end shards are filled to exact quotas: linked documents stay where they are up to the quota, and documents without links, which cost no edge anywhere, fill the rest.
 
 Numbers per shard (a few hundred) are all that reaches the driver.  DataFrame functions only.
 """
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from .shared import checkpoint, partitions, ranked
 
 _CLASSES = 64  # gains are ordered by their power of two
+_IDLE = 3  # rounds without a move that end the loop: which groups move is by chance where not all can
 
 
-def _unit(*columns: str) -> Column:
+def _unit(*columns: str | Column) -> Column:
     """A number in [0, 1) from a hash."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)).cast("double") / float(1 << 30)
 
@@ -40,31 +41,47 @@ def _accepted(moves: DataFrame, room: list[float]) -> Column:
     return F.get(table, F.col("target") * _CLASSES + F.col("gain"))
 
 
-def propagate(cells: DataFrame, shards: int, capacity: float, rounds: int) -> DataFrame:
-    """cells (group, shard, n) after the rounds; documents are moved, none are made or lost."""
+def propagate(cells: DataFrame, shards: int, capacity: float, rounds: int = 4) -> DataFrame:
+    """cells (group, shard, n) after rounds until no move is accepted; documents are moved, none are made or lost.
+
+    A group that fits somewhere moves as a whole and never again.  One that fits nowhere moves from its smaller cells into its largest
+    that has room, so the squares of its cells add up to more after each move: rounds come to an end.
+    """
     group = Window.partitionBy("group")
-    for _ in range(rounds):
+    idle = 0
+    for at in range(rounds):
         load = {r.shard: r.n for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = [max(0.0, capacity - load.get(s, 0)) for s in range(shards)]
         free = F.get(F.array(*map(F.lit, room)), F.col("shard"))
         sized = cells.withColumn("total", F.sum("n").over(group))
-        # the neighbours' largest shard that has room for the rest; else the emptiest shard; a group too large for any keeps its largest
+        # the neighbours' largest shard that has room for the rest; else the emptiest shard; else the largest that has any room
         fits = (F.col("total") - F.col("n")) <= free
         order = F.struct("n", F.xxhash64("group", "shard").alias("tie"))
-        emptiest = F.when(F.col("total") <= max(room, default=0.0), F.lit(room.index(max(room))))
+        whole = F.col("total") <= max(room, default=0.0)
+        emptiest = F.when(whole, F.lit(room.index(max(room))))
         best = F.max_by(F.when(fits, F.col("shard")), F.when(fits, order)).over(group)
-        seen = sized.withColumn("target", F.coalesce(best, emptiest, F.max_by("shard", order).over(group)))
+        open_ = free >= 1
+        part = F.max_by(F.when(open_, F.col("shard")), F.when(open_, order)).over(group)
+        seen = sized.withColumns({"best": F.coalesce(best, emptiest), "part": part, "top": F.max(F.when(open_, order)).over(group)})
         # groups that fit nowhere come last: they are cut anyway, and take only what room the others leave
-        whole = F.col("total") <= max(room, default=0.0)
-        gain = F.when(whole, F.least(F.floor(F.log2(F.max("n").over(group).cast("double"))) + 1, F.lit(_CLASSES - 1))).otherwise(0).cast("int")
-        seen = checkpoint(seen.withColumn("gain", gain))
-        moves = seen.filter(F.col("shard") != F.col("target"))
+        large = F.col("best").isNull()
+        gain = F.when(large, 0).otherwise(F.least(F.floor(F.log2(F.max("n").over(group).cast("double"))) + 1, F.lit(_CLASSES - 1))).cast("int")
+        seen = seen.withColumns({"gain": gain, "target": F.coalesce("best", "part"), "large": large})
+        seen = checkpoint(seen.withColumn("moves", F.coalesce((F.col("shard") != F.col("target")) & (~F.col("large") | (order < F.col("top"))), F.lit(False))))
+        moves = seen.filter("moves")
         if not moves.head(1):
-            break
+            return cells
         share = _accepted(moves, room)
-        large = ~whole
-        moved = F.when(F.col("shard") == F.col("target"), F.lit(0)).when(large & (share < 1), F.floor(F.col("n") * share)).when(_unit("group") < share, F.col("n")).otherwise(F.lit(0)).cast("long")
-        after = seen.withColumn("moved", moved)
+        # a part of a cell is rounded up or down by chance, so that many small cells fill the room too
+        some = F.least(F.col("n"), F.floor(F.col("n") * share + _unit("group", "shard", F.lit(at))))
+        moved = F.when(~F.col("moves"), F.lit(0)).when(F.col("large"), some).when(_unit("group", F.lit(at)) < share, F.col("n")).otherwise(F.lit(0)).cast("long")
+        after = checkpoint(seen.withColumn("moved", moved))
+        if not after.filter("moved > 0").head(1):
+            idle += 1
+            if idle == _IDLE:
+                return cells
+            continue
+        idle = 0
         stay = after.select("group", "shard", (F.col("n") - F.col("moved")).alias("n"))
         come = after.select("group", F.col("target").alias("shard"), F.col("moved").alias("n"))
         cells = checkpoint(stay.unionAll(come).filter("n > 0").groupBy("group", "shard").agg(F.sum("n").alias("n")))

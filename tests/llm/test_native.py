@@ -70,6 +70,17 @@ def test_shards(spark):
         check_shards(few.collect(), sharding.shard_documents(few, 8).collect(), 8)
 
 
+def cells(spark, groups, size, shards):
+    rng = random.Random(4)
+    n = Counter((str(g), rng.randrange(shards)) for g in range(groups) for _ in range(size))
+    return spark.createDataFrame([(*k, x) for k, x in n.items()], "group string, shard int, n long")
+
+
+def test_large_group_fills_few_shards(spark):
+    got = sharding.propagate(cells(spark, 1, 400, 12), 12, 100.0).collect()
+    assert sum(r.n for r in got) == 400 and sum(sorted(r.n for r in got)[-4:]) >= 392
+
+
 def base_spans(text):
     text = text or ""
     out = []
