@@ -4,7 +4,7 @@ Every document begins in the shard of its hash.  In each round the documents of
 those outside the group's largest shard ask to move there.  A shard takes movers up to its quota, those with most to gain
 first.  As documents of a group and shard are alike, the state is one row for each group and shard (at most as
 many rows a group as there are shards), however large a group is; only groups of two or more take part.  A group that
-fits nowhere moves in part and fills one shard after the other.  There are four rounds at most.
+fits nowhere moves in part and fills one shard after the other.  Rounds go on until no move is accepted.
 In the end shards are filled to exact quotas: linked documents stay where they are up to the quota, and documents without links, which cost no edge anywhere, fill the rest.
 
 Numbers per shard (a few hundred) are all that reaches the driver.  DataFrame functions only.
@@ -41,15 +41,15 @@ def _accepted(moves: DataFrame, room: list[float]) -> Column:
     return F.get(table, F.col("target") * _CLASSES + F.col("gain"))
 
 
-def propagate(cells: DataFrame, shards: int, capacity: float, rounds: int = 4) -> DataFrame:
+def propagate(cells: DataFrame, shards: int, capacity: float) -> DataFrame:
     """cells (group, shard, n) after rounds until no move is accepted; documents are moved, none are made or lost.
 
     A group that fits somewhere moves as a whole and never again.  One that fits nowhere moves from its smaller cells into its largest
     that has room, so the squares of its cells add up to more after each move: rounds come to an end.
     """
     group = Window.partitionBy("group")
-    idle = 0
-    for at in range(rounds):
+    at = idle = 0
+    while True:
         load = {r.shard: r.n for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = [max(0.0, capacity - load.get(s, 0)) for s in range(shards)]
         free = F.get(F.array(*map(F.lit, room)), F.col("shard"))
@@ -76,6 +76,7 @@ def propagate(cells: DataFrame, shards: int, capacity: float, rounds: int = 4) -
         some = F.least(F.col("n"), F.floor(F.col("n") * share + _unit("group", "shard", F.lit(at))))
         moved = F.when(~F.col("moves"), F.lit(0)).when(F.col("large"), some).when(_unit("group", F.lit(at)) < share, F.col("n")).otherwise(F.lit(0)).cast("long")
         after = checkpoint(seen.withColumn("moved", moved))
+        at += 1
         if not after.filter("moved > 0").head(1):
             idle += 1
             if idle == _IDLE:
@@ -85,7 +86,6 @@ def propagate(cells: DataFrame, shards: int, capacity: float, rounds: int = 4) -
         stay = after.select("group", "shard", (F.col("n") - F.col("moved")).alias("n"))
         come = after.select("group", F.col("target").alias("shard"), F.col("moved").alias("n"))
         cells = checkpoint(stay.unionAll(come).filter("n > 0").groupBy("group", "shard").agg(F.sum("n").alias("n")))
-    return cells
 
 
 def _fill(rank: Column, label: Column, linked: list[int], singles: int, shards: int) -> tuple[Column, Column]:
@@ -130,7 +130,7 @@ def _labelled(placed: DataFrame, cells: DataFrame, shards: int, total: int) -> D
     return swept.filter("kind = 2").select("row", "size", "text_crc32", "group", "at", "label")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", keys: tuple[str, ...] = ("doc_id",), rounds: int = 4) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, size (UTF-8 bytes of the text and 1), text_crc32, law (``rows``), shard, slot (from 0, without gaps).
 
     Numbers of rows differ by one at most between shards.  Equal texts are linked; null counts as the empty text.  A
@@ -144,7 +144,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", keys:
     everywhere = Window.partitionBy("group")  # at most as many rows as shards
     counted = checkpoint(counted.withColumns({"total": F.sum("n").over(everywhere), "first": F.min("first").over(everywhere)}).filter("total > 1"))
     total = placed.count()
-    cells = propagate(counted.select("group", "shard", "n"), shards, total / shards, rounds)
+    cells = propagate(counted.select("group", "shard", "n"), shards, total / shards)
     labelled = _labelled(placed, cells.join(counted.groupBy("group").agg(F.min("first").alias("first")), "group"), shards, total)
     ordered = ranked(labelled, "label", "group", "at", name="place")
     load = {r.shard: int(r.n) for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}

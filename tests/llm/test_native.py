@@ -81,6 +81,11 @@ def test_large_group_fills_few_shards(spark):
     assert sum(r.n for r in got) == 400 and sum(sorted(r.n for r in got)[-4:]) >= 392
 
 
+def test_rounds_go_on_until_groups_are_whole(spark):
+    got = sharding.propagate(cells(spark, 194, 2, 8), 8, 50.0).collect()
+    assert sum(r.n for r in got) == 388 and sum(r.n == 1 for r in got) <= 8
+
+
 def base_spans(text):
     text = text or ""
     out = []
