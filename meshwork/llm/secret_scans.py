@@ -2,7 +2,8 @@
 
 Two first-order Markov models of characters, one of random strings and one of ordinary identifiers and words, are trained
 from labelled samples; a string of the right alphabet is reported if its log-likelihood ratio is high enough, in all
-and per character.  The models are counts of pairs of characters (a fixed table of 65 x 65 ratios).  Spans
+and per character.  Where a whole run of the alphabet does not pass, its parts that score best are judged alike, so words
+that are joined to a secret by / or _ do not hide it.  The models are counts of pairs of characters (a fixed table of 65 x 65 ratios).  Spans
 are offsets in code points, found with split() and regexp_extract_all(): matches and the text between them alternate.
 DataFrame functions only.
 """
@@ -22,6 +23,7 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_LENGTH = 12
 CANDIDATE = r"[A-Za-z0-9+/_]{20,}"
+_EDGE = 4
 KINDS = ("assign", "access", "hex", "random")
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
@@ -68,16 +70,53 @@ def train(labelled: DataFrame, smooth: float = 0.5) -> list[float]:
     return [math.log(counts[True][p] / row[True][p // _SIZE]) - math.log(counts[False][p] / row[False][p // _SIZE]) for p in range(_SIZE * _SIZE)]
 
 
+def _table(model: list[float]) -> Column:
+    return F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
+
+
 def log_ratio(text: Column, model: list[float]) -> Column:
     """Sum of the log ratios of a string's pairs of characters."""
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
+    table = _table(model)
     start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
     step = lambda a, c: F.struct(c.alias("last"), F.when(a["last"] < 0, a["sum"]).otherwise(a["sum"] + F.get(table, a["last"] * _SIZE + c)).alias("sum"))
     return F.aggregate(_codes(text), start, step, lambda a: a["sum"])
 
 
-def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of the matches that pass keep(match); matches that fail still use up their text."""
+def random_parts(text: Column, model: list[float], least: float, per_character: float) -> Column:
+    """(begin, end) of the parts of a run that pass both limits: the run itself if it does, else the best parts, left to right.
+
+    A running maximum: a part begins anew where its sum falls below 0, and ends at its best place once the sum has fallen by
+    ``least`` from there.  A part takes in up to _EDGE characters on either side if they end at a joiner or at the run's end.
+    """
+    table = _table(model)
+    empty = F.array().cast("array<struct<begin:int,end:int>>")
+    part = lambda b, e: F.struct(b.cast("int").alias("begin"), e.cast("int").alias("end"))
+    n0, f0 = F.lit(0), F.lit(0.0)
+    state = lambda last, at, sum_, begin, best, end, whole, parts: F.struct(last.alias("last"), at.alias("at"), sum_.alias("sum"), begin.alias("begin"), best.alias("best"), end.alias("end"), whole.alias("whole"), parts.alias("parts"))
+    closed = lambda a: F.when((a["best"] >= least) & (a["best"] >= per_character * (a["end"] - a["begin"])), F.concat(a["parts"], F.array(part(a["begin"], a["end"])))).otherwise(a["parts"])
+
+    def step(a: Column, c: Column) -> Column:
+        x = F.when(a["last"] < 0, f0).otherwise(F.get(table, a["last"] * _SIZE + c))
+        total = a["sum"] + x
+        over = (total < 0) | (total < a["best"] - least)
+        better = ~over & (total > a["best"])
+        return state(
+            c, a["at"] + 1, F.when(over, f0).otherwise(total), F.when(over, a["at"]).otherwise(a["begin"]), F.when(over, f0).otherwise(F.greatest(total, a["best"])),
+            F.when(over | better, a["at"] + 1).otherwise(a["end"]), a["whole"] + x, F.when(over, closed(a)).otherwise(a["parts"]))
+
+    n = F.length(text)
+
+    def done(a: Column) -> Column:
+        return F.when((a["whole"] >= least) & (a["whole"] >= per_character * n), F.array(part(n0, n))).otherwise(closed(a))
+
+    found = F.aggregate(_codes(text), state(F.lit(-1), n0, f0, n0, f0, n0, f0, empty), step, done)
+    before = lambda x: F.length(F.regexp_extract(F.substring(text, F.lit(1), x["begin"]), rf"(?:^|[+/_-])([^+/_-]{{0,{_EDGE}}})$", 1))
+    after = lambda x: F.length(F.regexp_extract(F.substring(text, x["end"] + 1, n), rf"^([^+/_-]{{0,{_EDGE}}})(?:$|[+/_-])", 1))
+    return F.transform(found, lambda x: part(x["begin"] - before(x), x["end"] + after(x)))
+
+
+def _spans(text: Column, pattern: str, kind: int, parts) -> Column:
+    """Spans of parts(match), an array of (begin, end); matches without parts still use up their text."""
     between = F.transform(F.split(text, pattern, -1), F.length)
     whole = F.call_function("regexp_extract_all", text, F.lit(pattern), F.lit(0))
     second = F.call_function("regexp_extract_all", text, F.lit(pattern), F.lit(2)) if kind == 0 else whole
@@ -86,8 +125,8 @@ def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
 
     def step(a: Column, m: Column) -> Column:
         begin = a["at"] + m["gap"]
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + m["n"]).alias("end"))
-        return F.struct((begin + m["n"]).alias("at"), F.when(keep(m["s"]), F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
+        spans = F.transform(parts(m["s"], m["n"]), lambda x: F.struct((begin + x["begin"]).alias("start"), F.lit(kind).alias("kind"), (begin + x["end"]).alias("end")))
+        return F.struct((begin + m["n"]).alias("at"), F.concat(a["spans"], spans).alias("spans"))
 
     found = F.aggregate(items, start, step, lambda a: a["spans"])
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
@@ -101,12 +140,12 @@ def secret_spans(docs: DataFrame, text: str = "text", model: list[float] | None
     if model is None:
         model = train(samples(docs.sparkSession))
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    always = lambda s: F.lit(True)
-    base = F.array_sort(F.concat(_spans(t, ASSIGN, 0, lambda s: F.length(s) >= ASSIGN_LENGTH), _spans(t, ACCESS, 1, always), _spans(t, HEX, 2, always)))
+    always = lambda s, n: F.array(F.struct(F.lit(0).alias("begin"), n.alias("end")))
+    long = lambda s, n: F.when(F.length(s) >= ASSIGN_LENGTH, always(s, n)).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
+    base = F.array_sort(F.concat(_spans(t, ASSIGN, 0, long), _spans(t, ACCESS, 1, always), _spans(t, HEX, 2, always)))
 
-    def strange(s: Column) -> Column:
-        ratio = log_ratio(s, model)
-        return (ratio >= least) & (ratio >= per_character * F.length(s))
+    def strange(s: Column, n: Column) -> Column:
+        return random_parts(s, model, least, per_character)
 
     found = docs.withColumn("__base", base).withColumn("__random", _spans(t, CANDIDATE, 3, strange))
     apart = F.filter("__random", lambda x: ~F.exists("__base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))

@@ -130,6 +130,27 @@ def test_random_strings_held_out(spark):
     assert len(secret_scans.train(frame.limit(0))) == 65 * 65
 
 
+def covered(spark, prefixes, alphabet, length, seed):
+    """Share of random strings that random spans hold whole, by prefix; and what is reported of plain texts."""
+    model = secret_scans.train(secret_scans.samples(spark, 1500))
+    rng = random.Random(seed)
+    rows = [(i, p, "".join(rng.choice(alphabet) for _ in range(length))) for i, p in enumerate(list(prefixes) * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, prefix string, secret string").withColumn("text", F.concat(F.lit("see "), "prefix", "secret", F.lit(" end")))
+    got = Counter()
+    for r in secret_scans.secret_spans(docs, model=model).collect():
+        at = 4 + len(r.prefix)
+        got[r.prefix] += any(x.start <= at and x.end >= at + length for x in [*r["__random"], *r["__base"]])
+    return {p: got[p] / 40 for p in prefixes}
+
+
+ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def test_secrets_joined_to_words(spark):
+    got = covered(spark, ["", "com/users/documents/download/archive/", "DATABASE_CONNECTION_SERVICE_KEY_", "/services/hooks/"], ALNUM, 32, 11)
+    assert all(x >= 0.9 for x in got.values()), got
+
+
 def messages(spark):
     call = lambda i, n, a, c=None: {"id": i, "name": n, "arguments": a} if c is None else c
     say = lambda *calls, content="hi": json.dumps({"content": content, "tool_calls": list(calls)})
