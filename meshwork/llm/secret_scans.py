@@ -22,7 +22,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_LENGTH = 12
-CANDIDATE = r"[A-Za-z0-9+/_]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"  # with -, so that a url-safe token is one candidate
 _EDGE = 4
 KINDS = ("assign", "access", "hex", "random")
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -42,7 +42,7 @@ def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     # one digest in three encodings
     digest = F.unhex(F.sha2(F.concat(F.lit("sample "), i), 256))
     base64 = F.translate(F.base64(digest), "=", "")
-    strings = F.array(F.substring(F.md5(i), 1, 32), base64, F.translate(base64, "+/", "Qz"), F.upper(F.conv(F.substring(F.md5(F.concat(i, F.lit("u"))), 1, 14), 16, 36)))
+    strings = F.array(F.substring(F.md5(i), 1, 32), base64, F.translate(base64, "+/", "Qz"), F.translate(base64, "+/", "-_"), F.upper(F.conv(F.substring(F.md5(F.concat(i, F.lit("u"))), 1, 14), 16, 36)))
     words = F.split(F.lit(" ".join(WORDS)), " ")
     pick = lambda k: F.get(words, F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(WORDS))).cast("int"))
     many = [pick(k) for k in range(6)]
@@ -54,8 +54,8 @@ def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
 
 
 def _codes(text: Column) -> Column:
-    """Places of the characters in ALPHABET, from 0; other characters are left out."""
-    places = F.transform(F.split(text, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)))
+    """Places of the characters in ALPHABET, from 0, - as _ (both join words, and url-safe tokens); other characters are left out."""
+    places = F.transform(F.split(F.translate(text, "-", "_"), ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)))
     return F.transform(F.filter(places, lambda p: p > 0), lambda p: p - 1)
 
 

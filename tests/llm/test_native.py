@@ -151,6 +151,14 @@ def test_secrets_joined_to_words(spark):
     assert all(x >= 0.9 for x in got.values()), got
 
 
+def test_url_safe_secrets(spark):
+    got = covered(spark, ["", "com/users/documents/download/archive/"], ALNUM + "-_", 43, 12)
+    assert all(x >= 0.9 for x in got.values()), got
+    model = secret_scans.train(secret_scans.samples(spark, 1500))
+    plain = spark.createDataFrame([(1, "a-rather-long-hyphenated-page-name-about-nothing " + "-" * 60 + " /usr/local/share/applications/defaults")], "doc_id long, text string")
+    assert secret_scans.secret_spans(plain, model=model).head()["__random"] == []
+
+
 def messages(spark):
     call = lambda i, n, a, c=None: {"id": i, "name": n, "arguments": a} if c is None else c
     say = lambda *calls, content="hi": json.dumps({"content": content, "tool_calls": list(calls)})
