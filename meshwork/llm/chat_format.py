@@ -103,8 +103,10 @@ def format_chats(messages: DataFrame, parameters: DataFrame | None = None, conv:
     """
     rows = messages.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
     m = checkpoint(ranked(rows.withColumn("hash", F.xxhash64("text")), "conv", "turn", "role", "hash", name="__id"))
-    calls = checkpoint(calls_of(m))
-    answers = m.filter((F.col("role") == "tool") & _object(F.col("text"))).select("__id", "conv", "turn", F.from_json("text", _RESULT).alias("x")).select("__id", "conv", "turn", F.col("x.tool_call_id").alias("id")).filter("id is not null")
+    # joins below are on conv: a struct is not null, so calls and results of null conversations meet too
+    keyed = m.withColumn("conv", F.struct(F.col("conv").isNull().alias("none"), F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("conv")))
+    calls = checkpoint(calls_of(keyed))
+    answers = keyed.filter((F.col("role") == "tool") & _object(F.col("text"))).select("__id", "conv", "turn", F.from_json("text", _RESULT).alias("x")).select("__id", "conv", "turn", F.col("x.tool_call_id").alias("id")).filter("id is not null")
     answers = checkpoint(answers)
     content, calls_json, call_id, status, place = F.col("text"), F.lit(None).cast("array<variant>"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("__id")
     if not calls.head(1) and not answers.head(1):

@@ -192,6 +192,12 @@ def test_chat_format(spark):
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
 
 
+def test_null_conversations_are_linked(spark):
+    rows = [(None, 0, "assistant", json.dumps({"content": "b", "tool_calls": [{"id": "b", "name": "add", "arguments": {"x": {"$result": "a"}}}]})), (None, 1, "tool", json.dumps({"tool_call_id": "b", "content": "done"})), (None, 2, "assistant", json.dumps({"content": "a", "tool_calls": [{"id": "a", "name": "add", "arguments": {"x": 1}}]})), (None, 3, "tool", json.dumps({"tool_call_id": "a", "content": "done"}))]
+    got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r.conv_id, r.turn, r.status) for r in sorted(got, key=lambda r: r.place)] == [(None, 2, "ok"), (None, 3, "linked"), (None, 0, "ok"), (None, 1, "linked")]
+
+
 def test_problems(spark):
     parameters = spark.createDataFrame([("add", "x", "integer", True), ("add", "y", "number", True)], chat_format.PARAMETERS)
     calls = spark.createDataFrame([(1, "a", ("add", '{"x": "1", "w": 2}')), (1, "b", ("add", "[]")), (1, "c", ("sub", None)), (1, "d", ("add", '{"x": 1, "y": 2}'))], "conv long, id string, call struct<name:string,arguments:string>")
