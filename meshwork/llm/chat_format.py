@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import checkpoint, ranked
+from .shared import Scratch, checkpoint, ranked
 
 _CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
@@ -56,19 +56,27 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(__id, level, turn): how many messages a message waits for in a row, and the latest turn among them and itself.
 
     nodes: (__id, turn); edges: (before, after).  Messages in a ring, and those behind them, keep level 0 and their turn.
+    A round takes the messages of which nothing is open any more and tells those behind them; only what is still open is written
+    again, and the levels are put together once.
     """
-    done = nodes.join(edges.select(F.col("after").alias("__id")).distinct(), "__id", "left_anti").withColumn("level", F.lit(0))
-    open_ = checkpoint(nodes.join(done.select("__id"), "__id", "left_anti"))
-    done, waiting = checkpoint(done), edges
-    while open_.head(1):
-        waits = waiting.join(done.select(F.col("__id").alias("before"), F.col("level").alias("l"), F.col("turn").alias("t")), "before", "left")
-        ready = waits.groupBy(F.col("after").alias("__id")).agg(F.max("l").alias("l"), F.max("t").alias("t"), F.count_if(F.col("l").isNull()).alias("missing")).filter("missing = 0")
-        new = checkpoint(open_.join(ready, "__id").select("__id", F.greatest("turn", "t").alias("turn"), (F.col("l") + 1).alias("level")))
-        if not new.head(1):
-            break
-        done = checkpoint(done.unionByName(new))
-        open_ = checkpoint(open_.join(new.select("__id"), "__id", "left_anti"))
-    return done.unionByName(open_.withColumn("level", F.lit(0)))
+    scratch = Scratch(nodes.sparkSession)
+    edges = scratch.write(edges)
+    needs = edges.groupBy(F.col("after").alias("__id")).agg(F.count("*").alias("open"))
+    touched = edges.select(F.col("before").alias("__id")).unionAll(edges.select("after")).distinct()
+    state = scratch.write(nodes.join(touched, "__id").join(needs, "__id", "left").select("__id", "turn", F.coalesce("open", F.lit(0).cast("long")).alias("open"), F.lit(0).alias("level")))
+    parts, waiting = [], state
+    while (new := waiting.filter("open = 0").select("__id", "turn", "level")).head(1):
+        parts.append(new)
+        told = edges.join(new.select(F.col("__id").alias("before"), F.col("turn").alias("t"), (F.col("level") + 1).alias("l")), "before")
+        told = told.groupBy(F.col("after").alias("__id")).agg(F.count("*").alias("n"), F.max("t").alias("t"), F.max("l").alias("l"))
+        after = waiting.filter("open > 0").join(told, "__id", "left")
+        waiting = scratch.write(after.select("__id", F.greatest("turn", "t").alias("turn"), (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.greatest("level", "l").alias("level")))
+        if len(parts) == 32:  # the plan of a long chain stays small
+            parts = [scratch.write(reduce(DataFrame.unionAll, parts))]
+    found = reduce(DataFrame.unionAll, parts).withColumnRenamed("turn", "at") if parts else waiting.limit(0).select("__id", F.col("turn").alias("at"), "level")
+    done = checkpoint(nodes.join(found, "__id", "left").select("__id", F.coalesce("at", "turn").alias("turn"), F.coalesce("level", F.lit(0)).alias("level")))
+    scratch.clear()
+    return done
 
 
 def check_arguments(linked: DataFrame, parameters: DataFrame) -> DataFrame:

@@ -3,19 +3,21 @@
 Method: the windows of the normalised items go to all tasks as a hash set; the windows of each document are looked up in
 it by rolling hashes, every hit is verified word by word, and the hit words become spans that can be cut out.
 
-The benchmark is the small side, and its size is checked: if its texts are over ``max_benchmark_bytes`` it is worked
-through in parts of that size, one after the other, each broadcast alone; found spans are carried along and checkpointed
-between parts.
+The benchmark is the small side, and the size of its index is checked: the items' words are counted first, and an index over
+``max_index_bytes`` is built and broadcast in parts, one after the other.  Each part then gives only its hits, by the hash of the text they
+are in; the hits of all parts are merged and joined to the documents.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,29 +25,68 @@ from . import textkernel as k
 from .shared import checkpoint
 
 WINDOW = 10
-_FOUND = "n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>"
-
-
-def _words(texts: list[str | None]) -> tuple[list[k.Words], list[k.Slice]]:
-    got = [(s, k.words(s, k.ALNUM, k.LOWER)) for s in k.slices(pa.array(texts, pa.string()))]
-    return [w for _, w in got], [s for s, _ in got]
-
-
-def index(items: list[tuple[str | None, str | None]], window: int) -> dict:
-    """Windows of the items: for each length, the hashes and, by hash, the windows' words and item ids."""
-    by_size: dict[int, dict[int, dict[bytes, set]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-    ids = [i for i, _ in items]
-    for s in k.slices(pa.array([t for _, t in items], pa.string())):
+_HITS = "spans array<struct<start:int,end:int>>, items array<string>"
+_FOUND = f"n_words long, n_hit long, {_HITS}"
+#: Bytes of an index for each word of an item, at most: two hashes, the item, the group, where the window begins and ends, and the set of hashes.
+_WORD_BYTES = 64
+
+
+@dataclass
+class Index:
+    """Windows of so many words, as flat arrays.  Window g has the hash hashes[g] (in order), the bytes data[begin[g]:end[g]] (its
+    words, folded, a space between) and the items item[first[g]:first[g + 1]]; equal hashes of different words are neighbours."""
+
+    hashes: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+    data: np.ndarray
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in vars(self).values())
+
+
+def _squeezed(s: k.Slice, w: k.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The folded bytes of all words, a space after each, and where each word begins."""
+    size = w.ends - w.starts + 1
+    begin = np.concatenate([[0], np.cumsum(size)])
+    out = np.full(begin[-1], 0x20, np.uint8)
+    at = np.arange(begin[-1]) - np.repeat(begin[:-1], size)
+    inside = at < np.repeat(size - 1, size)
+    out[inside] = k.LOWER[s.data[(np.repeat(w.starts, size) + at)[inside]]]
+    return out, begin
+
+
+def index(texts: list[str | None], window: int) -> dict[int, Index]:
+    """Windows of the texts, by their number of words; an item is the place of its text in the list."""
+    found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    buffers, shift = [], 0
+    for s in k.slices(pa.array(texts, pa.large_string())):
         w = k.words(s, k.ALNUM, k.LOWER)
+        data, begin = _squeezed(s, w)
         edges = np.concatenate([[0], np.cumsum(w.counts)])
         sizes = np.minimum(w.counts, window)
         for size in np.unique(sizes[sizes > 0]).tolist():
             hashes, first = k.window_hashes(w, size)
-            for h, a in zip(hashes.tolist(), first.tolist(), strict=True):
-                row = int(w.row[a])
-                if sizes[row] == size and (size == window or a == edges[row]):
-                    by_size[size][h][_joined(s, w, a, size)].add(ids[s.first + row])
-    return {size: (np.array([*found], np.uint64), {h: dict(x) for h, x in found.items()}) for size, found in by_size.items()}
+            mine = (sizes[w.row[first]] == size) & ((size == window) | (first == edges[w.row[first]]))
+            hashes, first = hashes[mine], first[mine]
+            again = k.span_hashes(data, begin[first], begin[first + size] - 1)
+            found.setdefault(size, []).append((hashes, again, begin[first] + shift, begin[first + size] - 1 + shift, (w.row[first] + s.first).astype(np.int32)))
+        buffers.append(data)
+        shift += len(data)
+    data = np.concatenate(buffers) if buffers else np.zeros(0, np.uint8)
+    out = {}
+    for size, parts in found.items():
+        hashes, again, begin, end, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((item, again, hashes))
+        hashes, again, begin, end, item = (x[order] for x in (hashes, again, begin, end, item))
+        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (again[1:] != again[:-1])])
+        entry = new | np.concatenate([[True], item[1:] != item[:-1]])  # an item once a window
+        group = np.flatnonzero(new[entry])
+        out[size] = Index(hashes[new], begin[new], end[new], np.concatenate([group, [entry.sum()]]), item[entry], data)
+    return out
 
 
 def _joined(s: k.Slice, w: k.Words, first: int, size: int) -> bytes:
@@ -54,23 +95,26 @@ def _joined(s: k.Slice, w: k.Words, first: int, size: int) -> bytes:
 
 
 class Finder:
-    def __init__(self, table: dict):
-        self.sizes = {size: (k.HashSet(hashes), found) for size, (hashes, found) in table.items()}
+    def __init__(self, table: dict[int, Index], ids: list[str | None]):
+        self.sizes = {size: (k.HashSet(x.hashes), x) for size, x in table.items()}
+        self.ids = ids
 
     def __call__(self, s: k.Slice) -> tuple[np.ndarray, list[set], k.Words, np.ndarray]:
         """For each row of the slice: number of words and item ids; all words, and which of them are hit."""
         w = k.words(s, k.ALNUM, k.LOWER)
         items: list[set] = [set() for _ in range(s.rows)]
         cover = np.zeros(len(w.hashes) + 1, np.int64)
-        for size, (known, found) in self.sizes.items():
+        for size, (known, x) in self.sizes.items():
             hashes, first = k.window_hashes(w, size)
-            for i in known.find(hashes).tolist():
-                a = int(first[i])
-                ids = found[int(hashes[i])].get(_joined(s, w, a, size))
-                if ids is not None:
-                    cover[a] += 1
-                    cover[a + size] -= 1
-                    items[w.row[a]] |= ids
+            at = known.find(hashes)
+            low, high = np.searchsorted(x.hashes, hashes[at]), np.searchsorted(x.hashes, hashes[at], "right")
+            for a, lo, hi in zip(first[at].tolist(), low.tolist(), high.tolist(), strict=True):
+                words = _joined(s, w, a, size)
+                for g in range(lo, hi):
+                    if x.data[x.begin[g] : x.end[g]].tobytes() == words:
+                        cover[a] += 1
+                        cover[a + size] -= 1
+                        items[w.row[a]].update(self.ids[i] for i in x.item[x.first[g] : x.first[g + 1]].tolist())
         return w.counts, items, w, np.cumsum(cover[:-1]) > 0
 
 
@@ -85,53 +129,94 @@ def _spans(s: k.Slice, w: k.Words, hit: np.ndarray, row: int) -> list[tuple[int,
     return [(int(x - s.offsets[row]), int(y - s.offsets[row])) for x, y in zip(w.starts[first], w.ends[last], strict=True)]
 
 
-def _scan(shared, names: list[str], more: bool):
-    """Adds what one part of the benchmark finds; ``more``: the rows carry what parts before have found."""
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _found(s: k.Slice, counts: np.ndarray, w: k.Words, hit: np.ndarray, items: list) -> dict[str, pa.Array]:
+    n_hit = np.bincount(w.row[hit], minlength=s.rows)
+    spans = [[{"start": x, "end": y} for x, y in _spans(s, w, hit, row)] if n_hit[row] else [] for row in range(s.rows)]
+    ids = [sorted(x for x in i if x is not None) for i in items]
+    return {"n_words": pa.array(counts, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(ids, pa.list_(pa.string()))}
+
+
+def _scan(shared, names: list[str], only_hits: bool = False):
+    """Adds what the benchmark, or a part of it, finds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(shared.value)
+        finder = Finder(*shared.value)
         for b in batches:
             get = lambda x, c: x.column(x.schema.get_field_index(c))
             for s in k.slices(get(b, "__text")):
                 part = b.slice(s.first, s.rows)
                 counts, items, w, hit = finder(s)
-                before = get(part, "spans").to_pylist() if more else [[]] * s.rows
-                for row, spans in enumerate(before):
-                    for x in spans:
+                made = _found(s, counts, w, hit, items)
+                out = pa.RecordBatch.from_arrays([made[c] if c in made else get(part, c) for c in names], names)
+                yield out.filter(pc.greater(made["n_hit"], 0)) if only_hits else out
+
+    return run
+
+
+def _merge(names: list[str]):
+    """From the spans and items of all parts, __spans and __items, what one index would have found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            get = lambda x, c: x.column(x.schema.get_field_index(c))
+            for s in k.slices(get(b, "__text")):
+                part = b.slice(s.first, s.rows)
+                w = k.words(s, k.ALNUM, k.LOWER)
+                hit = np.zeros(len(w.hashes), bool)
+                for row, spans in enumerate(get(part, "__spans").to_pylist()):
+                    for x in spans or ():
                         a, z = np.searchsorted(w.starts, [s.offsets[row] + x["start"], s.offsets[row] + x["end"]])
                         hit[a:z] = True
-                n_hit = np.bincount(w.row[hit], minlength=s.rows)
-                spans = [[{"start": x, "end": y} for x, y in _spans(s, w, hit, row)] if n_hit[row] else [] for row in range(s.rows)]
-                earlier = get(part, "items").to_pylist() if more else [[]] * s.rows
-                ids = [sorted({x for x in i if x is not None} | set(e)) for i, e in zip(items, earlier, strict=True)]
-                made = {"n_words": pa.array(counts, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "items": pa.array(ids, pa.list_(pa.string()))}
+                made = _found(s, w.counts, w, hit, [{*(x or ())} for x in get(part, "__items").to_pylist()])
                 yield pa.RecordBatch.from_arrays([made[c] if c in made else get(part, c) for c in names], names)
 
     return run
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_benchmark_bytes: int = 64 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of an index of each item, at most."""
+    for b in batches:
+        for s in k.slices(b.column(b.schema.get_field_index("t"))):
+            w = k.words(s, k.ALNUM, hashed=False)
+            yield pa.RecordBatch.from_arrays([pa.array(_WORD_BYTES * w.counts + np.diff(s.offsets) + 64)], ["size"])
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_index_bytes: int = 128 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """keys, carry, n_words, n_hit, spans (byte offsets of runs of hit words) and items (ids as strings, sorted) of each row.
 
     Words are runs of ASCII letters, digits and characters beyond ASCII, with A-Z lower-cased.  An item of fewer words than the
     window, but not none, is one window.  Null and empty texts have no words; items with the same id are one item; an
     item without id marks words but is in no list; an empty benchmark finds nothing; repeated rows are judged alike.
+    Only an item that is larger than ``max_index_bytes`` by itself makes a larger part.
     """
     held = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     columns = list(dict.fromkeys([*keys, *carry]))
     items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("string").alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).head()[0] or 0
-    parts = -(-total // max_benchmark_bytes) or 1
-    out = docs.select(*(F.col(c) for c in columns), F.col(text).cast("string").alias("__text"))
+    total = items.mapInArrow(_sizes, "size long").agg(F.sum("size")).head()[0] or 0
+    parts = -(-total // max_index_bytes) or 1
+    body = F.col(text).cast("string").alias("__text")
+    out = docs.select(*(F.col(c) for c in columns), body)
     names = [*columns, "__text", "n_words", "n_hit", "spans", "items"]
     schema = ", ".join(f"`{c}` {held[c]}" for c in columns) + f", __text string, {_FOUND}"
+
+    def broadcast(chosen: DataFrame):
+        rows = chosen.collect()  # of a checked size
+        return docs.sparkSession.sparkContext.broadcast((index([r.t for r in rows], window), [r.i for r in rows]))
+
+    if parts == 1:
+        return out.mapInArrow(_scan(broadcast(items), names), schema).drop("__text")
+    # results depend on the text alone, so hits are told by two hashes of it
+    hashes = [F.xxhash64("__text").alias("__h1"), F.xxhash64("__text", F.lit(1)).alias("__h2")]
+    pieces = []
     for part in range(parts):
-        chosen = items if parts == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
-        shared = docs.sparkSession.sparkContext.broadcast(index([(r.i, r.t) for r in chosen.collect()], window))
-        out = out.mapInArrow(_scan(shared, names, part > 0), schema)
-        if parts > 1:
-            out = checkpoint(out)
-    return out.drop("__text") if text not in columns else out
+        shared = broadcast(items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part))
+        hits = docs.select(body).select("__text", *hashes).mapInArrow(_scan(shared, ["__h1", "__h2", "n_hit", "spans", "items"], True), f"__h1 long, __h2 long, n_hit long, {_HITS}")
+        pieces.append(checkpoint(hits.groupBy("__h1", "__h2").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))))
+    every = reduce(DataFrame.unionAll, pieces).groupBy("__h1", "__h2").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"))
+    return out.select("*", *hashes).join(every, ["__h1", "__h2"], "left").mapInArrow(_merge(names), schema).drop("__text")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", drop_share: float = 0.5, **options) -> DataFrame:

@@ -2,14 +2,11 @@
 
 Method: every line is normalised (ASCII lower case, white space collapsed) and hashed; for each host the distinct
 documents with a line are counted; lines above the limit are taken out, and a document of which hardly anything is left
-is rejected.  Exact copies count as one document, and near copies as one *family*, so a clean text does not fall because
-it was copied often: a line is over the limit if more than ``line_limit`` families have it.
+is rejected.  Documents with the same lines (as normalised, blank ones aside) count as one, so a clean text does not fall because it was
+copied often.
 
-A family is told from the text outside the lines that many documents share, so pages of one template with a short part of
-their own are independent.  A near copy differs from them in that its own lines stand in place of shared lines that the
-texts most like it have: it is known by those missing lines, and takes its family from the shared lines that it has.
-
-One scan of the texts: all that follows works on hashes, which are checkpointed once.
+One scan of the texts: all that follows works on hashes, which are checkpointed once.  Counts are combined before they are
+shuffled, so neither a line that a third of all documents have nor a host that has them gathers in a task.
 """
 
 from __future__ import annotations
@@ -31,12 +28,9 @@ _WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 
-_FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, host_key long, text_key long, family long, lines array<long>, line_words array<int>, line_lows array<long>"
-_SALTS = 4
-#: Shared lines up to this number are broadcast in joins.
-_FEW = 200_000
-#: Words that a near copy may have beyond those of the lines it lacks, and may lack, as shares of its words.
-_MORE, _LACKS = 0.02, 0.5
+_FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, host_key long, text_key long, text_key2 long, lines array<long>, line_words array<int>"
+#: What tells a document of a host: two hashes of its line hashes, 128 bits.
+_TEXT = ("host_key", "text_key", "text_key2")
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -48,14 +42,6 @@ def _sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -
     return k.span_hashes(values, starts, ends) if len(values) else np.zeros(len(starts), np.uint64)
 
 
-def _per_row_min(values: np.ndarray, row: np.ndarray, rows: int, missing: np.ndarray) -> np.ndarray:
-    out = missing.copy()
-    if len(values):
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        out[row[first]] = np.minimum.reduceat(values, first)
-    return out
-
-
 def features(s: k.Slice) -> dict[str, np.ndarray | pa.Array]:
     """What the rules need to know of each text of a slice."""
     w = k.words(s, k.NOT_SPACE)
@@ -82,26 +68,20 @@ def features(s: k.Slice) -> dict[str, np.ndarray | pa.Array]:
     np.add.at(cover, again + _WINDOW, -1)
     repeat_words = np.bincount(w.row[np.cumsum(cover[:-1]) > 0], minlength=rows)
 
-    texts = _sequence_hashes(w.hashes, word_edges[:-1], word_edges[1:])
-    row = w.row[at]
-    low = [_per_row_min(k.mix(h ^ np.uint64(seed)), row, rows, texts) for seed in (0x51, 0xA7)]
     normal = _sequence_hashes(folded, begin[full], finish[full])
     line_row = lines.row[full]
+    edges = np.searchsorted(line_row, np.arange(rows + 1))
+    texts = [_sequence_hashes(k.mix(normal ^ np.uint64(seed)), edges[:-1], edges[1:]) for seed in (0x51, 0xA7)]
     # a line counts once a document; its words add up
     pair = normal ^ salt[line_row]
     _, one, inverse = np.unique(pair, return_index=True, return_inverse=True)
     total = np.bincount(inverse, weights=(finish - begin)[full], minlength=len(one)).astype(np.int64)
     order = np.argsort(line_row[one], kind="stable")
-    # the least hash of the windows that begin in a line; the line's own where none does
-    at_line = np.searchsorted(finish[full], at, side="right")
-    inside = at_line < len(normal)
-    inside[inside] = at[inside] >= begin[full][at_line[inside]]
-    lows = _per_row_min(k.mix(h[inside] ^ np.uint64(0x51)), at_line[inside], len(normal), k.mix(normal))
+    each = np.bincount(line_row[one], minlength=rows)
     return {
         "n_words": w.counts, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeat_words,
-        "text_key": texts.view(np.int64), "family": k.mix(low[0] * np.uint64(3) + low[1]).view(np.int64),
-        "lines": _lists(normal[one][order].view(np.int64), np.bincount(line_row[one], minlength=rows), pa.int64()), "line_words": _lists(total[order], np.bincount(line_row[one], minlength=rows), pa.int32()),
-        "line_lows": _lists(lows[one][order].view(np.int64), np.bincount(line_row[one], minlength=rows), pa.int64()),
+        "text_key": texts[0].view(np.int64), "text_key2": texts[1].view(np.int64),
+        "lines": _lists(normal[one][order].view(np.int64), each, pa.int64()), "line_words": _lists(total[order], each, pa.int32()),
     }
 
 
@@ -122,52 +102,24 @@ def _scan(text: str, host: str, names: list[str]):
     return run
 
 
-def _families(once: DataFrame, shared: DataFrame) -> DataFrame:
-    """(host_key, family, shared: array of (line, words)) of each distinct text that has lines of ``shared``."""
-    few = shared.count() <= _FEW
-    small = (lambda t: F.broadcast(t)) if few else (lambda t: t)
-    x = F.explode(F.arrays_zip("lines", "line_words", "line_lows")).alias("x")
-    rows = once.select("host_key", "text_key", "n_words", "family", x).select("host_key", "text_key", "n_words", "family", F.col("x.lines").alias("line"), F.col("x.line_words").alias("here"), F.col("x.line_lows").alias("low"))
-    marked = rows.join(small(shared), ["host_key", "line"], "left")
-    has = F.col("words").isNotNull()
-    picks = [F.min_by("line", F.when(has, F.xxhash64("line", F.lit(i)))).alias(f"pick{i}") for i in range(_SALTS)]
-    made = marked.groupBy("host_key", "text_key").agg(
-        F.first("n_words").alias("n_words"), F.first("family").alias("family"), F.sum(F.when(has, 0).otherwise(F.col("here"))).alias("own"),
-        F.min(F.when(~has, F.col("low"))).alias("own_low"), F.collect_list(F.when(has, F.struct("line", "words"))).alias("shared"), *picks)
-    texts = checkpoint(made.filter(F.size("shared") > 0))
-    # the lines that at least half of the texts have that agree in a pick
-    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("salt"), F.col(f"pick{i}").alias("pick")) for i in range(_SALTS)))).alias("key")
-    each = texts.select("host_key", keys, "shared").select("host_key", "key", F.explode("shared").alias("s"))
-    # all texts of a group have the pick itself, so its count is the size of the group
-    counts = each.groupBy("host_key", "key", "s").agg(F.count("*").alias("n"))
-    lists = counts.groupBy("host_key", "key").agg(F.max("n").alias("most"), F.collect_list(F.struct("n", "s")).alias("all"))
-    usual = checkpoint(lists.select("host_key", "key.salt", "key.pick", F.transform(F.filter("all", lambda v: 2 * v["n"] >= F.col("most")), lambda v: v["s"]).alias("usual")))
-    for i in range(_SALTS):
-        texts = texts.join(small(usual.filter(F.col("salt") == i).select("host_key", F.col("pick").alias(f"pick{i}"), F.col("usual").alias(f"usual{i}"))), ["host_key", f"pick{i}"])
-    absent = F.array_except(F.array_distinct(F.concat(*(f"usual{i}" for i in range(_SALTS)))), F.col("shared"))
-    lacks = F.aggregate(absent, F.lit(0).cast("long"), lambda a, v: a + v["words"])
-    near = (F.col("lacks") > 0) & (F.col("own") <= F.col("lacks") + _MORE * F.col("n_words")) & (F.col("lacks") <= _LACKS * F.col("n_words"))
-    family = F.when(near, F.col("pick0")).when(F.col("own") > 0, F.col("own_low")).otherwise(F.col("family"))
-    return texts.withColumn("lacks", lacks).select("host_key", family.alias("family"), "shared")
+def _each_line(found: DataFrame) -> DataFrame:
+    """(host_key, text_key, text_key2, line, words), once for each distinct document of a host."""
+    once = found.groupBy(*_TEXT).agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))  # equal in equal texts
+    return once.select(*_TEXT, F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select(*_TEXT, F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
 
 
 def frequent_lines(found: DataFrame, line_limit: int) -> DataFrame:
-    """(host_key, line) of lines over the limit; each distinct text of a host counts once, and each family."""
-    firsts = [F.first(c).alias(c) for c in ("n_words", "family", "lines", "line_words", "line_lows")]
-    once = checkpoint(found.groupBy("host_key", "text_key").agg(*firsts))
-    rows = once.select("host_key", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
-    shared = rows.groupBy("host_key", F.col("x.lines").alias("line")).agg(F.count("*").alias("n"), F.min("x.line_words").cast("long").alias("words"))
-    shared = checkpoint(shared.filter(F.col("n") > line_limit).drop("n"))
-    each = _families(once, shared).select("host_key", "family", F.explode("shared.line").alias("line")).distinct()
-    return each.groupBy("host_key", "line").agg(F.count("*").alias("families")).filter(F.col("families") > line_limit).select("host_key", "line")
+    """(host_key, line) of lines that more than line_limit distinct documents of a host have."""
+    counts = _each_line(found).groupBy("host_key", "line").agg(F.count("*").alias("n"))
+    return counts.filter(F.col("n") > line_limit).select("host_key", "line")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", keys: tuple[str, ...] = ("doc_id",), line_limit: int = 20, keep_share: float = 0.15, max_broadcast: int = 2_000_000) -> DataFrame:
     """Returns keys, the base counts, removed_words, base_failed and kept for each row of docs.
 
     Null text has no words, null hosts share one host, repeated rows are judged alike, an empty table gives none, and columns other
-    than the named ones do not matter.  The limit's lines go to the tasks as a broadcast set of hashes if they are at most
-    ``max_broadcast`` (16 bytes each); beyond that they are joined.
+    than the named ones do not matter.  The lines over the limit go to the tasks as a broadcast set of hashes if they are at most
+    ``max_broadcast`` (16 bytes each), which are counted; beyond that they are joined, with the same result.
     """
     names = [*keys, *(x.split()[0] for x in _FEATURES.split(", "))]
     data = docs.select(*(F.col(c) for c in keys), F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
@@ -188,7 +140,7 @@ def keep_documents(docs: DataFrame, text: str = "text", host: str = "source", li
     names = [x.split()[0] for x in _FEATURES.split(", ")]
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
     data = rows.drop("__row")
-    found = checkpoint(data.mapInArrow(_scan("__text", "__host", names), _FEATURES).select("host_key", "text_key", "n_words", "family", "lines", "line_words", "line_lows"))
+    found = checkpoint(data.mapInArrow(_scan("__text", "__host", names), _FEATURES).select(*_TEXT, "lines", "line_words"))
     over = checkpoint(frequent_lines(found, line_limit))
     if over.count() > max_broadcast:  # whole rows go along
         return quality_rules(rows, "__text", "__host", ("__row",), line_limit, keep_share, max_broadcast).filter("kept").select("__row.*")
@@ -226,7 +178,7 @@ def _removed(frequent: k.HashSet, hosts: pa.Array | np.ndarray, lines: pa.ListAr
 
 def _removed_by_set(found: DataFrame, over: DataFrame, names: list[str]) -> DataFrame:
     shared = found.sparkSession.sparkContext.broadcast(_line_keys(over))
-    kept = [n for n in names if n not in ("lines", "line_words", "line_lows", "text_key", "family", "host_key")]
+    kept = [n for n in names if n not in ("lines", "line_words", *_TEXT)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = k.HashSet(shared.value)
@@ -239,43 +191,83 @@ def _removed_by_set(found: DataFrame, over: DataFrame, names: list[str]) -> Data
 
 
 def _removed_by_join(found: DataFrame, over: DataFrame) -> DataFrame:
-    """The same by a join: words removed per host and distinct text, then back to the rows."""
-    once = found.groupBy("host_key", "text_key").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))
-    rows = once.select("host_key", "text_key", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("host_key", "text_key", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    sums = rows.join(over, ["host_key", "line"]).groupBy("host_key", "text_key").agg(F.sum("words").cast("long").alias("removed_words"))
-    return found.join(sums, ["host_key", "text_key"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+    """The same by a join: words removed of each distinct document, then back to the rows."""
+    sums = _each_line(found).join(over, ["host_key", "line"]).groupBy(*_TEXT).agg(F.sum("words").cast("long").alias("removed_words"))
+    return found.join(sums, [*_TEXT], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+
 
+def remove_frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", line_limit: int = 20, max_broadcast: int = 2_000_000) -> DataFrame:
+    """docs with the lines over the limit taken out of their texts (all other lines, blank ones too, stay as they are).
 
-def remove_frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", line_limit: int = 20) -> DataFrame:
-    """docs with the lines over the limit taken out of their texts (all other lines, blank ones too, stay as they are)."""
+    Null texts stay null, null hosts are one host, and an empty table gives an empty one.  The lines are broadcast as in
+    quality_rules(), or, if they are too many, each document is joined with those of its own lines that go.
+    """
     names = [x.split()[0] for x in _FEATURES.split(", ")]
-    data = docs.select(F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
-    over = checkpoint(frequent_lines(checkpoint(data.mapInArrow(_scan("__text", "__host", names), _FEATURES)), line_limit))
-    # lines are matched by their hash here: split, number, drop, join again, all within the row
-    rows = over.groupBy(F.col("host_key").alias("__host_key")).agg(F.collect_set("line").alias("__over"))
-    hashed = docs.withColumns({"__text": F.col(text).cast("string"), "__host": F.col(host).cast("string")})
-    keyed = hashed.mapInArrow(_host_keys([*docs.columns]), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __host_key long, __lines array<long>")
-    joined = keyed.join(rows, "__host_key", "left")
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(F.arrays_zip(lines.alias("t"), F.col("__lines").alias("h")), lambda x: ~F.coalesce(F.array_contains(F.col("__over"), x["h"]), F.lit(False)))
-    return joined.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(F.transform(kept, lambda x: x["t"]), "\n"))).select(*docs.columns)
-
-
-def _host_keys(names: list[str]):
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
+    found = checkpoint(rows.drop("__row").mapInArrow(_scan("__text", "__host", names), _FEATURES).select(*_TEXT, "lines", "line_words"))
+    over = checkpoint(frequent_lines(found, line_limit))
+    kind = f"__row {rows.schema['__row'].dataType.simpleString()}"
+    if over.count() <= max_broadcast:
+        shared = docs.sparkSession.sparkContext.broadcast(_line_keys(over))
+        cut = rows.mapInArrow(_cut(["__row"], shared), f"{kind}, __cut string")
+    else:
+        go = _each_line(found).join(over, ["host_key", "line"]).groupBy(*_TEXT).agg(F.collect_list("line").alias("__go"))  # at most a document's own lines
+        keyed = rows.mapInArrow(_scan("__text", "__host", ["__row", "__text", "__host", *names]), f"{kind}, __text string, __host string, {_FEATURES}")
+        joined = keyed.join(go, [*_TEXT], "left").select("__row", "__text", "__host", "__go")
+        cut = joined.mapInArrow(_cut(["__row"], None), f"{kind}, __cut string")
+    out = cut.select(*(F.col("__cut").cast(docs.schema[c].dataType).alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns))
+    return out
+
+
+def _cut(carry: list[str], shared):
+    """Batches with __cut, their __text without the lines of the broadcast set, or of __go where there is none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = None if shared is None else k.HashSet(shared.value)
         for b in batches:
-            get = lambda c: b.column(b.schema.get_field_index(c))
-            out = []
-            for s in k.slices(get("__text")):
+            get = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731, B023
+            texts, out = get("__text"), []
+            hosts = _host_hashes(get("__host"))
+            for s in k.slices(texts):
                 w = k.words(s, k.NOT_SPACE, k.LOWER)
-                newline = np.flatnonzero(s.data == 0x0A)
-                for r in range(s.rows):
-                    a, z = s.offsets[r], s.offsets[r + 1]
-                    cuts = np.concatenate([[a], newline[np.searchsorted(newline, a) : np.searchsorted(newline, z)] + 1, [z + 1]])
-                    begin, finish = np.searchsorted(w.starts, cuts[:-1]), np.searchsorted(w.starts, np.minimum(cuts[1:], z))
-                    out.append(np.where(finish > begin, _sequence_hashes(w.hashes, begin, finish).view(np.int64), 0))
-            keys = _host_hashes(get("__host"))
-            lines = _lists(np.concatenate([np.zeros(0, np.int64), *out]), np.array([len(x) for x in out], np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(get(x) for x in names), pa.array(keys), lines], [*names, "__host_key", "__lines"])
+                lines = k.words(s, k.NOT_NEWLINE, hashed=False)
+                begin, finish = np.searchsorted(w.starts, lines.starts), np.searchsorted(w.starts, lines.ends)
+                full = np.flatnonzero(finish > begin)
+                normal = _sequence_hashes(w.hashes, begin[full], finish[full])
+                if frequent is not None:
+                    gone = full[frequent.find(_combined(hosts[s.first + lines.row[full]], normal.view(np.int64)))]
+                else:
+                    go = get("__go").slice(s.first, s.rows)
+                    row = np.repeat(np.arange(s.rows), pc.fill_null(pc.list_value_length(go), 0).to_numpy(zero_copy_only=False))
+                    wanted = np.stack([row, go.flatten().to_numpy(zero_copy_only=False).astype(np.int64)], 1)
+                    keys = np.sort(_combined(wanted[:, 0], wanted[:, 1]))
+                    gone = full[k.member(_combined(lines.row[full], normal.view(np.int64)), keys)]
+                out += _without(s, lines, gone)
+            made = pa.array(_nulls(texts, out), pa.string())
+            yield pa.RecordBatch.from_arrays([*(get(c) for c in carry), made], [*carry, "__cut"])
 
     return run
+
+
+def _nulls(texts: pa.Array, out: list[str]) -> list[str | None]:
+    return [x if there else None for there, x in zip(texts.is_valid().to_pylist(), out, strict=True)]
+
+
+def _without(s: k.Slice, lines: k.Words, gone: np.ndarray) -> list[str]:
+    """Each text of a slice without some lines; a line goes with the break behind it, the last one with that before it."""
+    whole, out = s.data.tobytes(), []
+    rows = lines.row[gone]
+    for r in range(s.rows):
+        a, z = int(s.offsets[r]), int(s.offsets[r + 1])
+        mine = gone[np.searchsorted(rows, r) : np.searchsorted(rows, r + 1)]
+        if not len(mine):
+            out.append(whole[a:z].decode())
+            continue
+        parts, at = [], a
+        for i in mine.tolist():
+            parts.append(whole[at : lines.starts[i]])
+            at = min(int(lines.ends[i]) + 1, z + 1)
+        parts.append(whole[at:z])
+        text = b"".join(parts)
+        out.append((text[:-1] if at > z and text.endswith(b"\n") else text).decode())
+    return out

@@ -1,11 +1,14 @@
 """Secret scans: patterns for known kinds of secrets, and character models that tell random strings from identifiers.
 
 Two first-order Markov models of characters, one of random strings and one of ordinary identifiers and words, are trained
-from labelled samples; a string of the right alphabet is reported if its log-likelihood ratio is high enough, in all
+from labelled samples: digests in the usual encodings, and identifiers put together from the words of a bounded sample of the
+documents themselves and of a small list.  A string of the right alphabet is reported if its log-likelihood ratio is high enough, in all
 and per character.  Where a whole run of the alphabet does not pass, its parts that score best are judged alike, so words
-that are joined to a secret by / or _ do not hide it.  The models are counts of pairs of characters (a fixed table of 65 x 65 ratios).  Spans
-are offsets in code points, found with split() and regexp_extract_all(): matches and the text between them alternate.
-DataFrame functions only.
+that are joined to a secret by / or _ do not hide it.  The models are counts of pairs of characters (a fixed table of 65 x 65 ratios).
+
+A text is worked through in segments, cut where no match can lie across, so time grows as the text does, however long it is
+and however many matches it has.  Spans are offsets in code points, found with split() and regexp_extract_all(): matches and the text
+between them alternate.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"  # with -, so that a url-safe token is one c
 _EDGE = 4
 KINDS = ("assign", "access", "hex", "random")
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
+# a character that no pattern holds, or a space between letters or digits, which no match holds, is where a segment may end
+_SEGMENT = r"""(?s).{2048,}?(?:[^A-Za-z0-9+/_.=\-"':\x20]|(?<=[A-Za-z0-9])\x20(?=[A-Za-z0-9]))|.+"""
+#: Documents whose words the sample of identifiers is made from.
+SAMPLE_ROWS = 1000
 
 #: Ordinary words that the sample of identifiers is made from.
 WORDS = (
@@ -36,6 +43,12 @@ WORDS = (
 ).split()
 
 
+def _identifiers(pick, number: Column) -> Column:
+    """Six words, pick(0) to pick(5), as identifiers of the usual kinds."""
+    many = [pick(k) for k in range(6)]
+    return F.array(F.concat(*many), F.array_join(F.array(*many[:4]), "_"), F.concat(many[0], *(F.initcap(w) for w in many[1:5])), F.upper(F.array_join(F.array(*many[:3]), "_")), F.concat(F.initcap(many[0]), many[1], many[2], F.pmod(number, F.lit(100)).cast("string")), F.array_join(F.array(*many[:5]), "/"))
+
+
 def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     """Labelled strings (text, random): hashes in the usual encodings, and identifiers put together from WORDS."""
     i = F.col("id").cast("string")
@@ -44,15 +57,28 @@ def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     base64 = F.translate(F.base64(digest), "=", "")
     strings = F.array(F.substring(F.md5(i), 1, 32), base64, F.translate(base64, "+/", "Qz"), F.translate(base64, "+/", "-_"), F.upper(F.conv(F.substring(F.md5(F.concat(i, F.lit("u"))), 1, 14), 16, 36)))
     words = F.split(F.lit(" ".join(WORDS)), " ")
-    pick = lambda k: F.get(words, F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(WORDS))).cast("int"))
-    many = [pick(k) for k in range(6)]
-    names = F.array(F.concat(*many), F.array_join(F.array(*many[:4]), "_"), F.concat(many[0], *(F.initcap(w) for w in many[1:5])), F.upper(F.array_join(F.array(*many[:3]), "_")), F.concat(F.initcap(many[0]), many[1], many[2], F.pmod("id", F.lit(100)).cast("string")), F.array_join(F.array(*many[:5]), "/"))
+    names = _identifiers(lambda k: F.get(words, F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(WORDS))).cast("int")), F.col("id"))
     r = spark.range(n)
     # a run of one character is rare, but not random
     runs = spark.range(_SIZE * 20).select(F.repeat(F.substring(F.lit(ALPHABET), F.pmod("id", F.lit(_SIZE)).cast("int") + 1, F.lit(1)), 24).alias("text"), F.lit(False).alias("random"))
     return runs.unionAll(r.select(F.explode(strings).alias("text"), F.lit(True).alias("random"))).unionAll(r.select(F.explode(names).alias("text"), F.lit(False).alias("random")))
 
 
+def corpus_samples(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, words: int = 600) -> DataFrame:
+    """Labelled strings (text, random = false) of the documents' own words: identifiers made of runs of six words in a row.
+
+    ``rows`` documents (those with the least hashes of their texts), and of each up to ``words`` words at places that a hash
+    deals over the whole text.  A word is 2 to 15 letters with nothing of the candidates' alphabet around it, so that no secret is taken for one.
+    """
+    t = F.col(text).cast("string")
+    some = docs.filter(t.isNotNull()).select(t.alias("t")).orderBy(F.xxhash64("t"), "t").limit(rows)
+    found = some.select(F.call_function("regexp_extract_all", F.col("t"), F.lit(r"(?<![A-Za-z0-9+/_-])[A-Za-z]{2,15}(?![A-Za-z0-9+/_-])"), F.lit(0)).alias("w"), F.xxhash64("t").alias("h"))
+    found = found.filter(F.size("w") >= 6)
+    place = F.explode(F.sequence(F.lit(0), F.least(F.lit(words // 6), F.floor(F.size("w") / 6).cast("int")) - 1)).alias("i")
+    at = found.select("w", "h", place).withColumn("at", F.pmod(F.xxhash64("h", "i"), F.size("w") - 5).cast("int"))
+    return at.select(F.explode(_identifiers(lambda k: F.get("w", F.col("at") + k), F.abs("h"))).alias("text"), F.lit(False).alias("random"))
+
+
 def _codes(text: Column) -> Column:
     """Places of the characters in ALPHABET, from 0, - as _ (both join words, and url-safe tokens); other characters are left out."""
     places = F.transform(F.split(F.translate(text, "-", "_"), ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)))
@@ -132,24 +158,41 @@ def _spans(text: Column, pattern: str, kind: int, parts) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
 
 
-def secret_spans(docs: DataFrame, text: str = "text", model: list[float] | None = None, least: float = 25.0, per_character: float = 1.0) -> DataFrame:
-    """docs with __base and __random: arrays of (start, kind as index of KINDS, end), by start and kind.
-
-    Strings that overlap a base span are not reported again.  Null and empty texts have no spans; each row is judged alone.
-    """
+def _segments(docs: DataFrame, text: str, model: list[float] | None, least: float, per_character: float) -> DataFrame:
+    """docs with __segments: array of (text, base spans, random spans) of the segments of each text; offsets are within the segment."""
     if model is None:
-        model = train(samples(docs.sparkSession))
+        model = train(samples(docs.sparkSession).unionAll(corpus_samples(docs, text)))
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     always = lambda s, n: F.array(F.struct(F.lit(0).alias("begin"), n.alias("end")))
     long = lambda s, n: F.when(F.length(s) >= ASSIGN_LENGTH, always(s, n)).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
-    base = F.array_sort(F.concat(_spans(t, ASSIGN, 0, long), _spans(t, ACCESS, 1, always), _spans(t, HEX, 2, always)))
+    cut = F.call_function("regexp_extract_all", t, F.lit(_SEGMENT), F.lit(0))
+    segments = F.when(F.length(t) < 4096, F.array(t)).otherwise(cut)
+
+    def spans(x: Column) -> Column:
+        base = F.array_sort(F.concat(_spans(x, ASSIGN, 0, long), _spans(x, ACCESS, 1, always), _spans(x, HEX, 2, always)))
+        return F.struct(x.alias("text"), base.alias("base"), _spans(x, CANDIDATE, 3, lambda s, n: random_parts(s, model, least, per_character)).alias("random"))
 
-    def strange(s: Column, n: Column) -> Column:
-        return random_parts(s, model, least, per_character)
+    def apart(x: Column) -> Column:
+        alone = F.filter(x["random"], lambda r: ~F.exists(x["base"], lambda b: (r["start"] < b["end"]) & (b["start"] < r["end"])))
+        return F.struct(x["text"].alias("text"), x["base"].alias("base"), F.when(F.size(x["random"]) > 0, alone).otherwise(x["random"]).alias("random"))
 
-    found = docs.withColumn("__base", base).withColumn("__random", _spans(t, CANDIDATE, 3, strange))
-    apart = F.filter("__random", lambda x: ~F.exists("__base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    return found.withColumn("__random", F.when(F.size("__random") > 0, apart).otherwise(F.col("__random")))
+    return docs.withColumn("__segments", F.transform(F.transform(segments, spans), apart))
+
+
+def secret_spans(docs: DataFrame, text: str = "text", model: list[float] | None = None, least: float = 25.0, per_character: float = 1.0) -> DataFrame:
+    """docs with __base and __random: arrays of (start, kind as index of KINDS, end), by start and kind.
+
+    Strings that overlap a base span are not reported again.  Null and empty texts have no spans; each row is judged alone.
+    Without a model, one is trained from samples() and corpus_samples() of docs.
+    """
+    found = _segments(docs, text, model, least, per_character)
+    # where segments begin: one number each, so a long text's are few
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    begins = F.aggregate("__segments", first, lambda a, x: F.struct((a["at"] + F.length(x["text"])).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+    begins = F.when(F.size("__segments") == 1, F.array(F.lit(0))).otherwise(begins)
+    found = found.withColumn("__begins", begins)
+    shifted = lambda name: F.flatten(F.zip_with("__segments", "__begins", lambda x, at: F.transform(x[name], lambda y: F.struct((y["start"] + at).alias("start"), y["kind"].alias("kind"), (y["end"] + at).alias("end")))))
+    return found.withColumn("__base", shifted("base")).withColumn("__random", shifted("random")).drop("__segments", "__begins")
 
 
 def joined(spans: Column) -> Column:
@@ -158,16 +201,21 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"], x["end"])), ",")
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
-    """docs with every span replaced by a mark; spans that overlap become one mark."""
-    found = secret_spans(docs, text, **options)
-    spans = F.array_sort(F.concat("__base", "__random"))
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", model: list[float] | None = None, least: float = 25.0, per_character: float = 1.0) -> DataFrame:
+    """docs with every span replaced by a mark; spans that overlap become one mark.  Other columns, and null texts, stay as they are."""
+    row = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).cast("string").alias("__body"))
+    found = _segments(row, "__body", model, least, per_character)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(a: Column, x: Column) -> Column:
-        between = F.substring(F.col(text), a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
-        new = F.concat(a["out"], between, F.lit(mark))
-        return F.struct(F.when(x["start"] < a["at"], a["out"]).otherwise(new).alias("out"), F.greatest(a["at"], x["end"]).alias("at"))
+    def clean(x: Column) -> Column:
+        def step(a: Column, y: Column) -> Column:
+            between = F.substring(x["text"], a["at"] + 1, F.greatest(y["start"] - a["at"], F.lit(0)))
+            new = F.concat(a["out"], between, F.lit(mark))
+            return F.struct(F.when(y["start"] < a["at"], a["out"]).otherwise(new).alias("out"), F.greatest(a["at"], y["end"]).alias("at"))
+
+        spans = F.array_sort(F.concat(x["base"], x["random"]))
+        cut = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(x["text"], a["at"] + 1, F.length(x["text"]))))
+        return F.when(F.size(x["base"]) + F.size(x["random"]) > 0, cut).otherwise(x["text"])
 
-    clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(F.col(text)))))
-    return found.withColumn(text, F.when(F.size("__base") + F.size("__random") > 0, clean).otherwise(F.col(text))).select(*docs.columns)
+    body = F.when(F.col("__body").isNotNull(), F.array_join(F.transform("__segments", clean), "")).cast(docs.schema[text].dataType)
+    return found.select(*(body.alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns))

@@ -1,8 +1,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,42 +42,66 @@ def _words(rng, n):
     return " ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 8))) for _ in range(n))
 
 
+def line_words(text):
+    """(normalised line, words) of the lines of a text that have words."""
+    lines = [re.findall(SPACE, re.sub("[A-Z]+", lambda m: m[0].lower(), line)) for line in (text or "").split("\n")]
+    return [(" ".join(w), len(w)) for w in lines if w]
+
+
+def brute_lines(rows, limit):
+    """Lines over the limit, as (host, line), of rows (text, host)."""
+    docs = {(host or "", tuple(line_words(text))) for text, host in rows}
+    return {x for x, n in Counter((host, line) for host, lines in docs for line in {line for line, _ in lines}).items() if n > limit}
+
+
+def brute_rules(rows, limit):
+    """(removed_words, kept) of each row."""
+    over, out = brute_lines(rows, limit), []
+    for text, host in rows:
+        n, *_, failed = base_counts(text)
+        removed = sum(words for line, words in line_words(text) if (host or "", line) in over)
+        out.append((removed, not failed and not (removed and n - removed < 0.15 * n)))
+    return out
+
+
 @pytest.fixture(scope="module")
-def boilerplate():
+def pages():
+    """(text, host): template pages, clean pages with a footer, copies, texts that differ only in their line breaks."""
     rng = random.Random(5)
     shared = [f"Shared footer number {i} of this host with some words" for i in range(30)]
     own = ["\n".join(_words(rng, 12) for _ in range(6)) for _ in range(40)]
-    mixed = [t + "\n" + shared[i % 2] for i, t in enumerate(own)]  # clean, with a frequent line
-    only = ["\n".join(rng.sample(shared, 12)) for _ in range(60)]  # nothing but frequent lines
-    near = ["\n".join(" ".join(w if rng.random() > 0.02 else _words(rng, 1) for w in line.split()) for line in own[0].split("\n")) for _ in range(60)]
-    return [*mixed, *only, *near, *[own[1]] * 50], len(mixed), len(only)
-
-
-@pytest.mark.parametrize("limit", [2_000_000, 0])
-def test_frequent_lines(spark, boilerplate, limit):
-    texts, mixed, only = boilerplate
-    docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
-    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs, line_limit=10, max_broadcast=limit).collect()}
-    assert [i for i in range(mixed, mixed + only) if kept[i]] == []
-    assert [i for i in kept if not kept[i] and not mixed <= i < mixed + only] == []  # copies and near copies stay
-    cut = {r.doc_id: r.text for r in quality_rules.remove_frequent_lines(docs, line_limit=10).collect()}
-    assert cut[0] == texts[0].rsplit("\n", 1)[0] and len(cut[mixed]) < 0.6 * len(texts[mixed])
-
-
-@pytest.mark.parametrize(("template", "own", "lines"), [(18, 20, 1), (9, 10, 1), (9, 6, 1), (18, 24, 3)])
-def test_template_pages(spark, template, own, lines):
-    rng = random.Random(6)
-    same = [_words(rng, 10 if template > 9 or own == 10 else 5) for _ in range(template)]
-    pages = []
-    for _ in range(200):
-        page = list(same)
-        for _ in range(lines):
-            page.insert(rng.randrange(len(page) + 1), _words(rng, own // lines))
-        pages.append("\n".join(page))
-    clean = ["\n".join(_words(rng, 12) for _ in range(6)) for _ in range(30)]
-    docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(pages + clean)], "doc_id long, text string, source string")
-    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs).collect()}
-    assert [i for i in range(200) if kept[i]] == [] and all(kept[i] for i in range(200, 230))
+    mixed = [t + "\n" + shared[i % 2].upper() + " \n\n" for i, t in enumerate(own)]
+    only = ["\n".join(rng.sample(shared, 12)) for _ in range(60)]
+    template = ["\n".join([*(f"part {i} of one template that all pages have" for i in range(9)), _words(rng, 6)]) for _ in range(60)]
+    broken = [re.sub(r"\s+", lambda m: rng.choice(["\n", " "]), only[0]) for _ in range(30)]
+    texts = [*mixed, *only, *template, *broken, *[own[1]] * 50, *ODD]
+    return [(t, [None, "", "h", "other"][i % 7 % 4]) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 0, -1])
+def test_frequent_lines(spark, pages, limit):
+    """The same verdicts, whether the lines are broadcast or joined, as brute force has them."""
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(pages)], "doc_id long, text string, source string").repartition(3)
+    for line_limit in (3, 10):
+        want = brute_rules(pages, line_limit)
+        got = {r.doc_id: (r.removed_words, r.kept) for r in quality_rules.quality_rules(docs, line_limit=line_limit, max_broadcast=limit).collect()}
+        assert [got[i] for i in range(len(pages))] == want and 50 < sum(kept for _, kept in want) < 200
+        kept = {r.doc_id for r in quality_rules.keep_documents(docs, line_limit=line_limit, max_broadcast=limit).collect()}
+        assert kept == {i for i, x in enumerate(want) if x[1]}
+
+
+@pytest.mark.parametrize("limit", [2_000_000, -1])
+def test_lines_are_cut(spark, pages, limit):
+    docs = spark.createDataFrame([(i, *x, 1) for i, x in enumerate(pages)], "doc_id long, text string, source string, `line` int").repartition(3)
+    over = brute_lines(pages, 10)
+    cut = quality_rules.remove_frequent_lines(docs, line_limit=10, max_broadcast=limit)
+    assert cut.columns == docs.columns
+    got = {r.doc_id: r.text for r in cut.collect()}
+    for i, (text, host) in enumerate(pages):
+        stay = [x for x in (text or "").split("\n") if not line_words(x) or (host or "", line_words(x)[0][0]) not in over]
+        assert got[i] == (None if text is None else "\n".join(stay))
+    assert sum(got[i] != pages[i][0] for i in got) > 100
+    assert quality_rules.remove_frequent_lines(empty(spark), max_broadcast=limit).collect() == []
 
 
 def brute_benchmark(text, items, window=10):
@@ -95,11 +122,11 @@ def brute_benchmark(text, items, window=10):
 ITEMS = [(1, "brown FOX jumps over the lazy dog while seven wizards quietly box"), (2, "one"), (10, "special"), (11, None), (12, ""), (None, "dolor sit"), (2, "two"), (3, "İ￿ 😀😀"), (13, "nobody minds the quick")]
 
 
-@pytest.mark.parametrize("size", [1 << 20, 60])
+@pytest.mark.parametrize("size", [1 << 20, 900])
 def test_benchmark(spark, size):
     docs = documents(spark, extra=True)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    got = decontamination.find_benchmark(docs, bench, max_benchmark_bytes=size).collect()
+    got = decontamination.find_benchmark(docs, bench, max_index_bytes=size).collect()
     want = Counter((r.doc_id, *(str(x) for x in brute_benchmark(r.text, ITEMS))) for r in docs.collect())
     assert Counter((r.doc_id, str(r.n_words), str(r.n_hit), str(r["items"])) for r in got) == want
     assert sum(r.n_hit > 0 for r in got) > 8
@@ -107,6 +134,33 @@ def test_benchmark(spark, size):
     assert all(r.n_hit == 0 for r in decontamination.find_benchmark(docs, bench.limit(0)).collect())
 
 
+def test_index_size():
+    """The index keeps within the estimate that parts are made by, and so does what the tasks build of it."""
+    rng = random.Random(2)
+    texts = [_words(rng, rng.choice([1, 5, 40, 300])) for _ in range(3000)] + ["a b c d e f g h i j k l m " * 2000]
+    decontamination.index(texts, 10)  # tables of powers, which stay
+    tracemalloc.start()
+    found = decontamination.index(texts, 10)
+    finder = decontamination.Finder(found, texts)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    words = sum(len(t.split()) for t in texts)
+    bound = decontamination._WORD_BYTES * words + sum(map(len, texts))
+    assert sum(x.nbytes for x in found.values()) - (len(found) - 1) * found[10].data.nbytes < bound
+    assert held < 2 * bound and peak < 5 * bound and len(finder.sizes) == 3
+
+
+def test_equal_hashes(monkeypatch):
+    """Windows of other words with the same hash are told apart."""
+    real = decontamination.k.window_hashes
+    monkeypatch.setattr(decontamination.k, "window_hashes", lambda w, size: (real(w, size)[0] % np.uint64(3), real(w, size)[1]))
+    finder = decontamination.Finder(decontamination.index([t for _, t in ITEMS], 10), [None if i is None else str(i) for i, _ in ITEMS])
+    for text in [*ODD, *(t for _, t in ITEMS)]:
+        for s in decontamination.k.slices(pa.array([text], pa.string())):
+            n, items, _, hit = finder(s)
+            assert (n[0], hit.sum(), sorted(i for i in items[0] if i is not None)) == brute_benchmark(text, ITEMS)
+
+
 def test_spans_are_cut(spark):
     docs = spark.createDataFrame([(1, "é keep this, special words also kept"), (2, "special"), (3, None), (4, "clean text")], "doc_id long, text string")
     bench = spark.createDataFrame([(10, "special words")], "item_id long, text string")
