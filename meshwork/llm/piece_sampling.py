@@ -5,7 +5,9 @@ lattice of pieces.  A piece's probability follows its rank in the model; a chara
 bytes.  Forward filtering adds up the weights of all ways to reach each character of a word, once for each distinct word
 that a worker meets; backward sampling then walks from the end to the start, choosing each piece with its posterior probability.
 The choices come from a hash of the row's key, the word's place and the step, so the same row always gets the same segments,
-in whatever order and batch it is read.  All words of a batch take their steps together.
+in whatever order and batch it is read.  All words of a batch take their steps together; a word of more than LONG characters (a text
+without spaces, say) is worked through alone in windows, forwards and then backwards, so time follows its length and
+memory the window.
 
 Decoding puts pieces and bytes together again; texts come back unchanged (a literal U+2581, which the library would turn
 into a space, is encoded by its bytes).
@@ -25,6 +27,8 @@ from . import textkernel as k
 MARK = 0x2581
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ALL = (1 << 64) - 1
+LONG = 1024
+WINDOW = 1 << 14  # characters of a long word whose lattice is held at once
 NODES = 2_000_000  # characters of the words whose lattices a worker keeps, but for those of one slice
 
 
@@ -109,6 +113,32 @@ def pieces(model: str, temperature: float) -> Pieces:
     return _open[model, temperature]
 
 
+def lattice_edges(p: Pieces, codes: np.ndarray, place: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, piece (-1: bytes) and end of every way to end a piece at one of the characters ``last``, by end; place: of each
+    character in its word."""
+    nodes, n = last, len(codes)
+    ends, sizes, found = [], [], []
+    hash_ = k.SpanHasher(codes)
+    for size in range(1, p.longest + 1):
+        last = last[place[last] >= size - 1]
+        if not len(last):
+            break
+        h = hash_(last - size + 1, last + 1)
+        at = p.find(h, size)
+        hit = at >= 0
+        ends.append(last[hit])
+        sizes.append(np.full(hit.sum(), size))
+        found.append(at[hit])
+        last = last[p.tails[h >> np.uint64(42)]]
+    end, size, piece = np.concatenate(ends), np.concatenate(sizes), np.concatenate(found)
+    single = np.zeros(n, bool)
+    single[end[size == 1]] = True
+    bare = nodes[~single[nodes]]  # characters that only bytes can give
+    end, size, piece = np.concatenate([end, bare]), np.concatenate([size, np.ones(len(bare), np.int64)]), np.concatenate([piece, np.full(len(bare), -1)])
+    order = np.argsort(end, kind="stable")
+    return size[order], piece[order], end[order]
+
+
 class Lattice:
     """Pieces that end at each character of some words, with the chance of each in backward sampling."""
 
@@ -117,27 +147,7 @@ class Lattice:
         n, words = len(codes), len(edges) - 1
         word = np.repeat(np.arange(words), np.diff(edges))
         place = np.arange(n) - edges[word]  # of a character in its word
-        ends, sizes, found = [], [], []
-        hash_ = k.SpanHasher(codes)
-        last = np.arange(n)
-        for size in range(1, p.longest + 1):
-            last = last[place[last] >= size - 1]
-            if not len(last):
-                break
-            h = hash_(last - size + 1, last + 1)
-            at = p.find(h, size)
-            hit = at >= 0
-            ends.append(last[hit])
-            sizes.append(np.full(hit.sum(), size))
-            found.append(at[hit])
-            last = last[p.tails[h >> np.uint64(42)]]
-        end, size, piece = np.concatenate(ends), np.concatenate(sizes), np.concatenate(found)
-        single = np.zeros(n, bool)
-        single[end[size == 1]] = True
-        bare = np.flatnonzero(~single)  # characters that only bytes can give
-        end, size, piece = np.concatenate([end, bare]), np.concatenate([size, np.ones(len(bare), np.int64)]), np.concatenate([piece, np.full(len(bare), -1)])
-        order = np.argsort(end, kind="stable")
-        self.size, self.piece, end = size[order], piece[order], end[order]
+        self.size, self.piece, end = lattice_edges(p, codes, place, np.arange(n))
         self.start = np.searchsorted(end, np.arange(n + 1))
         # forward: all words at once, character by character; each word has a slot for its beginning and one for each character
         slot = np.arange(n) + word + 1
@@ -223,6 +233,61 @@ class Words:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
 
 
+def _filter(before: list[float], start: list[int], size: list[int], weight: list[float], longest: int) -> tuple[list[float], list[float]]:
+    """Forward weights behind those of the nodes before, and, for each edge, the cumulated chances of the edges of its node."""
+    f, off, chance = list(before), len(before), [0.0] * len(size)
+    for i in range(len(start) - 1):
+        total = 0.0
+        for e in range(start[i], start[i + 1]):
+            total += weight[e] * f[off + i - size[e]]
+            chance[e] = total
+        for e in range(start[i], start[i + 1]):
+            chance[e] /= total
+        f.append(total)
+        if not 1e-100 < total < 1e100:  # only ratios matter
+            f[-longest:] = [x / total for x in f[-longest:]]
+    return f[-longest:], chance
+
+
+def long_word(p: Pieces, codes: np.ndarray, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """A sampled segmentation of one word: pieces (-1: bytes) and the character that each ends at.
+
+    The forward pass keeps the weights at the beginning of each window alone; the backward pass makes each window's lattice again.
+    """
+    n = len(codes)
+
+    def window(a: int, b: int) -> tuple[list, list, list, np.ndarray]:
+        base = max(0, a - p.longest + 1)
+        part = codes[base:b]
+        size, piece, end = lattice_edges(p, part, np.arange(len(part)) + base, np.arange(a - base, b - base))
+        start = np.searchsorted(end, np.arange(a - base, b - base + 1))
+        return start.tolist(), size.tolist(), np.where(piece >= 0, p.weights[piece], p.byte_weight).tolist(), piece
+
+    begins, f = [], [1.0]
+    for a in range(0, n, WINDOW):
+        begins.append(f)
+        f, _ = _filter(f, *window(a, min(n, a + WINDOW))[:3], p.longest)
+    pieces_, ends, at, step = [], [], n - 1, 0
+    for a, before in zip(range(0, n, WINDOW)[::-1], begins[::-1], strict=True):
+        b = min(n, a + WINDOW)
+        start, size, weight, piece = window(a, b)
+        _, chance = _filter(before, start, size, weight, p.longest)
+        steps = (np.arange(b - a, dtype=np.uint64) + np.uint64(step)) * _BASE
+        draws = ((k.mix(seed + steps) >> np.uint64(11)).astype(float) * 2.0**-53).tolist()
+        taken, stops = [], []
+        while at >= a:
+            edge, last = start[at - a], start[at - a + 1] - 1
+            while edge < last and chance[edge] <= draws[len(taken)]:
+                edge += 1
+            taken.append(edge)
+            stops.append(at)
+            at -= size[edge]
+        step += len(taken)
+        pieces_.append(piece[np.array(taken[::-1], np.int64)])
+        ends.append(np.array(stops[::-1], np.int64))
+    return np.concatenate(pieces_[::-1]), np.concatenate(ends[::-1])
+
+
 def encode(known: Words, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, and the number of ids of each."""
     # an empty text has no pieces; any other gets a space in front, as in the library
@@ -244,23 +309,34 @@ def encode(known: Words, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarra
     row = np.searchsorted(edges, start, "right") - 1
     literal = codes == MARK
     marked = np.where(space, np.uint32(MARK), np.where(literal, np.uint32(0xFFFFFFFF), codes))
-    hashes = np.concatenate([k.span_hashes(marked[start[a] : stop[b - 1]], start[a:b] - start[a], stop[a:b] - start[a]) for a, b in _chunks(start, stop)])
-    # a lattice is made once for each distinct word
-    distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    held = known.learn(distinct, marked, start[first], (stop - start)[first])[inverse]
     number = np.arange(len(start)) - np.searchsorted(row, row)  # of a word in its row
     word_seeds = k.mix(seeds[row] + k.mix(number.astype(np.uint64) + np.uint64(1)))
-    edge, who, step, at = known.sample(known.last[held], known.first[held], word_seeds)
-    order = np.lexsort((-step, who))  # steps run backwards
-    edge, who, at = edge[order], who[order], at[order]
     p = known.p
-    piece = known.piece[edge]
+    long = stop - start > LONG
+    short = np.flatnonzero(~long)
+    x, y = start[short], stop[short]
+    hashes = np.concatenate([np.zeros(0, np.uint64), *(k.span_hashes(marked[x[a] : y[b - 1]], x[a:b] - x[a], y[a:b] - x[a]) for a, b in _chunks(x, y))])
+    # a lattice is made once for each distinct word
+    distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    held = known.learn(distinct, marked, x[first], (y - x)[first])[inverse]
+    edge, who, step, at = known.sample(known.last[held], known.first[held], word_seeds[short])
+    order = np.lexsort((-step, who))  # steps run backwards
+    edge, who, at = edge[order], short[who[order]], at[order]
+    piece, code = known.piece[edge].astype(np.int64), known.codes[at]
+    if long.any():
+        parts = [(piece, who, code)]
+        for w in np.flatnonzero(long).tolist():
+            own = marked[start[w] : stop[w]]
+            some, ends = long_word(p, own, word_seeds[w])
+            parts.append((some, np.full(len(some), w), own[ends]))
+        piece, who, code = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(who, kind="stable")
+        piece, who, code = piece[order], who[order], code[order]
     ids = np.where(piece >= 0, p.ids[piece], -1)
     bare = np.flatnonzero(piece < 0)
     rows = row[who]
     if len(bare):
-        code = known.codes[at[bare]]
-        spelled = [p.bytes[np.frombuffer(chr(MARK if c == 0xFFFFFFFF else c).encode("utf-8", "surrogatepass"), np.uint8)] for c in code.tolist()]
+        spelled = [p.bytes[np.frombuffer(chr(MARK if c == 0xFFFFFFFF else c).encode("utf-8", "surrogatepass"), np.uint8)] for c in code[bare].tolist()]
         counts = np.ones(len(ids), np.int64)
         counts[bare] = [len(x) for x in spelled]
         ids, rows = np.repeat(ids, counts), np.repeat(rows, counts)

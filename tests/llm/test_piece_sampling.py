@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -33,6 +34,33 @@ def test_round_trip_and_order(p, monkeypatch):
     assert rows(known, TEXTS, range(7, 7 + len(TEXTS))) != first
 
 
+def test_long_words(p, monkeypatch):
+    """Windows give what one lattice gives, samples follow the posterior, and time grows as the word does."""
+    codes = np.frombuffer(("▁" + "thenationaa" * 60 + "☃ab" * 20).encode("utf-32-le"), np.uint32)
+    whole = ps.long_word(p, codes, np.uint64(5))
+    for size in (37, 100):
+        monkeypatch.setattr(ps, "WINDOW", size)
+        assert all((a == b).all() for a, b in zip(whole, ps.long_word(p, codes, np.uint64(5)), strict=True))
+    known = ps.Words(p)
+    for length in (10, 300):  # the same steps and the same draws as the lattices of short words
+        monkeypatch.setattr(ps, "LONG", length)
+        ids = [rows(known, [t], [3])[0] for t in TEXTS]
+        assert [p.decode(x) for x in ids] == TEXTS
+    monkeypatch.setattr(ps, "LONG", 2)
+    monkeypatch.setattr(ps, "WINDOW", 3)
+    n, want = 4000, ways(p, "there")
+    got, total = Counter(map(tuple, rows(known, ["there"] * n, range(n)))), sum(want.values())
+    assert set(got) <= set(want) and all(abs(got[x] / n - w / total) < 5 * math.sqrt(w / total * (1 - w / total) / n) + 1e-3 for x, w in want.items())
+    monkeypatch.undo()
+    seconds = []
+    for length in (40_000, 400_000):
+        text = "".join(chr(97 + (i * i // 7) % 26) for i in range(length))
+        begin = time.process_time()
+        assert p.decode(rows(known, [text], [1])[0]) == text
+        seconds.append(time.process_time() - begin)
+    assert seconds[1] < 25 * seconds[0] and seconds[1] < 20
+
+
 def ways(p, text):
     """All segmentations of a text of one word, with their weights."""
     weight = {ps_text: w for ps_text, w in zip(([p.text[i] for i in p.ids]), p.weights, strict=True)}
