@@ -1,7 +1,9 @@
 import hashlib
 import json
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -159,6 +161,102 @@ def test_url_safe_secrets(spark):
     assert secret_scans.secret_spans(plain, model=model).head()["__random"] == []
 
 
+def brute_random(text, model, least=25.0, per_character=1.0):
+    """Spans of random strings, by a loop over the characters of each run."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text or ""):
+        run = m[0]
+        codes = [secret_scans.ALPHABET.index(c) for c in run.replace("-", "_")]
+        ratio = [0.0, *(model[a * 65 + b] for a, b in zip(codes, codes[1:], strict=False))]
+        if sum(ratio) >= max(least, per_character * len(run)):
+            parts = [(0, len(run))]
+        else:
+            parts, begin, end, total, best = [], 0, 0, 0.0, 0.0
+            for at, x in enumerate([*ratio, -math.inf]):
+                total += x
+                if total < 0 or total < best - least:
+                    if best >= least and best >= per_character * (end - begin):
+                        parts.append((begin, end))
+                    begin, end, total, best = at, at + 1, 0.0, 0.0
+                elif total > best:
+                    end, best = at + 1, total
+        for a, z in parts:
+            before = re.search(r"(?:^|[+/_-])([^+/_-]{0,4})$", run[:a])
+            after = re.match(r"([^+/_-]{0,4})(?:$|[+/_-])", run[z:])
+            out.append((m.start() + a - (len(before[1]) if before else 0), 3, m.start() + z + (len(after[1]) if after else 0)))
+    base = base_spans(text)
+    return [x for x in out if not any(x[0] < b[2] and b[0] < x[2] for b in base)]
+
+
+def test_random_spans(spark):
+    """Against the loop, on runs of random and ordinary parts in any order; long texts, cut in segments, included."""
+    model = [round(x, 6) for x in secret_scans.train(secret_scans.samples(spark, 800))]
+    rng = random.Random(21)
+    secret = lambda: "".join(rng.choice(ALNUM + "-_+/") for _ in range(rng.randint(8, 50)))
+    part = lambda: rng.choice([secret, lambda: rng.choice(secret_scans.WORDS), lambda: "".join(rng.sample(secret_scans.WORDS, 3)), lambda: "x" * rng.randint(1, 30)])()
+    run = lambda: rng.choice(["", "/", "_", "-"]).join(part() for _ in range(rng.randint(1, 6)))
+    texts = [" ".join(run() for _ in range(rng.randint(1, 8))) for _ in range(200)]
+    texts += [rng.choice([" ", ", ", "é ", "\n"]).join([rng.choice(SECRETS + [run()]) for _ in range(300)]) for _ in range(4)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in secret_scans.secret_spans(docs, model=model).collect()}
+    for i, t in enumerate(texts):
+        assert [tuple(x) for x in got[i]["__base"]] == base_spans(t)
+        assert [tuple(x) for x in got[i]["__random"]] == brute_random(t, model), t
+    clean = {r.doc_id: r.text for r in secret_scans.redact(docs, model=model).collect()}
+    for i, t in enumerate(texts):
+        out, at = "", 0
+        for a, _, z in sorted([*base_spans(t), *brute_random(t, model)]):
+            out, at = out + (t[at:a] + "[SECRET]" if a >= at else ""), max(at, z)
+        assert clean[i] == out + t[at:]
+
+
+def test_segments_hold_matches(spark):
+    """No match lies across a cut, and segments make up the text."""
+    rng = random.Random(22)
+    pieces = [*SECRETS, "password  :", "  ", " = ", '"', "token", "abcdefghijklmnop", "é", ",", "word word", "\n", "AKIA", "'", "0123456789abcdef"]
+    texts = ["".join(rng.choice(pieces) for _ in range(900)) for _ in range(6)]
+    found = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = secret_scans._segments(found, "text", [0.0] * 65 * 65, 25.0, 1.0).collect()
+    for r in got:
+        assert "".join(x.text for x in r["__segments"]) == r.text and len(r["__segments"]) > 3
+    spans = {r.doc_id: [tuple(x) for x in r["__base"]] for r in secret_scans.secret_spans(found, model=[0.0] * 65 * 65).collect()}
+    assert all(spans[i] == base_spans(t) for i, t in enumerate(texts))
+
+
+def test_time_follows_the_length(spark):
+    """Ten times the matches in one text take about ten times the time."""
+    model = secret_scans.train(secret_scans.samples(spark, 100))
+    seconds = []
+    for n in (2000, 20_000):
+        text = " and ".join(["token=abcdefghijklmnop12", "deadbeefdeadbeef99"] * n)
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        secret_scans.redact(docs, model=model).collect()
+        begin = time.time()
+        out = secret_scans.redact(docs, model=model).head().text
+        seconds.append(time.time() - begin)
+        assert out == " and ".join(["[SECRET]"] * (2 * n))
+    assert seconds[1] < 20 * max(seconds[0], 0.5)
+
+
+def test_identifiers_of_the_corpus(spark):
+    """Trained on some documents, held against others: identifiers made of their words, and random strings."""
+    rng = random.Random(23)
+    syllables = ["ouë", "ski", "wro", "cz", "ngu", "mba", "yth", "qat", "zza", "kth"]
+    vocabulary = ["".join(rng.choice(syllables) for _ in range(rng.randint(2, 3))).replace("ë", "e") for _ in range(500)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(120)) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    learnt = secret_scans.corpus_samples(docs.filter("doc_id < 150"))
+    assert 100 < learnt.count() <= 6 * 150 * 20 and secret_scans.corpus_samples(docs.limit(0)).collect() == []
+    held = [("".join(rng.sample(t.split(), 5)), False) for t in texts[150:]] + [("".join(rng.choice(ALNUM) for _ in range(32)), True) for _ in range(150)]
+    frame = spark.createDataFrame(held, "text string, random boolean")
+    errors = []
+    for sample in (secret_scans.samples(spark, 800), secret_scans.samples(spark, 800).unionAll(learnt)):
+        model = secret_scans.train(sample)
+        rows = frame.select("random", secret_scans.log_ratio(F.col("text"), model).alias("x"), F.length("text").alias("n")).collect()
+        errors.append(sum((r.x >= 25 and r.x >= r.n) != r.random for r in rows))
+    assert errors[1] <= 12 and errors[1] <= errors[0], errors
+
+
 def messages(spark):
     call = lambda i, n, a, c=None: {"id": i, "name": n, "arguments": a} if c is None else c
     say = lambda *calls, content="hi": json.dumps({"content": content, "tool_calls": list(calls)})
