@@ -1,13 +1,16 @@
-"""Sharding: balanced label propagation that keeps linked documents (equal texts) in one shard while shards stay even.
+"""Sharding: balanced label propagation that keeps linked documents in one shard while shards stay even.
 
-Every document begins in the shard of its hash.  In each round the documents of a group look at where the others are, and
+Equal texts are linked, and so are the documents of an optional table of edges.  Every document begins in the shard of its hash.
+First equal texts come together: in each round the documents of a group look at where the others are, and
 those outside the group's largest shard ask to move there.  A shard takes movers up to its quota, those with most to gain
 first.  As documents of a group and shard are alike, the state is one row for each group and shard (at most as
 many rows a group as there are shards), however large a group is; only groups of two or more take part.  A group that
 fits nowhere moves in part and fills one shard after the other.  Rounds go on until no move is accepted.
+Then, if there are edges, groups follow their neighbours: each round joins edges to the shards of the neighbours, and a group asks for the shard
+that holds most of them; as many move from one shard to another as move the other way, and into room, until no more edges come together.
 In the end shards are filled to exact quotas: linked documents stay where they are up to the quota, and documents without links, which cost no edge anywhere, fill the rest.
 
-Numbers per shard (a few hundred) are all that reaches the driver.  DataFrame functions only.
+Numbers per shard, or pair of shards (some thousands), are all that reaches the driver.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpoint, partitions, ranked
+from .shared import Scratch, checkpoint, partitions, ranked
 
 _CLASSES = 64  # gains are ordered by their power of two
 _IDLE = 3  # rounds without a move that end the loop: which groups move is by chance where not all can
@@ -88,6 +91,59 @@ def propagate(cells: DataFrame, shards: int, capacity: float) -> DataFrame:
         cells = checkpoint(stay.unionAll(come).filter("n > 0").groupBy("group", "shard").agg(F.sum("n").alias("n")))
 
 
+def _exchanged(moves: DataFrame, room: list[float], shards: int) -> Column:
+    """The share of those who ask to go from shard to target that may: as many as come back, then what there is room for."""
+    demand = {(r.shard, r.target): r.n for r in moves.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()}
+    taken = {(i, j): float(min(n, demand.get((j, i), 0))) for (i, j), n in demand.items()}
+    for j, free in enumerate(room):
+        wait = sum(n - taken[i, t] for (i, t), n in demand.items() if t == j)
+        part = min(1.0, max(0.0, free) / wait) if wait else 0.0
+        for i in range(shards):
+            if (i, j) in demand:
+                taken[i, j] += part * (demand[i, j] - taken[i, j])
+    share = [taken.get((i, j), 0.0) / demand.get((i, j), 1) for i in range(shards) for j in range(shards)]
+    return F.get(F.split(F.lit(",".join(map(repr, share))), ",").cast("array<double>"), F.col("shard") * shards + F.col("target"))
+
+
+def follow(cells: DataFrame, edges: DataFrame, shards: int, capacity: float, slack: float = 0.5) -> DataFrame:
+    """cells (group, shard, n) after groups have moved towards their neighbours; edges: (group, other, weight), in both directions.
+
+    While they move, a shard may hold more than its even part by ``slack``; without it propagation ends early, with more edges cut
+    than the documents cut that are over the quota in the end.
+
+    A group in several shards, too large for one, attracts but stays.  Half of the groups, by a hash of the round, may ask in a round, so
+    that neighbours don't swap places for ever.  The best state, by the weight of edges within shards, is returned, once some
+    rounds have not bettered it.
+    """
+    scratch = Scratch(cells.sparkSession)
+    edges, cells = scratch.write(edges), scratch.write(cells)
+    best, best_kept, at, idle = cells, -1.0, 0, 0
+    while True:
+        pull = edges.join(cells.select(F.col("group").alias("other"), "shard", "n"), "other").groupBy("group", "shard").agg(F.sum(F.col("weight") * F.col("n")).alias("pull"))
+        whole = cells.groupBy("group").agg(F.count("*").alias("cells"), F.first("shard").alias("shard"), F.sum("n").alias("n")).filter("cells = 1").drop("cells")
+        ask = pull.select("group", F.col("shard").alias("to"), "pull").join(whole, "group")
+        own = F.col("to") == F.col("shard")
+        order = F.struct("pull", own.alias("own"), F.xxhash64("group", "to").alias("tie"))
+        ask = ask.groupBy("group", "shard", "n").agg(F.max_by("to", order).alias("target"), F.coalesce(F.sum(F.when(own, F.col("pull"))), F.lit(0.0)).alias("kept"))
+        ask = scratch.write(ask)
+        kept = ask.agg(F.sum(F.col("kept") * F.col("n"))).head()[0] or 0.0
+        if kept > best_kept:
+            best, best_kept, idle = cells, kept, 0
+        else:
+            idle += 1
+        moves = ask.filter((F.col("target") != F.col("shard")) & (_unit("group", F.lit(at), F.lit("half")) < 0.5))
+        if idle == _IDLE or not ask.filter("target <> shard").head(1):
+            break
+        load = {r.shard: r.n for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        share = _exchanged(moves, [max(0.0, (1 + slack) * capacity - load.get(s, 0)) for s in range(shards)], shards)
+        gone = moves.filter(_unit("group", F.lit(at)) < share).select("group", "target")
+        cells = scratch.write(cells.join(gone, "group", "left").select("group", F.coalesce("target", "shard").alias("shard"), "n"))
+        at += 1
+    best = checkpoint(best)
+    scratch.clear()
+    return best
+
+
 def _fill(rank: Column, label: Column, linked: list[int], singles: int, shards: int) -> tuple[Column, Column]:
     """Shard and slot from the place in the order (label, group): quotas differ by one at most."""
     total = sum(linked) + singles
@@ -130,11 +186,20 @@ def _labelled(placed: DataFrame, cells: DataFrame, shards: int, total: int) -> D
     return swept.filter("kind = 2").select("row", "size", "text_crc32", "group", "at", "label")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _group_edges(edges: DataFrame, base: DataFrame, key: str) -> DataFrame:
+    """(group, other, weight) in both directions, of edges (a, b) between keys."""
+    of = base.select(F.col("row")[key].alias("key"), "group").filter("key is not null").distinct()
+    ends = edges.select("a", "b").join(of.select(F.col("key").alias("a"), F.col("group").alias("x")), "a").join(of.select(F.col("key").alias("b"), F.col("group").alias("y")), "b").filter("x <> y")
+    both = ends.select(F.col("x").alias("group"), F.col("y").alias("other")).unionAll(ends.select(F.col("y").alias("group"), F.col("x").alias("other")))
+    return both.groupBy("group", "other").agg(F.count("*").cast("double").alias("weight"))
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", keys: tuple[str, ...] = ("doc_id",), edges: DataFrame | None = None) -> DataFrame:
     """keys, size (UTF-8 bytes of the text and 1), text_crc32, law (``rows``), shard, slot (from 0, without gaps).
 
-    Numbers of rows differ by one at most between shards.  Equal texts are linked; null counts as the empty text.  A
-    repeated row is a document of its own; null keys, fewer rows than shards and an empty table are fine.
+    Numbers of rows differ by one at most between shards.  Equal texts are linked; null counts as the empty text.  ``edges`` (a, b) links
+    documents by the first of their keys; edges of keys that are null or of no document are left out, repeated ones weigh more.
+    A repeated row is a document of its own; null keys, fewer rows than shards and an empty table are fine.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = checkpoint(docs.select(F.struct(*(F.col(c) for c in keys)).alias("row"), (F.octet_length(t).cast("long") + 1).alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.md5(t.cast("binary")).alias("group")))
@@ -142,9 +207,17 @@ def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", keys:
     first = F.pmod(F.xxhash64("row", "at"), F.lit(shards)).cast("int")
     counted = placed.groupBy("group", first.alias("shard")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
     everywhere = Window.partitionBy("group")  # at most as many rows as shards
-    counted = checkpoint(counted.withColumns({"total": F.sum("n").over(everywhere), "first": F.min("first").over(everywhere)}).filter("total > 1"))
+    counted = counted.withColumns({"total": F.sum("n").over(everywhere), "first": F.min("first").over(everywhere)})
+    if edges is None:
+        counted = checkpoint(counted.filter("total > 1"))
+    else:
+        links = checkpoint(_group_edges(edges, base, keys[0]))
+        ends = links.select("group", F.lit(True).alias("linked")).distinct()
+        counted = checkpoint(counted.join(ends, "group", "left").filter("total > 1 or linked"))
     total = placed.count()
     cells = propagate(counted.select("group", "shard", "n"), shards, total / shards)
+    if edges is not None:
+        cells = follow(cells, links, shards, total / shards)
     labelled = _labelled(placed, cells.join(counted.groupBy("group").agg(F.min("first").alias("first")), "group"), shards, total)
     ordered = ranked(labelled, "label", "group", "at", name="place")
     load = {r.shard: int(r.n) for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -7,6 +8,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from meshwork.llm import chat_format, secret_scans, sharding, url_filters
@@ -72,6 +74,40 @@ def test_shards(spark):
         check_shards(few.collect(), sharding.shard_documents(few, 8).collect(), 8)
 
 
+def cut(edges, out):
+    shard = {r.doc_id: r.shard for r in out}
+    return sum(shard[a] != shard[b] for a, b in edges if a in shard and b in shard)
+
+
+@pytest.mark.parametrize(("clusters", "single"), [(24, 0), (8, 200)])
+def test_linked_documents_move_together(spark, clusters, single):
+    """Planted clusters, found again: shards stay even, and the cut falls far below that of documents dealt by hash."""
+    rng = random.Random(clusters + single)
+    size, n = 240 // clusters, 240 + single
+    inside = [tuple(rng.sample(range(c * size, (c + 1) * size), 2)) for c in range(clusters) for _ in range(5 * size)]
+    edges = inside + [tuple(rng.sample(range(240), 2)) for _ in range(60)] + [(1, 1), (3, 9999)]
+    docs = spark.createDataFrame([(i, f"text {i % 230 if i < 240 else i}") for i in range(n)], "doc_id long, text string")
+    links = spark.createDataFrame([*edges, (None, 4)], "a long, b long")
+    out = sharding.shard_documents(docs, 8, edges=links).collect()
+    check_shards(docs.collect(), out, 8)
+    assert cut(inside, sharding.shard_documents(docs, 8).collect()) > 0.75 * len(inside)
+    assert cut(inside, out) < (0.5 if clusters == 8 else 0.3) * len(inside)
+    for few, some in ((docs, links.limit(0)), (docs.limit(0), links)):
+        check_shards(few.collect(), sharding.shard_documents(few, 8, edges=some).collect(), 8)
+
+
+def test_small_graphs_come_close_to_the_best_cut(spark):
+    """Against all ways to deal ten documents to two even shards."""
+    rng = random.Random(7)
+    for _ in range(2):
+        edges = [tuple(rng.sample(range(10), 2)) for _ in range(14)]
+        best = min(sum((a in half) != (b in half) for a, b in edges) for half in map(set, itertools.combinations(range(10), 5)))
+        docs = spark.createDataFrame([(i, f"text {i}") for i in range(10)], "doc_id long, text string")
+        out = sharding.shard_documents(docs, 2, edges=spark.createDataFrame(edges, "a long, b long")).collect()
+        check_shards(docs.collect(), out, 2)
+        assert cut(edges, out) <= best + 5
+
+
 def cells(spark, groups, size, shards):
     rng = random.Random(4)
     n = Counter((str(g), rng.randrange(shards)) for g in range(groups) for _ in range(size))
