@@ -47,7 +47,8 @@ def write_blocks(graph: Graph, path: str, p: int, threshold: int = DENSE_THRESHO
     """Parquet under ``path``/columns by region and block, ``path``/stats and ``path``/meta."""
     spark = graph.edges.sparkSession
     columns = matrix_columns(graph, p, threshold)
-    columns.repartition(*KEYS).write.mode(mode).partitionBy(*KEYS).parquet(f"{path}/columns")
+    # a block in one place, unless it is so large that AQE splits it
+    columns.hint("rebalance", *(F.col(c) for c in KEYS)).write.mode(mode).partitionBy(*KEYS).parquet(f"{path}/columns")
     block_stats(spark.read.parquet(f"{path}/columns")).write.mode(mode).parquet(f"{path}/stats")
     meta = graph.num_vertices_frame().select(F.coalesce("num_vertices", F.lit(0)).alias("num_vertices"), F.lit(p).alias("p"), F.lit(threshold).alias("threshold"), F.lit(graph.weighted).alias("weighted"))
     meta.write.mode(mode).parquet(f"{path}/meta")
@@ -77,6 +78,11 @@ def edges_of(columns: DataFrame, p: int) -> DataFrame:
     return each.select("src", global_id(F.col("x.rows"), F.col("row_block"), p).alias("dst"), *rest)
 
 
+def read_meta(spark: SparkSession, path: str) -> DataFrame:
+    """(num_vertices, p, threshold, weighted), one row."""
+    return spark.read.parquet(f"{path}/meta")
+
+
 def read_blocks(spark: SparkSession, path: str) -> Graph:
-    meta = spark.read.parquet(f"{path}/meta").head()
+    meta = read_meta(spark, path).head()
     return Graph(edges_of(read_columns(spark, path), meta.p))

@@ -77,14 +77,22 @@ class Graph:
     def degrees(self, direction: str = "total") -> DataFrame:
         return {"out": self.out_degrees, "in": self.in_degrees}.get(direction, self.total_degrees)()
 
-    def degree_distribution(self, direction: str = "total", bins: int | None = None) -> DataFrame:
-        """(degree, vertices), or with ``bins`` equal widths from the least to the greatest degree: (bin, low, high, vertices)."""
+    def degree_distribution(self, direction: str = "total", bins: int | None = None, least: int | None = None, most: int | None = None) -> DataFrame:
+        """(degree, vertices), or with ``bins`` equal widths from the least to the greatest degree: (bin, low, high, vertices).
+
+        ``least`` and ``most`` bound the degrees that count, and are the ends of the bins where they are given.
+        """
         degrees = self.degrees(direction)
+        if least is not None:
+            degrees = degrees.filter(F.col("degree") >= least)
+        if most is not None:
+            degrees = degrees.filter(F.col("degree") <= most)
         if bins is None:
             return degrees.groupBy("degree").agg(F.count("*").alias("vertices"))
         ends = degrees.agg(F.min("degree"), F.max("degree")).head()
         if ends[0] is None:
             return degrees.select(F.lit(0).alias("bin"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.lit(0).cast("long").alias("vertices")).limit(0)
+        ends = [ends[0] if least is None else least, ends[1] if most is None else most]
         width = max(ends[1] - ends[0], 1) / bins
         at = F.least(F.floor((F.col("degree") - ends[0]) / width).cast("int"), F.lit(bins - 1))
         counts = degrees.groupBy(at.alias("bin")).agg(F.count("*").alias("vertices"))

@@ -19,10 +19,9 @@ The lineage is cut by checkpoints in the shared folder, after several rounds at
 
 from __future__ import annotations
 
-import tempfile
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,18 +29,22 @@ from pyspark.sql import functions as F
 
 from meshwork.functions.ids import is_dense
 from meshwork.operators.graph import Graph
+from meshwork.session import shared_folder
 
 UNROLL = 4
 MAX_BROADCAST = 2_000_000
+FRONTIER_SHARE = 0.02
 
 
 @dataclass(frozen=True)
 class Context:
-    """What the builders may use."""
+    """What the builders may use.  iteration counts from 1 (0 in init, the last one in finalize); max_iter is None without a limit."""
 
     num_vertices: int
     params: dict = field(default_factory=dict)
     scalars: dict = field(default_factory=dict)
+    iteration: int = 0
+    max_iter: int | None = None
 
 
 @dataclass(frozen=True)
@@ -68,30 +71,51 @@ class Program:
     incremental: bool = False
     #: Raises an error if the program does not fit the graph.
     check: Callable[[Context], None] | None = None
+    #: Called before the first round, and after each job of rounds with the vector (id, value, degree, dense, changed_at) as it then is.
+    before: Callable[[Context, DataFrame], None] | None = None
+    after: Callable[[Context, DataFrame], None] | None = None
+
+
+@dataclass(frozen=True)
+class Job:
+    """Rounds made at once: the first one, their number, the time they took and how many vertices changed in the last one."""
+
+    first: int
+    rounds: int
+    ms: float
+    changed: int
 
 
 @dataclass
 class Result:
-    """The vector (id, value), how many rounds made it, whether it came to rest, and milliseconds a job of rounds took."""
+    """The vector (id, value), how many rounds made it, whether it came to rest, and the jobs of rounds."""
 
     vector: DataFrame
     iterations: int
     converged: bool
-    job_ms: list[float]
+    jobs: list[Job]
     scalars: dict
 
+    @property
+    def job_ms(self) -> list[float]:
+        return [job.ms for job in self.jobs]
+
+    @property
+    def iteration_ms(self) -> dict[int, float]:
+        """Milliseconds by round; rounds that were made in one job (at most ``unroll``) share its time evenly."""
+        return {job.first + i: job.ms / job.rounds for job in self.jobs for i in range(job.rounds)}
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A copy in the folder of spark.checkpoint.dir; only where none is set, as in tests, a temporary one is made."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meshwork-checkpoint-"))
+    """A copy in the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def cutoff(degrees: DataFrame, threshold: int, most: int) -> int | None:
     """The out-degree from which vertices are handled as dense: the threshold, or, if more than ``most`` vertices reach it, the
-    least power of two that few enough do; None if no vertex is dense, or too many whatever the cut."""
+    least power of two that few enough do; None if no vertex is dense, or too many whatever the cut: then more than ``most`` vertices
+    are within a factor of two of the greatest degree, so hashing their edges by source deals them evenly as it is."""
     if threshold < 0:
         return None
     power = F.floor(F.log2(F.col("degree").cast("double"))).cast("int")
@@ -163,40 +187,69 @@ def superstep(layout: Layout, vector: DataFrame, program: Program, ctx: Context,
     return applied.select("id", F.when(moved, F.col("new")).otherwise(F.col("old")).alias("value"), "degree", "dense", F.when(moved, iteration).otherwise(F.col("changed_at")).alias("changed_at"))
 
 
+def frontier_step(layout: Layout, vector: DataFrame, program: Program, ctx: Context, iteration: int) -> DataFrame:
+    """The same round of an incremental program when few vertices changed: they, and then their messages, are broadcast, so neither
+    the edges nor the vector are shuffled.  The caller has checked the number of both."""
+    senders = vector.filter(F.col("changed_at") == iteration - 1).select("id", "value", F.col("degree").alias("out"))
+    sent = program.combine2(ctx, F.col("value"), F.col("out"), F.col("weight"))
+    if program.sends is not None:
+        sent = F.when(program.sends(ctx, F.col("value")), sent)
+    edges = layout.rows.filter(~F.col("self")).select("src", "dst", "weight")
+    if layout.hybrid:
+        edges = edges.unionAll(layout.dense.select("src", "dst", "weight"))
+    messages = edges.join(F.broadcast(senders), F.col("src") == F.col("id")).groupBy(F.col("dst").alias("to")).agg(program.combine_all(sent).alias("message"))
+    merged = vector.join(F.broadcast(messages), F.col("id") == F.col("to"), "left")
+    applied = merged.withColumn("new", program.apply(ctx, F.col("id"), F.col("value"), F.col("message")).cast(program.kind))
+    moved = F.coalesce(program.changed(ctx, F.col("value"), F.col("new")), F.lit(False))
+    return applied.select("id", F.when(moved, F.col("new")).otherwise(F.col("value")).alias("value"), "degree", "dense", F.when(moved, iteration).otherwise(F.col("changed_at")).alias("changed_at"))
+
+
 def initial(layout: Layout, program: Program, ctx: Context) -> DataFrame:
     own = layout.rows.filter("self").select(F.col("src").alias("id"), "degree", "dense")
     return own.select("id", program.init(ctx, F.col("id")).cast(program.kind).alias("value"), "degree", "dense", F.lit(0).alias("changed_at"))
 
 
-def run(graph: Graph, program: Program, max_iter: int = -1, dense_threshold: int = 100, params: dict | None = None, unroll: int = UNROLL, max_broadcast: int = MAX_BROADCAST) -> Result:
-    """Rounds of a program.  An empty graph gives an empty vector."""
+def run(graph: Graph, program: Program, max_iter: int = -1, dense_threshold: int = 100, params: dict | None = None, unroll: int = UNROLL, max_broadcast: int = MAX_BROADCAST, frontier_share: float = FRONTIER_SHARE) -> Result:
+    """Rounds of a program.  An empty graph gives an empty vector.
+
+    Once the edges of the vertices that changed are at most ``frontier_share`` of the vertices and at most ``max_broadcast``, an incremental
+    program goes on by frontier_step(), a round at a time.
+    """
     if program.weighted and not graph.weighted:
         graph = Graph(graph.edges.withColumn("weight", F.lit(1.0)))
     layout = Layout(graph, program, dense_threshold, max_broadcast)
     try:
-        ctx = Context(layout.n, dict(params or {}))
+        limit = None if max_iter < 0 else max(1, max_iter)
+        ctx = Context(layout.n, dict(params or {}), max_iter=limit)
         if program.check is not None:
             program.check(ctx)
-        vector, done, job_ms, converged = initial(layout, program, ctx), 0, [], False
-        limit = None if max_iter < 0 else max(1, max_iter)
-        at_once = 1 if layout.hybrid else max(1, unroll)  # the hybrid round uses the vector twice
+        vector, done, jobs, converged, few = initial(layout, program, ctx), 0, [], False, False
+        if program.before is not None:
+            program.before(ctx, vector)
+        # a hybrid round uses the vector twice; two of them share their shuffles
+        at_once = max(1, min(unroll, 2) if layout.hybrid else unroll)
         while limit is None or done < limit:
             began = time.monotonic()
-            steps = at_once if limit is None else min(at_once, limit - done)
+            steps = 1 if few else at_once if limit is None else min(at_once, limit - done)
             for i in range(steps):
-                vector = superstep(layout, vector, program, ctx, done + i + 1)
+                at = done + i + 1
+                vector = (frontier_step if few else superstep)(layout, vector, program, replace(ctx, iteration=at), at)
             vector = checkpoint(vector)
-            last = vector.agg(F.max("changed_at")).head()[0]
-            job_ms.append(1000 * (time.monotonic() - began))
-            if last is None or last < done + steps:
+            new = F.col("changed_at") == done + steps
+            seen = vector.agg(F.max("changed_at").alias("last"), F.count_if(new).alias("changed"), F.coalesce(F.sum(F.when(new, F.col("degree"))), F.lit(0)).alias("edges")).head()
+            jobs.append(Job(done + 1, steps, 1000 * (time.monotonic() - began), seen.changed))
+            if program.after is not None:
+                program.after(replace(ctx, iteration=done + steps), vector)
+            if seen.last is None or seen.last < done + steps:
                 # a round without change changes nothing ever after
-                done, converged = max((last or 0), done) + 1, True
+                done, converged = max((seen.last or 0), done) + 1, True
                 break
             done += steps
+            few = program.incremental and seen.changed + seen.edges <= min(max_broadcast, frontier_share * layout.n)
         wanted = program.scalars(ctx) if program.scalars else {}
         scalars = vector.agg(*(c.alias(name) for name, c in wanted.items())).head().asDict() if wanted else {}
-        ctx = Context(ctx.num_vertices, ctx.params, scalars)
+        ctx = replace(ctx, scalars=scalars, iteration=done)
         out = vector.select("id", program.finalize(ctx, F.col("value")).cast(program.kind).alias("value"))
-        return Result(out, done, converged, job_ms, scalars)
+        return Result(out, done, converged, jobs, scalars)
     finally:
         layout.close()

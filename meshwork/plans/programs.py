@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.operators.graph import Graph
+from meshwork.session import Scratch
 
+from . import contraction
 from .gimv import Context, Program, Result, run
 
 DAMPING = 0.85
@@ -94,10 +97,46 @@ def min_label(graph: Graph, direction: str = "directed", max_iter: int = -1, **o
 
 
 def connected_components(graph: Graph, max_iter: int = -1, **options) -> Result:
-    """Weakly connected components, named by their smallest id."""
+    """Weakly connected components, named by their smallest id; a round a hop."""
     return min_label(graph, "undirected", max_iter, **options)
 
 
+def contracted_components(graph: Graph) -> DataFrame:
+    """(id, value): the same components by contraction, for graphs of great diameter; there are no rounds to count or to limit."""
+    found = contraction.components(graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return graph.vertices().join(found.withColumnRenamed("key", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("value"))
+
+
+def neighbourhood(graph: Graph, max_iter: int = -1, log_size: int = 10) -> list[float]:
+    """Estimated pairs (from, to) of vertices within 0, 1, 2, ... edges of each other, until no more come, by a sketch a vertex.
+
+    A round merges the sketches of a vertex's successors into its own.  A sketch has at most 2**log_size bytes and little more, and errs by
+    some 1.04 / sqrt(2**log_size).
+    """
+    scratch = Scratch(graph.edges.sparkSession)
+    edges = scratch.write(graph.edges.select("src", "dst").distinct())
+    state = scratch.write(graph.vertices().groupBy("id").agg(F.hll_sketch_agg("id", log_size).alias("sketch")))
+    pairs: list[float] = []
+    while True:
+        total = float(state.agg(F.sum(F.hll_sketch_estimate("sketch"))).head()[0] or 0)
+        if (pairs and total <= pairs[-1]) or (0 <= max_iter <= len(pairs) - 1):
+            break
+        pairs.append(total)
+        heard = edges.join(state.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "sketch")
+        state = scratch.write(state.unionAll(heard).groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch")))
+    scratch.clear()
+    return pairs
+
+
+def effective_diameter(pairs: list[float], share: float = 0.9) -> float:
+    """The number of edges within which ``share`` of the pairs that are connected lie, interpolated; NaN without pairs."""
+    if not pairs or not pairs[-1]:
+        return math.nan
+    want = share * pairs[-1]
+    at = next(i for i, n in enumerate(pairs) if n >= want)
+    return float(at) if at == 0 else at - 1 + (want - pairs[at - 1]) / (pairs[at] - pairs[at - 1])
+
+
 def max_label(graph: Graph, max_iter: int = -1, **options) -> Result:
     """An example of a program of one's own: the largest id that reaches a vertex."""
     return run(graph.unweighted(), label_program(largest=True), max_iter, **options)
@@ -109,4 +148,4 @@ def normalised(vector: DataFrame) -> DataFrame:
     return vector.select("id", (F.col("value") / F.lit(total) if total else F.col("value")).alias("value"))
 
 
-__all__ = ["Context", "connected_components", "hops", "max_label", "min_label", "normalised", "pagerank", "random_walk", "shortest_paths"]
+__all__ = ["Context", "connected_components", "contracted_components", "effective_diameter", "hops", "max_label", "min_label", "neighbourhood", "normalised", "pagerank", "random_walk", "shortest_paths"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from meshwork.functions.ids import block_id, global_id, local_id
 from meshwork.operators import blocks
 from meshwork.operators.graph import Graph, top_k
 from meshwork.plans import gimv, programs
+from meshwork.session import shared_folder
+from meshwork.sources import text
 from meshwork.sources.derived import event_sessions, part_hi, part_sequence, trade
 
 QUERIES: dict = {}
@@ -44,6 +48,35 @@ def _rounded(vector: DataFrame, name: str = "value", digits: int = 9) -> DataFra
     return vector.select("id", F.round("value", digits).alias(name))
 
 
+# --- SQL of blocks and paths
+
+
+def _columns_sql(graph: str, p: int, threshold: int) -> str:
+    return f"""deg AS (SELECT src, count(*) AS degree FROM {graph} GROUP BY 1),
+        cols AS (SELECT CASE WHEN {threshold} >= 0 AND degree >= {threshold} THEN 'dense' ELSE 'sparse' END AS region, CAST(dst % {p} AS INTEGER) AS row_block, CAST(e.src % {p} AS INTEGER) AS col_block,
+            e.src // {p} AS col, degree, dst // {p} AS r, weight FROM {graph} e JOIN deg USING (src))"""
+
+
+def _matrix_sql(graph: str, p: int, threshold: int, where: str = "") -> str:
+    return _columns_sql(graph, p, threshold) + " SELECT region, row_block, col_block, col, degree, string_agg(CAST(r AS VARCHAR), ' ' ORDER BY r) AS entries FROM cols" + where + " GROUP BY ALL"
+
+
+def _stats_sql(graph: str, p: int, threshold: int) -> str:
+    return _columns_sql(graph, p, threshold) + " SELECT region, row_block, col_block, count(*) AS num_rows, count(DISTINCT col) AS num_cols FROM cols GROUP BY ALL"
+
+
+def _path_sql(source: int, rounds: int | None = None, weight: str = "weight", graph: str = "part_hi") -> str:
+    stop = f"it < {rounds}" if rounds is not None else "(SELECT bool_or(moved) FROM sp)"
+    return f"""g AS MATERIALIZED (SELECT src, dst, {weight} AS weight FROM {graph}), size AS (SELECT greatest(max(src), max(dst)) + 1 AS n FROM g),
+        sp(it, id, d, moved) AS (
+            SELECT 0, id, CASE WHEN id = {source} THEN 0.0::DOUBLE END, true FROM (SELECT unnest(range(n)) AS id FROM size)
+            UNION ALL
+            SELECT it + 1, id, least(d, c), c IS NOT NULL AND (d IS NULL OR c < d) FROM (
+                SELECT p.it, p.id, p.d, m.c FROM sp p LEFT JOIN (SELECT g.dst, min(q.d + g.weight) AS c FROM sp q JOIN g ON g.src = q.id GROUP BY 1) m ON m.dst = p.id)
+            WHERE {stop})
+        SELECT id, d AS distance FROM sp WHERE it = (SELECT max(it) FROM sp)"""
+
+
 # --- sources and transforms
 
 
@@ -95,6 +128,95 @@ def local_ids(spark: SparkSession, d: str) -> DataFrame:
     return e.select("src", "dst", local_id(src, 7).alias("src_local"), block_id(src, 7).alias("src_block"), local_id(dst, 7).alias("dst_local"), block_id(dst, 7).alias("dst_block"), again.alias("src_again"))
 
 
+# --- text and block files: written to the shared folder and read again
+
+
+def _path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/io-{uuid.uuid4().hex}"
+
+
+@query("SELECT src, dst FROM part_seq")
+def text_edge_list(spark: SparkSession, d: str) -> DataFrame:
+    path = _path(spark)
+    text.write_edge_list(part_sequence(spark, d).unweighted().edges, path)
+    return text.read_edge_list(spark, path)
+
+
+@query("SELECT src, dst, weight FROM part_seq")
+def text_edge_list_weighted(spark: SparkSession, d: str) -> DataFrame:
+    path = _path(spark)
+    text.write_edge_list(part_sequence(spark, d).edges, path, ",")
+    return text.read_edge_list(spark, path, weighted=True, delimiter=",")
+
+
+@query("SELECT src, dst FROM part_seq")
+def text_adjacency_list(spark: SparkSession, d: str) -> DataFrame:
+    path = _path(spark)
+    text.write_adjacency_list(part_sequence(spark, d).unweighted().edges, path)
+    return text.read_adjacency_list(spark, path)
+
+
+@query("SELECT src, dst, weight FROM part_seq")
+def text_adjacency_list_weighted(spark: SparkSession, d: str) -> DataFrame:
+    path = _path(spark)
+    text.write_adjacency_list(part_sequence(spark, d).edges, path, ";", ",")
+    return text.read_adjacency_list(spark, path, weighted=True, vertex_delimiter=";", edge_delimiter=",")
+
+
+@query("SELECT src, dst FROM trade UNION ALL SELECT src, dst FROM part_seq")
+def text_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Folders within folders are one graph."""
+    path = _path(spark)
+    text.write_edge_list(trade(spark, d).unweighted().edges, f"{path}/a/b")
+    text.write_edge_list(part_sequence(spark, d).unweighted().edges, f"{path}/c")
+    return text.read_edge_list(spark, path)
+
+
+@query("SELECT dst AS id, count(*) AS value FROM trade GROUP BY 1")
+def text_degrees(spark: SparkSession, d: str) -> DataFrame:
+    path = _path(spark)
+    text.write_vector(trade(spark, d).in_degrees(), path)
+    return text.read_vector(spark, path, "long")
+
+
+@query(_path_sql(0, rounds=2), recursive=True)
+def text_vector(spark: SparkSession, d: str) -> DataFrame:
+    """Distances as a file; no value stands for unreachable."""
+    path = _path(spark)
+    text.write_vector(programs.shortest_paths(part_hi(spark, d), 0, 2).vector, path)
+    return text.read_vector(spark, path).withColumnRenamed("value", "distance")
+
+
+@query("SELECT src, dst, weight FROM part_seq")
+def block_files(spark: SparkSession, d: str) -> DataFrame:
+    path = _path(spark)
+    blocks.write_blocks(part_sequence(spark, d), path, 4, 20)
+    return blocks.read_blocks(spark, path).edges
+
+
+@query(_matrix_sql("trade", 3, 600, " WHERE region = 'dense' AND row_block = 1"))
+def block_files_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """Only the folders of some blocks are read."""
+    path = _path(spark)
+    blocks.write_blocks(trade(spark, d).unweighted(), path, 3, 600)
+    found = blocks.read_columns(spark, path, region="dense", row_block=1)
+    return found.select(*blocks.KEYS, "col", "degree", F.array_join("rows", " ").alias("entries"))
+
+
+@query(_stats_sql("part_seq", 4, 20))
+def block_file_stats(spark: SparkSession, d: str) -> DataFrame:
+    path = _path(spark)
+    blocks.write_blocks(part_sequence(spark, d), path, 4, 20)
+    return blocks.read_stats(spark, path).select(*blocks.KEYS, "num_rows", "num_cols")
+
+
+@query("SELECT CAST(greatest(max(src), max(dst)) + 1 AS BIGINT) AS num_vertices, 3 AS p, 600 AS threshold, true AS weighted FROM trade")
+def block_file_meta(spark: SparkSession, d: str) -> DataFrame:
+    path = _path(spark)
+    blocks.write_blocks(trade(spark, d), path, 3, 600)
+    return blocks.read_meta(spark, path)
+
+
 # --- degrees and counters
 
 
@@ -124,6 +246,12 @@ def degree_histogram(spark: SparkSession, d: str) -> DataFrame:
     return trade(spark, d).degree_distribution("out", 50).select("bin", "vertices")
 
 
+@query("""deg AS (SELECT src, count(*) AS degree FROM trade GROUP BY 1)
+    SELECT CAST(bin AS INTEGER) AS bin, count(*) AS vertices FROM (SELECT least(floor((degree - 550) / 5.0), 19) AS bin FROM deg WHERE degree BETWEEN 550 AND 650) GROUP BY 1""")
+def degree_histogram_bounded(spark: SparkSession, d: str) -> DataFrame:
+    return trade(spark, d).degree_distribution("out", 20, 550, 650).select("bin", "vertices")
+
+
 @query("SELECT src, count(*) AS degree, string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst) AS nbrs FROM part_hi GROUP BY 1")
 def adjacency_list(spark: SparkSession, d: str) -> DataFrame:
     return part_hi(spark, d).unweighted().adjacency().select("src", "degree", F.array_join("nbrs", " ").alias("nbrs"))
@@ -144,20 +272,6 @@ def global_counters(spark: SparkSession, d: str) -> DataFrame:
 # --- blocks
 
 
-def _columns_sql(graph: str, p: int, threshold: int) -> str:
-    return f"""deg AS (SELECT src, count(*) AS degree FROM {graph} GROUP BY 1),
-        cols AS (SELECT CASE WHEN {threshold} >= 0 AND degree >= {threshold} THEN 'dense' ELSE 'sparse' END AS region, CAST(dst % {p} AS INTEGER) AS row_block, CAST(e.src % {p} AS INTEGER) AS col_block,
-            e.src // {p} AS col, degree, dst // {p} AS r, weight FROM {graph} e JOIN deg USING (src))"""
-
-
-def _matrix_sql(graph: str, p: int, threshold: int) -> str:
-    return _columns_sql(graph, p, threshold) + " SELECT region, row_block, col_block, col, degree, string_agg(CAST(r AS VARCHAR), ' ' ORDER BY r) AS entries FROM cols GROUP BY ALL"
-
-
-def _stats_sql(graph: str, p: int, threshold: int) -> str:
-    return _columns_sql(graph, p, threshold) + " SELECT region, row_block, col_block, count(*) AS num_rows, count(DISTINCT col) AS num_cols FROM cols GROUP BY ALL"
-
-
 def _matrix(graph: Graph, p: int, threshold: int) -> DataFrame:
     found = blocks.matrix_columns(graph.unweighted(), p, threshold)
     return found.select(*blocks.KEYS, "col", "degree", F.array_join("rows", " ").alias("entries"))
@@ -213,18 +327,6 @@ def _rank_sql(graph: str = "part_hi", rounds: int | None = None, alpha: float =
         {tail}"""
 
 
-def _path_sql(source: int, rounds: int | None = None, weight: str = "weight") -> str:
-    stop = f"it < {rounds}" if rounds is not None else "(SELECT bool_or(moved) FROM sp)"
-    return f"""g AS MATERIALIZED (SELECT src, dst, {weight} AS weight FROM part_hi), size AS (SELECT greatest(max(src), max(dst)) + 1 AS n FROM g),
-        sp(it, id, d, moved) AS (
-            SELECT 0, id, CASE WHEN id = {source} THEN 0.0::DOUBLE END, true FROM (SELECT unnest(range(n)) AS id FROM size)
-            UNION ALL
-            SELECT it + 1, id, least(d, c), c IS NOT NULL AND (d IS NULL OR c < d) FROM (
-                SELECT p.it, p.id, p.d, m.c FROM sp p LEFT JOIN (SELECT g.dst, min(q.d + g.weight) AS c FROM sp q JOIN g ON g.src = q.id GROUP BY 1) m ON m.dst = p.id)
-            WHERE {stop})
-        SELECT id, d AS distance FROM sp WHERE it = (SELECT max(it) FROM sp)"""
-
-
 def _label_sql(graph: str, both: bool = False, turn: bool = False, rounds: int | None = None, largest: bool = False, tail: str = "SELECT id, l AS label FROM last") -> str:
     stop = f"it < {rounds}" if rounds is not None else "(SELECT bool_or(moved) FROM lp)"
     edges = f"SELECT dst AS src, src AS dst FROM {graph}" if turn else f"SELECT src, dst FROM {graph}" + (f" UNION ALL SELECT dst, src FROM {graph}" if both else "")
@@ -267,9 +369,9 @@ def pagerank_top20(spark: SparkSession, d: str) -> DataFrame:
     return top_k(_rounded(programs.pagerank(part_hi(spark, d), 10).vector, "score"), 20, "score")
 
 
-def _paths(name: str, sql: str, call) -> None:
+def _paths(name: str, sql: str, call, graph: str = "part_hi") -> None:
     def f(spark: SparkSession, d: str) -> DataFrame:
-        return call(part_hi(spark, d)).vector.select("id", F.col("value").alias("distance"))
+        return call(_GRAPHS[graph](spark, d)).vector.select("id", F.col("value").alias("distance"))
 
     f.__name__ = name
     query(sql, recursive=True)(f)
@@ -279,6 +381,7 @@ _paths("sssp_source0", _path_sql(0), lambda g: programs.shortest_paths(g, 0))
 _paths("sssp_source7", _path_sql(7), lambda g: programs.shortest_paths(g, 7))
 _paths("sssp_k3", _path_sql(0, rounds=3), lambda g: programs.shortest_paths(g, 0, 3))
 _paths("sssp_bfs_hops", _path_sql(0, weight="1.0::DOUBLE"), lambda g: programs.hops(g, 0))
+_paths("sssp_part_seq", _path_sql(0, graph="part_seq"), lambda g: programs.shortest_paths(g, 0), "part_seq")
 _paths("sssp_hybrid", _path_sql(0, rounds=4), lambda g: programs.shortest_paths(g, 0, 4, dense_threshold=4))
 
 
@@ -292,6 +395,9 @@ def _labels(name: str, graph: str, sql: str, call) -> None:
 
 _labels("wcc", "part_hi", _label_sql("part_hi", both=True), lambda g: programs.connected_components(g))
 _labels("wcc_event_sess", "event_sess", _label_sql("event_sess", both=True), lambda g: programs.connected_components(g))
+_labels("wcc_part_seq", "part_seq", _label_sql("part_seq", both=True), lambda g: programs.connected_components(g))
+_labels("wcc_trade", "trade", _label_sql("trade", both=True), lambda g: programs.connected_components(g))
+_labels("min_label_part_seq", "part_seq", _label_sql("part_seq"), lambda g: programs.min_label(g))
 _labels("wcc_k2", "part_hi", _label_sql("part_hi", both=True, rounds=2), lambda g: programs.connected_components(g, 2))
 _labels("min_label_directed", "part_hi", _label_sql("part_hi"), lambda g: programs.min_label(g))
 _labels("min_label_transposed", "part_hi", _label_sql("part_hi", turn=True), lambda g: programs.min_label(g, "transposed"))
@@ -303,6 +409,26 @@ def wcc_sizes(spark: SparkSession, d: str) -> DataFrame:
     return programs.connected_components(part_hi(spark, d)).vector.groupBy(F.col("value").alias("label")).agg(F.count("*").alias("vertices"))
 
 
+def _contracted(name: str, graph: str) -> None:
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return programs.contracted_components(_GRAPHS[graph](spark, d)).withColumnRenamed("value", "label")
+
+    f.__name__ = name
+    query(_label_sql(graph, both=True), recursive=True)(f)
+
+
+_contracted("wcc_contracted", "event_sess")
+_contracted("wcc_contracted_part_seq", "part_seq")
+
+
+@query()
+def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
+    """Estimated pairs within so many hops, and the effective diameter; estimates, so without SQL: tests hold them against a search."""
+    pairs = programs.neighbourhood(part_hi(spark, d))
+    rows = [(i, n, programs.effective_diameter(pairs)) for i, n in enumerate(pairs)]
+    return spark.createDataFrame(rows, "hops int, pairs double, effective_diameter double")
+
+
 # --- parts of a round
 
 

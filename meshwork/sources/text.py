@@ -57,6 +57,17 @@ def write_edge_list(edges: DataFrame, path: str, delimiter: str = "\t", mode: st
     edges.write.mode(mode).option("sep", delimiter).csv(path)
 
 
+def write_adjacency_list(edges: DataFrame, path: str, vertex_delimiter: str = "\t", edge_delimiter: str = " ", mode: str = "errorifexists") -> None:
+    """One line for each source, neighbours in order; with weights if the edges have any.  The format puts a source's edges in one line."""
+    weighted = "weight" in edges.columns
+    text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    item = F.struct("dst", "weight") if weighted else F.struct("dst")
+    lists = edges.groupBy("src").agg(F.count("*").alias("degree"), F.array_sort(F.collect_list(item)).alias("items"))
+    tokens = F.transform("items", lambda x: F.concat_ws(edge_delimiter, text(x["dst"]), *([text(x["weight"])] if weighted else [])))
+    line = F.concat(text("src"), F.lit(vertex_delimiter), F.concat_ws(edge_delimiter, text("degree"), F.array_join(tokens, edge_delimiter)))
+    lists.select(line.alias("value")).write.mode(mode).text(path)
+
+
 def write_vector(vector: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """``id<tab>value`` lines; also for degrees and labels."""
     vector.write.mode(mode).option("sep", "\t").csv(path)

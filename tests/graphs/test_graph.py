@@ -120,3 +120,16 @@ def test_cli(spark, tmp_path, capsys):
     run("degree", edges, tmp_path / "deg", "--weighted", "--kind", "out")
     assert out("deg") == [(0, 2), (1, 1), (2, 1), (3, 2), (5, 2)]
     assert rows(text.read_vector(spark, str(tmp_path / "deg"), "long")) == [(0, 2), (1, 1), (2, 1), (3, 2), (5, 2)]
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_adjacency_lists_round_trip(spark, t1, tmp_path, weighted):
+    g = t1 if weighted else t1.unweighted()
+    text.write_adjacency_list(g.edges, f"{tmp_path}/adj", ";", ",")
+    assert rows(text.read_adjacency_list(spark, f"{tmp_path}/adj", weighted, ";", ",")) == rows(g.edges)
+
+
+def test_bounded_histogram(t1):
+    assert rows(t1.degree_distribution("total", 2, 1, 3)) == [(0, 1.0, 2.0, 0), (1, 2.0, 3.0, 5)][1:]
+    assert rows(t1.degree_distribution("total", None, 3)) == [(3, 2), (4, 1)]
+    assert rows(t1.degree_distribution("total", 3, 50)) == []

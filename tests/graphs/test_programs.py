@@ -122,5 +122,52 @@ def test_own_program(t1):
     """Counts of in-edges, as a program: one round of ones."""
     ones = gimv.Program(init=lambda ctx, i: F.lit(0.0), combine2=lambda ctx, v, degree, w: F.lit(1.0), combine_all=F.sum, apply=lambda ctx, i, old, m: F.coalesce(m, F.lit(0.0)), changed=lambda ctx, old, new: old != new)
     result = gimv.run(t1, ones, dense_threshold=2)
-    assert vector(result) == [1, 1, 3, 1, 0, 0, 2] and result.iterations == 2 and len(result.job_ms) == 2
+    assert vector(result) == [1, 1, 3, 1, 0, 0, 2] and result.iterations == 2 and set(result.iteration_ms) == {1, 2}
     assert [r.id for r in top_k(result.vector, 2).collect()] == [2, 6]
+
+
+@pytest.mark.parametrize("threshold", [-1, 0, 3])
+def test_frontier_gives_the_same_rounds(spark, threshold):
+    """Broadcast frontiers, from the second round on, against joins of all edges."""
+    edges, g = random_graph(spark, 5)
+    for run in (lambda **o: programs.shortest_paths(g, 0, **o), lambda **o: programs.connected_components(g, **o), lambda **o: programs.min_label(g, "transposed", 4, **o)):
+        plain = run(frontier_share=0.0, dense_threshold=threshold)
+        few = run(frontier_share=100.0, dense_threshold=threshold, unroll=1)
+        assert vector(plain) == vector(few) and plain.iterations == few.iterations and plain.converged == few.converged
+        assert [job.rounds for job in few.jobs] == [1] * len(few.jobs) and set(few.iteration_ms) == set(range(1, len(few.jobs) + 1))
+
+
+def test_context_and_hooks(t1):
+    """Builders see the round and the limit; hooks see each job."""
+    seen = []
+    program = gimv.Program(
+        init=lambda ctx, i: F.lit(float(ctx.iteration)), combine2=lambda ctx, v, degree, w: F.lit(0.0), combine_all=F.sum,
+        apply=lambda ctx, i, old, m: old + ctx.iteration * 10 ** (ctx.max_iter - ctx.iteration), changed=lambda ctx, old, new: F.lit(ctx.iteration < 3) | (F.col("id") == 0),
+        before=lambda ctx, v: seen.append((ctx.iteration, v.count())), after=lambda ctx, v: seen.append((ctx.iteration, v.filter(F.col("changed_at") == ctx.iteration).count())),
+    )
+    result = gimv.run(t1, program, 3, unroll=2)
+    assert vector(result) == [123.0] + [120.0] * 6 and seen == [(0, 7), (2, 7), (3, 1)]
+    assert [(job.first, job.rounds, job.changed) for job in result.jobs] == [(1, 2, 7), (3, 1, 1)] and not result.converged
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_contracted_components(spark, seed):
+    edges, g = random_graph(spark, seed, 60, 45)
+    assert [r.value for r in programs.contracted_components(g).orderBy("id").collect()] == vector(programs.connected_components(g))
+    chain = Graph.of(spark.createDataFrame([(i, i + 1) for i in range(14)] + [(20, 20)], "src long, dst long"))
+    assert [r.value for r in programs.contracted_components(chain).orderBy("id").collect()] == [0] * 15 + [*range(15, 21)]
+    assert programs.contracted_components(Graph.of(spark.createDataFrame([], "src long, dst long"))).collect() == []
+
+
+def test_neighbourhood(spark):
+    """Estimates against a search from every vertex."""
+    edges, g = random_graph(spark, 6, 50, 90)
+    n = max(max(s, d) for s, d, _ in edges) + 1
+    within, exact = [{i} for i in range(n)], []
+    while not exact or sum(map(len, within)) > exact[-1]:
+        exact.append(sum(map(len, within)))
+        within = [w.union(*({d} | within[d] for s, d, _ in edges if s == i)) for i, w in enumerate(within)]
+    got = programs.neighbourhood(g, log_size=12)
+    assert len(got) == len(exact) and all(abs(a - b) <= 0.02 * b for a, b in zip(got, exact, strict=True))
+    assert programs.neighbourhood(g, 1, 12) == got[:2]
+    assert programs.effective_diameter([10.0, 20.0, 40.0]) == 1.8 and programs.effective_diameter([3.0]) == 0.0 and math.isnan(programs.effective_diameter([]))
