@@ -34,6 +34,7 @@ from meshwork.session import shared_folder
 UNROLL = 4
 MAX_BROADCAST = 2_000_000
 FRONTIER_SHARE = 0.02
+FRONTIER_FROM = 500_000
 
 
 @dataclass(frozen=True)
@@ -209,11 +210,12 @@ def initial(layout: Layout, program: Program, ctx: Context) -> DataFrame:
     return own.select("id", program.init(ctx, F.col("id")).cast(program.kind).alias("value"), "degree", "dense", F.lit(0).alias("changed_at"))
 
 
-def run(graph: Graph, program: Program, max_iter: int = -1, dense_threshold: int = 100, params: dict | None = None, unroll: int = UNROLL, max_broadcast: int = MAX_BROADCAST, frontier_share: float = FRONTIER_SHARE) -> Result:
+def run(graph: Graph, program: Program, max_iter: int = -1, dense_threshold: int = 100, params: dict | None = None, unroll: int = UNROLL, max_broadcast: int = MAX_BROADCAST, frontier_share: float = FRONTIER_SHARE, frontier_from: int = FRONTIER_FROM) -> Result:
     """Rounds of a program.  An empty graph gives an empty vector.
 
     Once the edges of the vertices that changed are at most ``frontier_share`` of the vertices and at most ``max_broadcast``, an incremental
-    program goes on by frontier_step(), a round at a time.
+    program goes on by frontier_step(), a round at a time; not on graphs of fewer than ``frontier_from`` vertices, where several rounds
+    in one job are faster than what they shuffle is slow.
     """
     if program.weighted and not graph.weighted:
         graph = Graph(graph.edges.withColumn("weight", F.lit(1.0)))
@@ -226,8 +228,7 @@ def run(graph: Graph, program: Program, max_iter: int = -1, dense_threshold: int
         vector, done, jobs, converged, few = initial(layout, program, ctx), 0, [], False, False
         if program.before is not None:
             program.before(ctx, vector)
-        # a hybrid round uses the vector twice; two of them share their shuffles
-        at_once = max(1, min(unroll, 2) if layout.hybrid else unroll)
+        at_once = 1 if layout.hybrid else max(1, unroll)  # the hybrid round uses the vector twice; two at once are no faster
         while limit is None or done < limit:
             began = time.monotonic()
             steps = 1 if few else at_once if limit is None else min(at_once, limit - done)
@@ -245,7 +246,7 @@ def run(graph: Graph, program: Program, max_iter: int = -1, dense_threshold: int
                 done, converged = max((seen.last or 0), done) + 1, True
                 break
             done += steps
-            few = program.incremental and seen.changed + seen.edges <= min(max_broadcast, frontier_share * layout.n)
+            few = program.incremental and layout.n >= frontier_from and seen.changed + seen.edges <= min(max_broadcast, frontier_share * layout.n)
         wanted = program.scalars(ctx) if program.scalars else {}
         scalars = vector.agg(*(c.alias(name) for name, c in wanted.items())).head().asDict() if wanted else {}
         ctx = replace(ctx, scalars=scalars, iteration=done)

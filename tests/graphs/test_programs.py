@@ -122,7 +122,7 @@ def test_own_program(t1):
     """Counts of in-edges, as a program: one round of ones."""
     ones = gimv.Program(init=lambda ctx, i: F.lit(0.0), combine2=lambda ctx, v, degree, w: F.lit(1.0), combine_all=F.sum, apply=lambda ctx, i, old, m: F.coalesce(m, F.lit(0.0)), changed=lambda ctx, old, new: old != new)
     result = gimv.run(t1, ones, dense_threshold=2)
-    assert vector(result) == [1, 1, 3, 1, 0, 0, 2] and result.iterations == 2 and set(result.iteration_ms) == {1, 2}
+    assert vector(result) == [1, 1, 3, 1, 0, 0, 2] and result.iterations == 2 and len(result.job_ms) == 2
     assert [r.id for r in top_k(result.vector, 2).collect()] == [2, 6]
 
 
@@ -132,7 +132,7 @@ def test_frontier_gives_the_same_rounds(spark, threshold):
     edges, g = random_graph(spark, 5)
     for run in (lambda **o: programs.shortest_paths(g, 0, **o), lambda **o: programs.connected_components(g, **o), lambda **o: programs.min_label(g, "transposed", 4, **o)):
         plain = run(frontier_share=0.0, dense_threshold=threshold)
-        few = run(frontier_share=100.0, dense_threshold=threshold, unroll=1)
+        few = run(frontier_share=100.0, frontier_from=0, dense_threshold=threshold, unroll=1)
         assert vector(plain) == vector(few) and plain.iterations == few.iterations and plain.converged == few.converged
         assert [job.rounds for job in few.jobs] == [1] * len(few.jobs) and set(few.iteration_ms) == set(range(1, len(few.jobs) + 1))
 
