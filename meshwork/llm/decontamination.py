@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as k
-from .shared import checkpoint
+from .shared import Packed, checkpoint
 
 WINDOW = 10
 _HITS = "spans array<struct<start:int,end:int>>, items array<string>"
@@ -192,43 +192,45 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", ke
     item without id marks words but is in no list; an empty benchmark finds nothing; repeated rows are judged alike.
     Only an item that is larger than ``max_index_bytes`` by itself makes a larger part.
     """
-    held = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     columns = list(dict.fromkeys([*keys, *carry]))
+    rows = docs.select(*(F.col(c) for c in columns), F.col(text).cast("string").alias("__text"))
+    return _find(rows, columns, benchmark, item, item_text, window, max_index_bytes).drop("__text")
+
+
+def _find(rows: DataFrame, columns: list[str], benchmark: DataFrame, item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_index_bytes: int = 128 << 20) -> DataFrame:
+    """rows (columns, __text) with what find_benchmark() adds."""
     items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("string").alias("t"))
-    total = items.mapInArrow(_sizes, "size long").agg(F.sum("size")).head()[0] or 0
+    total = items.mapInArrow(k.task(_sizes), "size long").agg(F.sum("size")).head()[0] or 0
     parts = -(-total // max_index_bytes) or 1
-    body = F.col(text).cast("string").alias("__text")
-    out = docs.select(*(F.col(c) for c in columns), body)
     names = [*columns, "__text", "n_words", "n_hit", "spans", "items"]
-    schema = ", ".join(f"`{c}` {held[c]}" for c in columns) + f", __text string, {_FOUND}"
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns) + f", __text string, {_FOUND}"
 
     def broadcast(chosen: DataFrame):
-        rows = chosen.collect()  # of a checked size
-        return docs.sparkSession.sparkContext.broadcast((index([r.t for r in rows], window), [r.i for r in rows]))
+        found = chosen.collect()  # of a checked size
+        return rows.sparkSession.sparkContext.broadcast((index([r.t for r in found], window), [r.i for r in found]))
 
     if parts == 1:
-        return out.mapInArrow(_scan(broadcast(items), names), schema).drop("__text")
+        return rows.mapInArrow(k.task(_scan(broadcast(items), names)), schema)
     # results depend on the text alone, so hits are told by two hashes of it
     hashes = [F.xxhash64("__text").alias("__h1"), F.xxhash64("__text", F.lit(1)).alias("__h2")]
     pieces = []
     for part in range(parts):
         shared = broadcast(items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part))
-        hits = docs.select(body).select("__text", *hashes).mapInArrow(_scan(shared, ["__h1", "__h2", "n_hit", "spans", "items"], True), f"__h1 long, __h2 long, n_hit long, {_HITS}")
+        hits = rows.select("__text", *hashes).mapInArrow(k.task(_scan(shared, ["__h1", "__h2", "n_hit", "spans", "items"], True)), f"__h1 long, __h2 long, n_hit long, {_HITS}")
         pieces.append(checkpoint(hits.groupBy("__h1", "__h2").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))))
     every = reduce(DataFrame.unionAll, pieces).groupBy("__h1", "__h2").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"))
-    return out.select("*", *hashes).join(every, ["__h1", "__h2"], "left").mapInArrow(_merge(names), schema).drop("__text")
+    return rows.select("*", *hashes).join(every, ["__h1", "__h2"], "left").mapInArrow(k.task(_merge(names)), schema)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", drop_share: float = 0.5, **options) -> DataFrame:
     """docs without the spans of benchmark windows; rows of which more than ``drop_share`` of the words are hit go."""
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).cast("string").alias("__body"))
-    found = find_benchmark(rows, benchmark, text="__body", keys=("__row",), carry=("__body",), **options)
+    packed = Packed(docs, text)
+    found = _find(packed.rows, ["__row"], benchmark, **options)
     kept = found.filter(F.col("n_hit") <= drop_share * F.col("n_words"))
-    data = F.encode(F.col("__body"), "UTF-8")
+    data = F.encode(F.col("__text"), "UTF-8")
     # cut from the last span to the first, so offsets stay right
     cut = F.aggregate(F.reverse("spans"), data, lambda rest, x: F.concat(F.substring(rest, F.lit(1), x["start"]), F.substring(rest, x["end"] + 1, F.octet_length(rest))))
-    clean = F.when(F.col("n_hit") > 0, F.decode(cut, "UTF-8")).otherwise(F.col("__body"))
-    return kept.select(*(clean.alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns))
+    return packed.unpack(kept, F.when(F.col("n_hit") > 0, F.decode(cut, "UTF-8")))
 
 
 def items_digest(items: list[str]) -> str:

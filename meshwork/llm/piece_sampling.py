@@ -29,7 +29,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ALL = (1 << 64) - 1
 LONG = 1024
 WINDOW = 1 << 14  # characters of a long word whose lattice is held at once
-NODES = 2_000_000  # characters of the words whose lattices a worker keeps, but for those of one slice
+NODES = 1_000_000  # characters of the words whose lattices a worker keeps, but for those of one slice
 
 
 def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -360,18 +360,21 @@ def encode_pieces(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = (
     sampled alike.  A null text has null ids; an empty one none.  Columns that are called ids or lossless are replaced.
     """
     columns = [c for c in dict.fromkeys([*keys, *carry]) if c not in ("ids", "lossless")]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    kinds_of = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    kinds = ", ".join(f"`{c}` {kinds_of[c]}" for c in columns)
     own = F.xxhash64(*keys) if seed is None else seed.cast("long")
+    # a text that is carried goes to the worker once
+    at = columns.index(text) if text in columns and kinds_of[text] == "string" else len(columns) + 1
+    extra = [] if at < len(columns) else [F.col(text).cast("string").alias("__text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model, temperature)
         known = Words(p)
         for b in batches:
-            texts = b.column(len(columns))
-            for s in k.slices(texts):
+            for s in k.slices(b.column(at)):
                 part = b.slice(s.first, s.rows)
-                own = part.column(len(columns)).to_pylist()
-                seeds = k.mix(part.column(len(columns) + 1).to_numpy().astype(np.int64).view(np.uint64))
+                own = part.column(at).to_pylist()
+                seeds = k.mix(part.column(len(columns)).to_numpy().astype(np.int64).view(np.uint64))
                 ids, counts = encode(known, [t or "" for t in own], seeds)
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 null = pa.array([t is None for t in own], pa.bool_())
@@ -380,7 +383,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = (
                 same = [t is None or p.decode(flat[x:y]) == t for t, x, y in zip(own, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(columns))), lists, pa.array(same)], [*columns, "ids", "lossless"])
 
-    return docs.select(*(F.col(c) for c in columns), F.col(text).cast("string").alias("__text"), own.alias("__seed")).mapInArrow(run, f"{kinds}, ids array<int>, lossless boolean")
+    return docs.select(*(F.col(c) for c in columns), own.alias("__seed"), *extra).mapInArrow(k.task(run), f"{kinds}, ids array<int>, lossless boolean")
 
 
 def decode_pieces(encoded: DataFrame, ids: str = "ids", text: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
@@ -394,4 +397,4 @@ def decode_pieces(encoded: DataFrame, ids: str = "ids", text: str = "text", mode
             out = pa.array([p.decode(x) for x in b.column(names.index(ids)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, out], [*names, text])
 
-    return encoded.select(*names).mapInArrow(run, f"{kinds}, `{text}` string")
+    return encoded.select(*names).mapInArrow(k.task(run), f"{kinds}, `{text}` string")

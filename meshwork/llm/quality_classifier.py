@@ -128,9 +128,9 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_model(vectors: DataFrame, labels: DataFrame, key: str, label: str, train: Column, shrink: float, ridge: float) -> Model:
-    marked = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__y")).filter(train & F.col("__y").isin(0, 1))
+    marked = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__y")).filter(train & F.col("__y").isin(0, 1)).distinct()
     rows = vectors.join(marked, F.col(key) == F.col("__key")).select("__x", "__y")
-    parts = rows.mapInArrow(_add_up, "c int, s array<double>").select("c", F.posexplode("s").alias("i", "v"))
+    parts = rows.mapInArrow(k.task(_add_up), "c int, s array<double>").select("c", F.posexplode("s").alias("i", "v"))
     sums: dict[int, np.ndarray] = {}
     for r in parts.groupBy("c", "i").agg(F.sum("v").alias("v")).collect():  # two classes of a few hundred numbers
         sums.setdefault(r.c, np.zeros(1 + len(FEATURES) + len(FEATURES) ** 2))[r.i] = r.v
@@ -141,11 +141,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column | None = No
     """key, score (0 to 1; higher: class 1 likelier) and predicted (1 if score >= threshold) for each row of docs.
 
     ``train`` selects the rows of labels to learn from (a condition on ``__key``); rows whose label is not 0 or 1, or whose
-    key is null, teach nothing.  A score depends on the text alone: null counts as empty, an empty text has a score like
+    key is null, teach nothing, and a label that is given twice teaches once (two different labels of a key teach both classes).  A score depends on the text alone: null counts as empty, an empty text has a score like
     any other, repeated rows score alike.  With labels of one class only, or none, all scores are that class, or 0.5.
     """
     kind = docs.schema[key].dataType.simpleString()
-    vectors = checkpoint(docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(_vectors([key]), f"`{key}` {kind}, __x array<double>"))
+    vectors = checkpoint(docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(k.task(_vectors([key])), f"`{key}` {kind}, __x array<double>"))
     model = train_model(vectors, labels, key, label, F.lit(True) if train is None else train, shrink, ridge)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,4 +153,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column | None = No
             p = model.scores(_matrix(b.column(1), b.num_rows))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [key, "score", "predicted"])
 
-    return vectors.mapInArrow(score, f"`{key}` {kind}, score double, predicted int")
+    return vectors.mapInArrow(k.task(score), f"`{key}` {kind}, score double, predicted int")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as k
-from .shared import checkpoint
+from .shared import Packed, checkpoint
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -124,7 +124,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
     names = [*keys, *(x.split()[0] for x in _FEATURES.split(", "))]
     data = docs.select(*(F.col(c) for c in keys), F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
-    found = checkpoint(data.mapInArrow(_scan("__text", "__host", names), f"{kinds}, {_FEATURES}"))
+    found = checkpoint(data.mapInArrow(k.task(_scan("__text", "__host", names)), f"{kinds}, {_FEATURES}"))
     over = checkpoint(frequent_lines(found, line_limit))
     if over.count() <= max_broadcast:
         removed = _removed_by_set(found, over, names)
@@ -138,24 +138,28 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
 def keep_documents(docs: DataFrame, text: str = "text", host: str = "source", line_limit: int = 20, keep_share: float = 0.15, max_broadcast: int = 2_000_000) -> DataFrame:
     """The rows of docs that quality_rules() keeps, as they are; texts are scanned twice and not shuffled."""
     names = [x.split()[0] for x in _FEATURES.split(", ")]
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
-    data = rows.drop("__row")
-    found = checkpoint(data.mapInArrow(_scan("__text", "__host", names), _FEATURES).select(*_TEXT, "lines", "line_words"))
+    data = docs.select(F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
+    found = checkpoint(data.mapInArrow(k.task(_scan("__text", "__host", names)), _FEATURES).select(*_TEXT, "lines", "line_words"))
     over = checkpoint(frequent_lines(found, line_limit))
+    packed = Packed(docs.withColumn("__host", F.col(host).cast("string")), text)
+    at = packed.fields["__host"]
+    rows = packed.rows.withColumn("__host", F.col("__row")[at])
     if over.count() > max_broadcast:  # whole rows go along
-        return quality_rules(rows, "__text", "__host", ("__row",), line_limit, keep_share, max_broadcast).filter("kept").select("__row.*")
+        kept = quality_rules(rows.withColumn("__body", F.col("__text")), "__text", "__host", ("__row", "__body"), line_limit, keep_share, max_broadcast).filter("kept")
+        return packed.unpack(kept.withColumnRenamed("__body", "__text")).select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(_line_keys(over))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = k.HashSet(shared.value)
-        for b in _scan("__text", "__host", ["__row", *names])(batches):
+        for b in _scan("__text", "__host", ["__row", "__text", *names])(batches):
             got = {c: b.column(b.schema.get_field_index(c)) for c in names}
             n, again = got["n_words"].to_numpy(), got["n_repeat_words"].to_numpy()
             removed = _removed(frequent, got["host_key"].to_numpy(), got["lines"], got["line_words"])
             kept = (n >= MIN_WORDS) & (100 * again <= MAX_REPEATED_PERCENT * n) & ~((removed > 0) & (n - removed < keep_share * n))
-            yield b.select(["__row"]).filter(pa.array(kept))
+            yield b.select(["__row", "__text"]).filter(pa.array(kept))
 
-    return rows.mapInArrow(run, f"__row {rows.schema['__row'].dataType.simpleString()}").select("__row.*")
+    kept = rows.mapInArrow(k.task(run), f"__row {packed.row_kind}, __text string")
+    return packed.unpack(kept).select(*docs.columns)
 
 
 def _combined(host: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -187,7 +191,7 @@ def _removed_by_set(found: DataFrame, over: DataFrame, names: list[str]) -> Data
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(x)) for x in kept), pa.array(removed)], [*kept, "removed_words"])
 
     kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
-    return found.mapInArrow(run, ", ".join(f"`{x}` {kinds[x]}" for x in kept) + ", removed_words long")
+    return found.mapInArrow(k.task(run), ", ".join(f"`{x}` {kinds[x]}" for x in kept) + ", removed_words long")
 
 
 def _removed_by_join(found: DataFrame, over: DataFrame) -> DataFrame:
@@ -204,17 +208,17 @@ def remove_frequent_lines(docs: DataFrame, text: str = "text", host: str = "sour
     """
     names = [x.split()[0] for x in _FEATURES.split(", ")]
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
-    found = checkpoint(rows.drop("__row").mapInArrow(_scan("__text", "__host", names), _FEATURES).select(*_TEXT, "lines", "line_words"))
+    found = checkpoint(rows.drop("__row").mapInArrow(k.task(_scan("__text", "__host", names)), _FEATURES).select(*_TEXT, "lines", "line_words"))
     over = checkpoint(frequent_lines(found, line_limit))
     kind = f"__row {rows.schema['__row'].dataType.simpleString()}"
     if over.count() <= max_broadcast:
         shared = docs.sparkSession.sparkContext.broadcast(_line_keys(over))
-        cut = rows.mapInArrow(_cut(["__row"], shared), f"{kind}, __cut string")
+        cut = rows.mapInArrow(k.task(_cut(["__row"], shared)), f"{kind}, __cut string")
     else:
         go = _each_line(found).join(over, ["host_key", "line"]).groupBy(*_TEXT).agg(F.collect_list("line").alias("__go"))  # at most a document's own lines
-        keyed = rows.mapInArrow(_scan("__text", "__host", ["__row", "__text", "__host", *names]), f"{kind}, __text string, __host string, {_FEATURES}")
+        keyed = rows.mapInArrow(k.task(_scan("__text", "__host", ["__row", "__text", "__host", *names])), f"{kind}, __text string, __host string, {_FEATURES}")
         joined = keyed.join(go, [*_TEXT], "left").select("__row", "__text", "__host", "__go")
-        cut = joined.mapInArrow(_cut(["__row"], None), f"{kind}, __cut string")
+        cut = joined.mapInArrow(k.task(_cut(["__row"], None)), f"{kind}, __cut string")
     out = cut.select(*(F.col("__cut").cast(docs.schema[c].dataType).alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns))
     return out
 

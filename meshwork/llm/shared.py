@@ -2,51 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshwork.session import Scratch, delete_folder, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where none is set, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="meshwork-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A copy in the shared folder, with its lineage cut, which survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["Packed", "Scratch", "checkpoint", "delete_folder", "lower_ascii", "partitions", "ranked", "shared_folder"]
 
 
-class Scratch:
-    """Tables of a loop, written to the shared folder and read again; clear() deletes them.
+class Packed:
+    """docs as __text and a struct __row of the other columns, so that a text goes to a Python worker and back only once.
 
-    Unlike a checkpoint, a table that is read has the size of its files, so estimates don't multiply from round to round (a loop
-    of joins over checkpoints has estimates of millions of digits in the end), and small tables are broadcast.
+    A text column of another type than string stays in the struct, too, and is given back from there where the text has not changed.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.tables = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
-
-    def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{self.tables}"
-        self.tables += 1
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    def __init__(self, docs: DataFrame, text: str):
+        self.docs, self.text = docs, text
+        self.kind = docs.schema[text].dataType
+        self.fields = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text or self.kind.simpleString() != "string"}
+        row = F.struct(F.lit(1).alias("__"), *(F.col(c).alias(f) for c, f in self.fields.items()))
+        self.rows = docs.select(row.alias("__row"), F.col(text).cast("string").alias("__text"))
+        self.row_kind = self.rows.schema["__row"].dataType.simpleString()
 
-    def clear(self) -> None:
-        delete_folder(self.spark, self.folder)
+    def unpack(self, rows: DataFrame, changed: Column | None = None) -> DataFrame:
+        """The columns of docs; changed: the text that stands in place of __text, null where it stays as it is."""
+        body = F.col("__row")[self.fields[self.text]] if self.text in self.fields else F.col("__text")
+        if changed is not None:
+            body = F.when(changed.isNotNull(), changed.cast(self.kind)).otherwise(body)
+        return rows.select(*(body.alias(c) if c == self.text else F.col("__row")[self.fields[c]].alias(c) for c in self.docs.columns))
 
 
-def delete_folder(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A copy in the shared folder, with its lineage cut, which survives the loss of executors."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def partitions(spark: SparkSession) -> int:

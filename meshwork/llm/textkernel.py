@@ -10,17 +10,18 @@ memory does not follow the length of the texts (only the words' own arrays do).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _Q = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[tuple[np.ndarray, np.ndarray]] = []  # one pair of tables at most
 
 #: Bytes of white space: space, \t \n \v \f \r.
 SPACE = np.zeros(256, bool)
@@ -39,6 +40,25 @@ ALNUM[0x80:] = True
 CHAR_START = (np.arange(256) & 0xC0) != 0x80
 
 
+def give_back() -> None:
+    """Returns memory that is free to the system; workers live on between tasks, and beside others of the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A function for mapInArrow that gives memory back when it is done."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that hashes behave as if they were random."""
     x = x.astype(np.uint64, copy=True)
@@ -52,18 +72,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of _P and of its inverse, at least n of each."""
-    size = 1 << max(10, (n - 1).bit_length())
-    if size not in _powers:
-        out = []
+    if not _powers or len(_powers[0][0]) < n:
+        size, out = 1 << max(10, (n - 1).bit_length()), []
         for base in (_P, pow(_P, -1, 1 << 64)):
             p = np.ones(1, np.uint64)
             while len(p) < size:
                 p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
             out.append(p)
-        if size > 2 * SLICE:  # one very long word; not worth keeping
+        if size > 4 * SLICE:  # one very long word; not worth keeping
             return out[0], out[1]
-        _powers[size] = (out[0], out[1])
-    return _powers[size]
+        _powers[:] = [(out[0], out[1])]
+    return _powers[0]
 
 
 class SpanHasher:

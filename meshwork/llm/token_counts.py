@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as k
+
 MARK = "▁"  # stands for a space in SentencePiece models
 TOP = 1024  # pre-tokens that a task reports
 COUNTED = 100_000  # pre-tokens that a task's counter holds at most, but for those of one text
@@ -129,7 +131,7 @@ def frequent(docs: DataFrame, text: str, model: str, table: int = TABLE) -> dict
         top = [(p, n) for p, n in seen.most_common(TOP) if len(p) <= LONG and n > 1]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["token", "n"])
 
-    reports = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(report, "token string, n long")
+    reports = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(k.task(report), "token string, n long")
     top = reports.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(table).collect()
     names = [r.token for r in top]
     return dict(zip(names, tokenizer(model).lengths(names), strict=True)) if names else {}
@@ -154,4 +156,4 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", text: str
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), size, n, pc.greater(n, limit)], names)
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
-    return docs.select(*keys, F.col(text).cast("string").alias("__text")).mapInArrow(count, f"{kinds}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(*keys, F.col(text).cast("string").alias("__text")).mapInArrow(k.task(count), f"{kinds}, n_bytes long, n_tokens long, over_limit boolean")
