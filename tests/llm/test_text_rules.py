@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import random
 import re
 import tracemalloc
@@ -197,6 +199,55 @@ def test_small_cache_counts_alike(monkeypatch):
     assert [few(t) for t in ODD] == [len(few.tokenizer.model.encode(t or "")) for t in ODD]
 
 
+def brute_statistics(text):
+    """The features of a text, by plain loops over its bytes."""
+    data = (text or "").encode()
+    words, n = [w for w in re.split(rb"[\x20\x09-\x0d]+", data) if w], max(len(data), 1)
+    share = lambda chars: math.log(sum(c in chars for c in data) / n + 1e-3)
+    m, sizes = max(len(words), 1), [len(w) for w in words]
+    mean = sum(sizes) / m
+    spread = math.sqrt(max(sum(x * x for x in sizes) / m - mean**2, 0))
+    letters = sum(c >= 0x80 or chr(c).isalpha() for c in data) / n
+    upper = range(0x41, 0x5B)
+    return [
+        math.log1p(len(words)), math.log1p(mean), math.log1p(spread), share(upper), share(b"0123456789"), share(b"#*$%&|<>@^~_=+{}[]\\/"), share(b"!?"), share(b".,;:"), math.log(letters + 0.02),
+        math.log((data.count(b"\n") + 1) / m), math.log(sum(a == b for a, b in itertools.pairwise(words)) / m + 1e-3), math.log(len({*words}) / m + 1e-2),
+        math.log((len({*itertools.pairwise(words)}) + 1) / m + 1e-2), math.log(sum(w[0] in upper for w in words) / m + 1e-2),
+    ]
+
+
+def brute_scores(texts, labelled, shrink=50.0, ridge=0.02):
+    """Posterior of class 1 from two normal densities with shrunken covariances, by inverses and determinants; labelled: (place, label)."""
+    x = np.array([brute_statistics(t) for t in texts])
+    sets = [x[[i for i, y in labelled if y == c]] for c in (0, 1)]
+    covs = [np.cov(z.T, bias=True) for z in sets]
+    total = sum(map(len, sets))
+    pooled = sum(len(z) * c for z, c in zip(sets, covs, strict=True)) / total
+    density = []
+    for z, cov in zip(sets, covs, strict=True):
+        keep = len(z) / (len(z) + shrink)
+        s = (1 - ridge) * (keep * cov + (1 - keep) * pooled) + ridge * np.diag(np.diag(pooled) + 1e-3)
+        away = x - z.mean(axis=0)
+        density.append(math.log(len(z) / total) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(s), away))
+    return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
+
+
+def test_scores_against_brute_force(spark):
+    rng = random.Random(13)
+    texts = [*ODD]
+    for i in range(160):
+        words = _words(rng, rng.randint(1, 60)).split()
+        texts.append(rng.choice([" ", "\n", " # ", "\t"] if i % 2 else [" ", ". ", ", "]).join(w.capitalize() if rng.random() < 0.2 else w for w in words) + rng.choice(["", "!", " 12", "é"]))
+    labelled = [(i, i % 2) for i in range(len(texts)) if i % 3]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = [(i, y, 0) for i, y in labelled] + [(i, y, 1) for i, y in labelled[:30]] + [(None, 1, 0), (7, 5, 0), (10_000, 1, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_classifier.quality_scores(docs, labels).collect()}
+    want = brute_scores(texts, labelled)
+    assert max(abs(got[i].score - want[i]) for i in range(len(texts))) < 1e-9
+    assert all(r.predicted == (r.score >= 0.7) for r in got.values()) and len({r.predicted for r in got.values()}) == 2
+
+
 def test_quality_scores(spark):
     rng = random.Random(3)
     good = [(2 * i, "\n".join(_words(rng, 15).capitalize() + "." for _ in range(rng.randint(1, 6)))) for i in range(150)]
