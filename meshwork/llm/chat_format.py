@@ -31,6 +31,13 @@ def no_parameters(spark: SparkSession) -> DataFrame:
     return spark.range(0).select(*(F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in PARAMETERS.split(", ")))
 
 
+def parameter_table(spark: SparkSession, rows: list[tuple[str, str, str, bool]]) -> DataFrame:
+    """A table of parameters, of literals."""
+    names = [x.split()[0] for x in PARAMETERS.split(", ")]
+    items = [F.struct(*(F.lit(v).alias(c) for c, v in zip(names, r, strict=True))) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*items))) if rows else no_parameters(spark)
+
+
 def _object(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?s)^\s*\{"), F.lit(False))
 

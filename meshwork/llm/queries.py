@@ -105,9 +105,9 @@ def tool_chats(conversations: DataFrame) -> DataFrame:
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat_format import PARAMETERS, format_chats
+    from .chat_format import format_chats, parameter_table
 
-    return format_chats(tool_chats(table(spark, sf_dir, "conversations")), spark.createDataFrame(LOOKUP, PARAMETERS))
+    return format_chats(tool_chats(table(spark, sf_dir, "conversations")), parameter_table(spark, LOOKUP))
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_decontamination, op4_quality_rules, op5_token_counts, op6_piece_sampling, op7_sharding, op8_ngram_jaccard_join, op9_secret_scans, op10_chat_formatting)}
