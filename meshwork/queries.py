@@ -110,6 +110,11 @@ def symmetrize(spark: SparkSession, d: str) -> DataFrame:
     return part_hi(spark, d).unweighted().symmetrize().edges
 
 
+@query("SELECT src, dst, weight FROM part_seq UNION ALL SELECT dst, src, weight FROM part_seq")
+def symmetrize_part_seq(spark: SparkSession, d: str) -> DataFrame:
+    return part_sequence(spark, d).symmetrize().edges
+
+
 @query("SELECT src, dst, weight FROM part_hi UNION ALL SELECT dst, src, weight FROM part_hi")
 def symmetrize_weighted(spark: SparkSession, d: str) -> DataFrame:
     return part_hi(spark, d).symmetrize().edges
@@ -257,6 +262,11 @@ def adjacency_list(spark: SparkSession, d: str) -> DataFrame:
     return part_hi(spark, d).unweighted().adjacency().select("src", "degree", F.array_join("nbrs", " ").alias("nbrs"))
 
 
+@query("SELECT src, count(*) AS degree, string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst) AS nbrs FROM trade GROUP BY 1")
+def adjacency_list_trade(spark: SparkSession, d: str) -> DataFrame:
+    return trade(spark, d).unweighted().adjacency().select("src", "degree", F.array_join("nbrs", " ").alias("nbrs"))
+
+
 @query("SELECT src, count(*) AS degree, string_agg(CAST(dst AS VARCHAR) || ':' || CAST(CAST(weight AS INTEGER) AS VARCHAR), ' ' ORDER BY dst, weight) AS nbrs FROM part_hi GROUP BY 1")
 def adjacency_list_weighted(spark: SparkSession, d: str) -> DataFrame:
     item = F.transform("nbrs", lambda x: F.concat(x["dst"].cast("string"), F.lit(":"), x["weight"].cast("int").cast("string")))
@@ -356,6 +366,7 @@ _rank("pagerank_converged", "part_hi", _rank_sql(), lambda g: programs.pagerank(
 _rank("pagerank_alpha50", "part_hi", _rank_sql(alpha=0.5), lambda g: programs.pagerank(g, damping=0.5))
 _rank("pagerank_trade", "trade", _rank_sql("trade"), lambda g: programs.pagerank(g))
 _rank("pagerank_part_seq", "part_seq", _rank_sql("part_seq", rounds=5), lambda g: programs.pagerank(g, 5))
+_rank("rwr_part_seq", "part_seq", _rank_sql("part_seq", rounds=5, source=0), lambda g: programs.random_walk(g, 0, 5))
 _rank("rwr_source0", "part_hi", _rank_sql(source=0), lambda g: programs.random_walk(g, 0))
 _rank("rwr_source7", "part_hi", _rank_sql(source=7, rounds=10), lambda g: programs.random_walk(g, 7, 10))
 for _t in (-1, 0, 4, 100):
