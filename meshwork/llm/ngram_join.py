@@ -12,36 +12,43 @@ and suffix filters; each pair is verified once, on whole sets, and a pair that i
    The first scan also finds, by bounded counters in each task, n-grams that very many texts have (a passage
    in a third of them, say): these come last in the order without being counted, so no task gathers all texts that have one.
 2. Texts that share a prefix n-gram, and whose lengths allow a link, fall into clusters (connected components by joins).
-3. The texts of a cluster meet in one task, or, for a large cluster, in one task for each pair of its blocks, and are
-   joined there exactly: rare-first prefixes, length, positional and suffix (size by range of n-grams) filters, then
-   verification.  Tasks return a spanning forest of the links, never all pairs.
+3. The texts of a cluster are dealt to blocks; each block is joined in one task, exactly: rare-first prefixes, length,
+   positional and suffix (size by range of n-grams) filters, then verification.  Tasks return a spanning forest of the links,
+   never all pairs.  In a cluster of several blocks, one text of each component goes on to the next round, as long as rounds
+   bring the components down; then texts of different components that share a prefix n-gram meet in all pairs of blocks.
+   So a large group of near copies costs a few rounds, and its blocks are crossed only for what has not been joined.
 4. Components of the forest, by joins.
 
-Equal texts are one node throughout (64-bit hash).  N-grams are compared by 64-bit hashes.
+Equal texts are one node throughout, by a 64-bit hash; hashes that two different texts share are found by a second hash, and
+such texts get another key.  N-grams are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshwork.plans.contraction import components
+
 from . import textkernel as k
-from .shared import checkpoint, partitions
+from .shared import Scratch, checkpoint, partitions
 
 #: By threshold: band edges (set sizes) and, for each band, the share of the hash space in 1/8.  A share has to be well above
 #: what a set can lack; below the last threshold everything is used.
-BANDS = ((90, ((0, 8), (64, 4), (256, 2))), (80, ((0, 8), (64, 5), (128, 4), (512, 3))), (0, ((0, 8),)))
+BANDS = ((90, ((0, 8), (64, 4), (384, 2))), (80, ((0, 8), (64, 5), (128, 4), (512, 3))), (0, ((0, 8),)))
 BLOCK_ROWS = 256
 BLOCK_GRAMS = 1 << 21
 _SUFFIX_PARTS = 16
 HOT = 16_384  # n-grams that a task reports, and that are held to be hot, at most
-COUNTED = 2_000_000  # n-grams that a task's counter takes in before it is thinned out
+COUNTED = 500_000  # n-grams that a task's counter takes in before it is thinned out
 SEEN = 1_000_000  # keys by which a task tells copies
+FEW = 500_000  # keys (8 bytes each) or rows that are broadcast, at most; their number is counted
 
 
 def bands_for(threshold: int) -> tuple:
@@ -150,7 +157,7 @@ def _sizes(size: int, threshold: int, bands: tuple):
 
 
 def _grams(size: int, threshold: int, bands: tuple, shared):
-    """(key, n, band, safe, grams, hot): n-grams of each new key, the hot ones apart."""
+    """(key, n, band, total, grams, hot): n-grams of each new key, the hot ones apart, and how many of both; total is null if that isn't safe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -168,70 +175,62 @@ def _grams(size: int, threshold: int, bands: tuple, shared):
                         seen.add(key)
                     for band, grams in band_grams(h[edges[i] : edges[i + 1]], threshold, bands):
                         known = k.member(grams, hot)
-                        out.append((key, n, band, len(grams) > n - -(-threshold * n // 100), grams[~known].view(np.int64), grams[known].view(np.int64)))
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)], ["key", "n", "band", "safe", "grams", "hot"])
+                        safe = len(grams) > n - -(-threshold * n // 100)
+                        out.append((key, n, band, len(grams) if safe else None, grams[~known].view(np.int64), grams[known].view(np.int64)))
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)], ["key", "n", "band", "total", "grams", "hot"])
 
     return run
 
 
 def prefixes(texts: DataFrame, size: int, threshold: int, bands: tuple, hot: np.ndarray) -> DataFrame | None:
-    """(key, n, gram): prefix n-grams that more than one text has, of texts that may link; None if a text isn't safe.
+    """(key, n, grams): prefix n-grams that more than one text has, of texts that may link; None if a text isn't safe.
 
-    N-grams known to be hot come last in the order, and their rows are not gathered to be counted.
+    N-grams known to be hot come last in the order, and their rows are not gathered to be counted; as HOT of them are known, any other
+    has less than one in HOT of all rows, which is the most that one key brings to a task.  Every n-gram is dealt once, to be
+    counted; only those that several texts have go on, as a text's other n-grams are what they lack of its total.
     """
     shared = texts.sparkSession.sparkContext.broadcast(hot)  # HOT at most
-    found = texts.mapInArrow(_grams(size, threshold, bands, shared), "key long, n int, band int, safe boolean, grams array<long>, hot array<long>")
-    rows = found.select("key", "n", "band", F.explode(F.when(F.col("safe"), F.col("grams")).otherwise(F.array(F.lit(None).cast("long")))).alias("gram"))
-    # a text that isn't safe shows as a null gram, which is dealt by its key
-    rows = rows.withColumn("at", F.coalesce("gram", F.col("key"))).repartition("at")
-    gram = Window.partitionBy("at")
-    once = rows.withColumn("copy", F.lag("key").over(gram.orderBy("key", "band")) == F.col("key")).filter("copy is null or not copy")
-    counted = once.select("key", "n", "band", "gram", F.count("*").over(gram).alias("df"))
-    if len(hot):
-        most = F.lit((1 << 63) - 1).alias("df")
-        counted = counted.unionAll(found.filter("safe").select("key", "n", "band", F.explode("hot").alias("gram"), most))
-    allowed = F.col("n") - F.ceil(F.col("n") * threshold / 100).cast("int")
-    by_text = counted.groupBy("key", "n", "band").agg(
-        F.count_if(F.col("gram").isNull()).alias("unsafe"),
-        F.count_if(F.col("df") == 1).alias("alone"),
-        F.collect_set(F.when((F.col("df") > 1) & F.col("gram").isNotNull(), F.struct("df", "gram"))).alias("shared"),
-    )
-    kept = checkpoint(by_text.withColumn("m", allowed).filter((F.col("unsafe") > 0) | ((F.col("alone") <= F.col("m")) & (F.size("shared") > 0))))
-    if kept.filter("unsafe > 0").head(1):
+    found = texts.mapInArrow(k.task(_grams(size, threshold, bands, shared)), "key long, n int, band int, total int, grams array<long>, hot array<long>")
+    # a text's numbers in one column: n, total and band; -1 shows a text that isn't safe
+    packed = F.coalesce(F.shiftleft(F.col("n").cast("long"), 34) + F.shiftleft(F.col("total").cast("long"), 3) + F.col("band"), F.lit(-1).cast("long")).alias("packed")
+    rows = found.select("key", packed, F.explode(F.when(F.col("total").isNotNull(), F.col("grams")).otherwise(F.array("key"))).alias("gram"))
+    gram = Window.partitionBy("gram")
+    once = rows.withColumn("copy", F.lag("key").over(gram.orderBy("key", "packed")) == F.col("key")).filter("copy is null or not copy or packed < 0")
+    counted = once.select("key", "packed", "gram", F.count("*").over(gram).alias("df")).filter("df > 1 or packed < 0")
+    counted = counted.select("key", "packed", F.struct("df", "gram").alias("x"), F.lit(None).cast("array<long>").alias("hot"))
+    if len(hot):  # as they are, in one row a text
+        counted = counted.unionAll(found.filter("total is not null and size(hot) > 0").select("key", packed, F.lit(None).cast(counted.schema["x"].dataType).alias("x"), "hot"))
+    by_text = counted.groupBy("key", "packed").agg(F.collect_set("x").alias("shared"), F.coalesce(F.first("hot", ignorenulls=True), F.array().cast("array<long>")).alias("hot"))
+    n, total = F.shiftright("packed", 34).cast("int"), F.shiftright("packed", 3).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    lacks = by_text.withColumn("n", n).withColumn("alone", total - F.size("shared") - F.size("hot")).withColumn("m", F.col("n") - F.ceil(F.col("n") * threshold / 100).cast("int"))
+    kept = checkpoint(lacks.filter((F.col("packed") < 0) | (F.col("alone") <= F.col("m"))))
+    if kept.filter("packed < 0").head(1):
         return None
-    first = F.slice(F.array_sort("shared"), F.lit(1), (F.col("m") + 1 - F.col("alone")).cast("int"))
-    return kept.select("key", "n", F.explode(first).alias("x")).select("key", "n", F.col("x.gram").alias("gram"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(key, label): the smallest key that each key of edges (a, b) reaches.  Rounds of joins, checkpointed."""
-    both = checkpoint(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = both.join(labels, both["b"] == labels["key"]).groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "key").select("key", "label", F.least("label", "near").alias("new"))
-        # jump: the label's own label
-        jump = step.join(labels.select(F.col("key").alias("new"), F.col("label").alias("far")), "new", "left")
-        after = checkpoint(jump.select("key", "label", F.least("new", F.coalesce("far", F.col("new"))).alias("new")))
-        done = not after.filter("label <> new").head(1)
-        labels = after.select("key", F.col("new").alias("label"))
-        if done:
-            return labels
-
-
-def clusters(postings: DataFrame, threshold: int) -> DataFrame:
-    """(key, cluster) of texts that share a prefix n-gram with another text of a size that allows a link.
-
-    Sizes fall into classes as wide as the threshold allows (and a little more), so two linked texts are of one class or of
-    neighbouring ones; each text stands in its class and the next.
-    """
+    order = F.concat(F.transform(F.array_sort("shared"), lambda x: x["gram"]), F.array_sort("hot"))
+    return kept.select("key", "n", F.slice(order, F.lit(1), F.col("m") + 1 - F.col("alone")).alias("grams"))
+
+
+def placed(postings: DataFrame, threshold: int, *more: str) -> DataFrame:
+    """(gram, class, key, n): sizes fall into classes as wide as the threshold allows (and a little more), so two linked texts are
+    of one class or of neighbouring ones; each text stands in its class and the next."""
     size = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / threshold) + 1e-6)).cast("int")
-    placed = postings.select("gram", F.explode(F.array(size, size + 1)).alias("class"), "key")
-    # a star to the first text connects as well as all pairs do
-    firsts = placed.groupBy("gram", "class").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
-    edges = placed.join(firsts, ["gram", "class"]).filter("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct()
-    return components(edges).select("key", F.col("label").alias("cluster"))
+    each = postings.select(F.explode("grams").alias("gram"), "key", "n", *more)
+    return each.select("gram", F.explode(F.array(size, size + 1)).alias("class"), "key", "n", *more)
+
+
+def clusters(places: DataFrame) -> DataFrame:
+    """(key, n, cluster) of texts that share a prefix n-gram with another text of a size that allows a link.
+
+    The first text of each n-gram and class is its centre: stars connect as well as all pairs do.  A text goes with the least of
+    its centres; only the centres and what texts link among them make a graph, so copies of a text add nothing to it.
+    """
+    firsts = places.groupBy("gram", "class").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
+    # the aggregate above is one row an n-gram and class, so AQE can split the rows of a frequent one in the join
+    met = places.join(firsts, ["gram", "class"]).groupBy("key", "n").agg(F.collect_set("first").alias("firsts"))
+    met = checkpoint(met.select("key", "n", F.array_min("firsts").alias("least"), F.array_remove("firsts", F.array_min("firsts")).alias("firsts")))
+    found = components(met.select("least", F.explode("firsts").alias("a")).select("a", F.col("least").alias("b")).distinct())
+    return met.join(found.withColumnRenamed("key", "least"), "least", "left").select("key", "n", F.coalesce("label", "least").alias("cluster"))
 
 
 class Forest:
@@ -251,8 +250,8 @@ class Forest:
         return new
 
 
-def join_sets(h: np.ndarray, edges: np.ndarray, threshold: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets; side: only links between rows of different sides count.
+def join_sets(h: np.ndarray, edges: np.ndarray, threshold: int, sides: list[np.ndarray] | tuple = ()) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets; sides: only links between rows that differ in all of them count.
 
     h holds the sets one after the other; edges where they begin.
     """
@@ -285,7 +284,7 @@ def join_sets(h: np.ndarray, edges: np.ndarray, threshold: int, side: np.ndarray
         b, theirs = row[at], position[at]
         # length: the smaller set leads, so each pair is met once
         ok = ((n[b] > n[a]) | ((n[b] == n[a]) & (b > a))) & (threshold * n[b] <= 100 * n[a]) & (forest.root[b] != forest.root[a])
-        if side is not None:
+        for side in sides:
             ok &= side[b] != side[a]
         b, theirs, mine = b[ok], theirs[ok], mine[ok]
         if not len(b):
@@ -307,7 +306,7 @@ def join_sets(h: np.ndarray, edges: np.ndarray, threshold: int, side: np.ndarray
 
 
 def _verify(size: int, threshold: int):
-    """Forest edges (a, b) among the keys of each cluster (or pair of blocks) of a group."""
+    """Forest edges (a, b) among the keys of each block (or pair of blocks) of a group of tasks."""
 
     def run(table: pa.Table) -> pa.Table:
         out: list[tuple[int, int]] = []
@@ -317,73 +316,168 @@ def _verify(size: int, threshold: int):
             order = np.argsort(task, kind="stable")
             for rows in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
                 part = table.take(pa.array(rows))
-                keys, blocks = part.column("key").to_numpy(), part.column("block").to_numpy()
+                keys, blocks, labels = (part.column(c).to_numpy() for c in ("key", "block", "label"))
                 pieces = [sets(s, size) for s in k.slices(part.column("text"))]
                 h = np.concatenate([x for x, _ in pieces])
                 edges = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(e) for _, e in pieces]))])
-                side = blocks if part.column("cross")[0].as_py() else None
-                out += [(int(keys[a]), int(keys[b])) for a, b in join_sets(h, edges, threshold, side)]
+                sides = [labels] + ([blocks] if part.column("cross")[0].as_py() else [])
+                out += [(int(keys[a]), int(keys[b])) for a, b in join_sets(h, edges, threshold, sides)]
+        k.give_back()
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
 
+def _few(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its rows, which are counted, are at most FEW."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+@dataclass(frozen=True)
+class Verifier:
+    """Joins texts (key, text), each of them in its cluster, whole."""
+
+    texts: DataFrame
+    size: int
+    threshold: int
+    block_rows: int
+    block_grams: int
+    scratch: Scratch
+
+    def blocks(self, members: DataFrame, seed: int) -> DataFrame:
+        """members (key, n, cluster, label) with the number of blocks of their cluster, and the block of each."""
+        sizes = members.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
+        sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("rows") / self.block_rows), F.ceil(F.col("grams") / self.block_grams)).cast("int").alias("blocks"))
+        dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")).cast("int"))
+        return self.scratch.write(dealt.select("key", "n", "cluster", "label", "blocks", "block"))
+
+    def join(self, members: DataFrame, cross: bool) -> DataFrame:
+        """Forest edges (a, b) between texts of different labels: within blocks, or, if cross, between all blocks of a cluster."""
+        total = members.agg(F.sum(F.col("n") * (F.col("blocks") if cross else F.lit(1)))).head()[0] or 0
+        bins = max(partitions(self.texts.sparkSession), -(-total // self.block_grams))
+        # only members' texts go on, each once; dealt by another hash than the join was, so AQE may split a text with many copies there
+        some = self.texts.join(_few(self.texts.sparkSession, members.select("key")), "key", "left_semi")
+        whole = some.groupBy(F.xxhash64("key").alias("at"), "key").agg(F.first("text").alias("text")).join(members, "key")
+        if cross:
+            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+            whole = whole.withColumn("other", other)
+        else:
+            whole = whole.withColumn("other", F.col("block"))
+        low, high = F.least("block", "other"), F.greatest("block", "other")
+        task = F.xxhash64("cluster", low, high)
+        met = whole.select("key", "text", "block", "label", (low != high).alias("cross"), task.alias("task"), F.pmod(task, F.lit(bins)).alias("bin"))
+        return self.scratch.write(met.groupBy("bin").applyInArrow(_verify(self.size, self.threshold), "a long, b long"))
+
+
 def links(texts: DataFrame, size: int, threshold: int, bands: tuple, block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS, hot: np.ndarray | None = None) -> DataFrame:
     """Forest edges (a, b) between keys of texts (key, text) that link; hot: sorted n-grams known to be frequent."""
     hot = np.zeros(0, np.uint64) if hot is None else hot
     while (found := prefixes(texts, size, threshold, bands, hot)) is None:
         bands = tuple((2 * low, share) for low, share in bands)
-    postings = checkpoint(found)
-    near = clusters(postings, threshold)
-    near = near.join(postings.groupBy("key").agg(F.first("n").alias("n")), "key")
-    sizes = near.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
-    sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("grams") / block_grams)).cast("int").alias("blocks"))
-    members = checkpoint(near.join(sizes, "cluster").select("key", "n", "cluster", "blocks", F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int").alias("block")))
-    total = members.agg(F.sum(F.col("n") * F.col("blocks"))).head()[0] or 0
-    bins = max(partitions(texts.sparkSession), -(-total // block_grams))
-    whole = texts.groupBy("key").agg(F.first("text").alias("text")).join(members, "key")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = whole.select("key", "text", "cluster", "block", "blocks", other.alias("other"))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    task = F.xxhash64("cluster", low, high)
-    met = met.select("key", "text", "block", (low != high).alias("cross"), task.alias("task"), F.pmod(task, F.lit(bins)).alias("bin"))
-    return met.groupBy("bin").applyInArrow(_verify(size, threshold), "a long, b long")
-
+    scratch = Scratch(texts.sparkSession)
+    postings = scratch.write(found)
+    verifier = Verifier(texts, size, threshold, block_rows, block_grams, scratch)
+    forest = checkpoint(_forest(verifier, postings))
+    scratch.clear()
+    return forest
+
+
+def _forest(verifier: Verifier, postings: DataFrame) -> DataFrame:
+    write, threshold = verifier.scratch.write, verifier.threshold
+    members = verifier.blocks(clusters(placed(postings, threshold)).withColumn("label", F.col("key")), 0)
+    forest = verifier.join(members, cross=False)
+    large = members.filter("blocks > 1").drop("blocks", "block")
+    before = large.count()
+    # texts of one component stand for each other: first one of each meets, as long as that at least halves their number
+    while before:
+        found = components(forest.join(large.select(F.col("key").alias("a")), "a", "left_semi"))
+        large = write(large.drop("label").join(found, "key", "left").withColumn("label", F.coalesce("label", "key")))
+        heads = large.filter("key = label")
+        heads = write(heads.join(heads.groupBy("cluster").agg(F.count("*").alias("heads")).filter("heads > 1").drop("heads"), "cluster"))
+        now = heads.count()
+        if not now:
+            return forest
+        if 2 * now > before:
+            break
+        before, forest = now, write(forest.unionAll(verifier.join(verifier.blocks(heads, now), cross=False)))
+    else:
+        return forest
+    # what is left to compare: texts of different components that share a prefix n-gram
+    places = placed(postings.join(large.select("key", "label"), "key"), threshold, "label")
+    mixed = places.groupBy("gram", "class").agg(F.min("label").alias("one"), F.max("label").alias("two")).filter("one < two").select("gram", "class")
+    rest = clusters(places.join(mixed, ["gram", "class"]).drop("label")).join(large.select("key", "label"), "key")
+    return forest.unionAll(verifier.join(verifier.blocks(rest, 1), cross=True))
+
+
+def text_hash(t: Column, seed: int) -> Column:
+    return F.xxhash64(t, F.lit(seed)) if seed else F.xxhash64(t)
+
+
+def text_key(t: Column, shared: list[int]) -> Column:
+    """A text's key: a 64-bit hash, or, for the hashes that several texts of the table share, another one."""
+    key = text_hash(t, 0)
+    return F.when(key.isin(shared), text_hash(t, 1)).otherwise(key) if shared else key
+
+
+def _scan(docs: DataFrame, text: str, keys: tuple[str, ...], size: int, threshold: int, bands: tuple) -> tuple[DataFrame, np.ndarray, list[int]]:
+    """(row, key, n) of each row, hot n-grams, and hashes that different texts share (n * n / 2**65 of n texts are to be expected)."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    row = F.struct(*(F.col(c) for c in keys))
+    data = docs.select(F.struct(row.alias("row"), text_hash(t, 1).alias("other")).alias("row"), text_hash(t, 0).alias("key"), t.alias("text"))
+    kind = data.schema["row"].dataType.simpleString()
+    scanned = checkpoint(data.mapInArrow(k.task(_sizes(size, threshold, bands)), f"row {kind}, key long, n long, hot array<long>, hot_n array<long>"))
+    meta = scanned.filter("hot is null").select("row.row", "row.other", "key", "n")
+    twice = meta.groupBy("key").agg(F.min("other").alias("one"), F.max("other").alias("two")).filter("one <> two").select("key")
+    shared = [r.key for r in twice.collect()]
+    if shared:
+        meta = meta.withColumn("key", F.when(F.col("key").isin(shared), F.col("other")).otherwise(F.col("key")))
+    reports = scanned.filter("hot is not null").select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x"))
+    top = reports.groupBy(F.col("x.hot").alias("gram")).agg(F.sum("x.hot_n").alias("n")).orderBy(F.desc("n"), "gram").limit(HOT).collect()
+    return meta.drop("other"), np.sort(np.array([r.gram for r in top], np.int64).view(np.uint64)), shared
 
-def near_duplicates(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), size: int = 3, threshold: int = 90, bands: tuple | None = None, **options) -> DataFrame:
-    """keys, n_shingles, key (the text's hash), group_key (the component's), node_id (smallest id among equal texts) and component_id for each row.
 
-    The first of ``keys`` is the id.  A text of fewer words than ``size`` is one n-gram; null and empty texts have an empty set,
-    and their row is its own component.  Null ids count only where a component has no other; repeated rows are fine.
-    """
+def _near_duplicates(docs: DataFrame, text: str, keys: tuple[str, ...], size: int, threshold: int, bands: tuple | None, options: dict) -> tuple[DataFrame, list[int]]:
     bands = bands or bands_for(threshold)
+    meta, hot, shared = _scan(docs, text, keys, size, threshold, bands)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    key = F.xxhash64(t)
-    data = docs.select(F.struct(*(F.col(c) for c in keys)).alias("row"), key.alias("key"), t.alias("text"))
-    kind = docs.select(F.struct(*(F.col(c) for c in keys)).alias("row")).schema["row"].dataType.simpleString()
-    scanned = checkpoint(data.mapInArrow(_sizes(size, threshold, bands), f"row {kind}, key long, n long, hot array<long>, hot_n array<long>"))
-    meta = scanned.filter("hot is null").select("row", "key", "n")
-    reports = scanned.filter("hot is not null").select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x"))
-    top = reports.groupBy(F.col("x.hot").alias("gram")).agg(F.sum("x.hot_n").alias("n")).orderBy(F.desc("n"), "gram").limit(HOT).collect()
-    hot = np.sort(np.array([r.gram for r in top], np.int64).view(np.uint64))
-    found = components(checkpoint(links(data.select("key", "text").filter("text <> ''"), size, threshold, bands, hot=hot, **options)))
+    texts = docs.select(text_key(t, shared).alias("key"), t.alias("text")).filter("text <> ''")
+    found = components(links(texts, size, threshold, bands, hot=hot, **options))
     smallest = meta.filter("n > 0").groupBy("key").agg(F.min(F.col("row")[keys[0]]).alias("node_id"))
     labelled = checkpoint(smallest.join(found, "key", "left"))
     tops = labelled.filter("label is not null").groupBy("label").agg(F.min("node_id").alias("component_id"))
     named = labelled.join(tops, "label", "left").select("key", "node_id", F.coalesce("label", "key").alias("group_key"), F.coalesce("component_id", "node_id").alias("component_id"))
     own = F.col("row")[keys[0]]
     out = meta.join(named, "key", "left")
-    return out.select(*(F.col("row")[c].alias(c) for c in keys), F.col("n").alias("n_shingles"), "key", F.coalesce("group_key", "key").alias("group_key"), F.when(F.col("n") > 0, F.col("node_id")).otherwise(own).alias("node_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, threshold: int = 80, **options) -> DataFrame:
-    """docs with one row of each component: that with the smallest id (nulls last).  Rows without n-grams all stay."""
-    found = checkpoint(near_duplicates(docs, text, (key,), size, threshold, **options).select(F.col(key).alias("id"), "n_shingles", "key", "group_key"))
-    row = lambda i, t: F.xxhash64(F.coalesce(F.col(i).cast("string"), F.lit("null")), t)
-    best = found.filter("n_shingles > 0").groupBy("group_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x"))
-    winners = best.select(F.col("x.id").alias("id"), F.col("x.key").alias("key"), F.lit(True).alias("__one"))
-    bare = found.filter("n_shingles = 0").select("id", "key", F.lit(False).alias("__one")).distinct()
-    stay = winners.unionAll(bare).select(row("id", F.col("key")).alias("__row"), "__one")
-    kept = docs.withColumn("__row", row(key, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))).join(stay, "__row")
-    place = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
-    return kept.withColumn("__place", place).filter(~F.col("__one") | (F.col("__place") == 1)).select(*docs.columns)
+    return out.select(*(F.col("row")[c].alias(c) for c in keys), F.col("n").alias("n_shingles"), "key", F.coalesce("group_key", "key").alias("group_key"), F.when(F.col("n") > 0, F.col("node_id")).otherwise(own).alias("node_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id")), shared
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), size: int = 3, threshold: int = 90, bands: tuple | None = None, **options) -> DataFrame:
+    """keys, n_shingles, key (the text's hash), group_key (the component's), node_id (smallest id among equal texts) and component_id for each row.
+
+    The first of ``keys`` is the id.  A text of fewer words than ``size`` is one n-gram; null and empty texts have an empty set,
+    and their row is its own component.  Null ids count only where a component has no other; repeated rows are fine.
+    """
+    return _near_duplicates(docs, text, keys, size, threshold, bands, options)[0]
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, threshold: int = 80, bands: tuple | None = None, **options) -> DataFrame:
+    """docs with one row of each component: that with the smallest id (nulls last; of equal ids any one).  Rows without n-grams all stay.
+
+    What goes is a table of (id, text key), which is broadcast if it is small; rows that stay are not shuffled then.
+    """
+    found, shared = _near_duplicates(docs, text, (key,), size, threshold, bands, options)
+    found = checkpoint(found.filter("n_shingles > 0").select(F.col(key).alias("id"), "key", "group_key"))
+    best = found.groupBy("group_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best"), F.count("*").alias("rows"))
+    several = found.join(best.filter("rows > 1"), "group_key")
+    wins = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
+    judged = several.groupBy("id", "key").agg(F.bool_or(wins).alias("wins"), F.count("*").alias("rows"))
+    # rows that are one of a kind and win need not be told apart from those without links
+    acts = checkpoint(judged.filter("not wins or rows > 1").select(F.col("id").alias("act_id"), F.col("key").alias("act_key"), "wins"))
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    rows = docs.select(row, F.col(key).alias("id"), text_key(F.coalesce(F.col(text).cast("string"), F.lit("")), shared).alias("key"))
+    met = rows.join(_few(docs.sparkSession, acts), F.col("id").eqNullSafe(F.col("act_id")) & (F.col("key") == F.col("act_key")), "left")
+    kept = met.filter("wins is null").select("row.*")
+    if acts.filter("wins").head(1):  # repeated rows that win
+        one = met.filter("wins").groupBy("id", "key").agg(F.first("row").alias("row"))
+        kept = kept.unionAll(one.select("row.*"))
+    return kept

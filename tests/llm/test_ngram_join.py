@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meshwork.llm import ngram_join
 from tests.llm.texts import ODD, documents, empty
@@ -88,6 +89,66 @@ def test_hot_ngrams(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute([*enumerate(texts)]))
 
 
+@pytest.mark.parametrize("path,shuffled", [(12, False), (60, True)])
+def test_components_of_graphs(spark, path, shuffled):
+    """Chains, stars with hubs of any place in the order, cycles and random graphs against a search."""
+    rng = random.Random(9)
+    graphs = [[(i, i + 1) for i in range(path)], [(1000, 1000 + i) for i in range(1, 40)], [(2999, 2900 + i) for i in range(99)]]
+    graphs += [[(4000 + i, 4000 + (i + 1) % 30) for i in range(30)] * shuffled, [(5000 + rng.randrange(150), 5000 + rng.randrange(150)) for _ in range(110)], [(7, 7)]]
+    names = [*range(8000)]
+    if shuffled:  # as the hashes of texts are
+        rng.shuffle(names)
+    pairs = [(names[a], names[b]) for g in graphs for a, b in g]
+    root = {x: x for p in pairs for x in p}
+    for _ in range(200):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.key: r.label for r in ngram_join.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert {x: got.get(x, x) for x in root} == root
+    assert ngram_join.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_blocks_meet(spark):
+    """A cluster of many blocks whose components have to be crossed: groups that share a passage, and near copies on the verge."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(6)]
+    texts = []
+    for _ in range(6):
+        base = passage + [word() for _ in range(34)]
+        for _ in range(20):
+            texts.append(" ".join(w if rng.random() > 0.03 else word() for w in base))
+    got = ngram_join.near_duplicates(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), block_rows=5, threshold=70).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute([*enumerate(texts)], 3, 70))
+
+
+def test_shared_hashes(spark, monkeypatch):
+    """Different texts with the same hash stay apart."""
+    real = ngram_join.text_hash
+    monkeypatch.setattr(ngram_join, "text_hash", lambda t, seed: real(t, seed) if seed else F.pmod(F.length(t), F.lit(9)).cast("long"))
+    docs = documents(spark, corpus(5)[:120] + ODD)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = ngram_join.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute(rows))
+
+
+def test_keep_one(spark, monkeypatch):
+    """One row of each component, whatever is broadcast; repeated rows and null ids included."""
+    docs = documents(spark, corpus(6)[:200] + ODD, extra=True)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    groups, bare = set(), 0
+    for d, n, c in brute(rows):
+        groups |= {c} if n else set()
+        bare += not n
+    for few in (ngram_join.FEW, -1):
+        monkeypatch.setattr(ngram_join, "FEW", few)
+        got = ngram_join.keep_one(docs, size=3, threshold=90)
+        assert got.columns == docs.columns
+        kept = [(r.doc_id, r.text) for r in got.collect()]
+        full = [d for d, t in kept if shingles(t)]
+        assert Counter(full) == Counter(groups) and len(kept) == len(full) + bare
+
+
 def test_local_join():
     rng = random.Random(1)
     base = [rng.sample(range(1000), rng.randint(5, 60)) for _ in range(6)]
