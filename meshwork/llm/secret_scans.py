@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import Packed
+
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_"
 _SIZE = len(ALPHABET)
 # fixed values: the patterns of the base kinds, in the order that ties are sorted in
@@ -67,16 +69,17 @@ def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
 def corpus_samples(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, words: int = 600) -> DataFrame:
     """Labelled strings (text, random = false) of the documents' own words: identifiers made of runs of six words in a row.
 
-    ``rows`` documents (those with the least hashes of their texts), and of each up to ``words`` words at places that a hash
-    deals over the whole text.  A word is 2 to 15 letters with nothing of the candidates' alphabet around it, so that no secret is taken for one.
+    About ``rows`` distinct texts (those whose hash is low enough; all if there are fewer), and of each up to ``words`` words at places that
+    a hash deals over the whole text.  A word is 2 to 15 letters with nothing of the candidates' alphabet around it, so that no secret is taken for one.
     """
-    t = F.col(text).cast("string")
-    some = docs.filter(t.isNotNull()).select(t.alias("t")).orderBy(F.xxhash64("t"), "t").limit(rows)
-    found = some.select(F.call_function("regexp_extract_all", F.col("t"), F.lit(r"(?<![A-Za-z0-9+/_-])[A-Za-z]{2,15}(?![A-Za-z0-9+/_-])"), F.lit(0)).alias("w"), F.xxhash64("t").alias("h"))
+    texts = docs.select(F.col(text).cast("string").alias("t")).filter("t is not null")
+    bound = min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * rows / max(texts.count(), rows)))
+    some = texts.filter(F.xxhash64("t") <= bound).groupBy(F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"))
+    found = some.select(F.call_function("regexp_extract_all", F.col("t"), F.lit(r"(?<![A-Za-z0-9+/_-])[A-Za-z]{2,15}(?![A-Za-z0-9+/_-])"), F.lit(0)).alias("w"), "h")
     found = found.filter(F.size("w") >= 6)
     place = F.explode(F.sequence(F.lit(0), F.least(F.lit(words // 6), F.floor(F.size("w") / 6).cast("int")) - 1)).alias("i")
     at = found.select("w", "h", place).withColumn("at", F.pmod(F.xxhash64("h", "i"), F.size("w") - 5).cast("int"))
-    return at.select(F.explode(_identifiers(lambda k: F.get("w", F.col("at") + k), F.abs("h"))).alias("text"), F.lit(False).alias("random"))
+    return at.select(F.explode(_identifiers(lambda k: F.get("w", F.col("at") + k), F.col("h"))).alias("text"), F.lit(False).alias("random"))
 
 
 def _codes(text: Column) -> Column:
@@ -203,8 +206,8 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", model: list[float] | None = None, least: float = 25.0, per_character: float = 1.0) -> DataFrame:
     """docs with every span replaced by a mark; spans that overlap become one mark.  Other columns, and null texts, stay as they are."""
-    row = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).cast("string").alias("__body"))
-    found = _segments(row, "__body", model, least, per_character)
+    packed = Packed(docs, text)
+    found = _segments(packed.rows, "__text", model, least, per_character)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def clean(x: Column) -> Column:
@@ -217,5 +220,4 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", model: l
         cut = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(x["text"], a["at"] + 1, F.length(x["text"]))))
         return F.when(F.size(x["base"]) + F.size(x["random"]) > 0, cut).otherwise(x["text"])
 
-    body = F.when(F.col("__body").isNotNull(), F.array_join(F.transform("__segments", clean), "")).cast(docs.schema[text].dataType)
-    return found.select(*(body.alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns))
+    return packed.unpack(found, F.when(F.col("__text").isNotNull(), F.array_join(F.transform("__segments", clean), "")))
