@@ -184,6 +184,22 @@ class Lattice:
         self.size, self.piece = self.size.astype(np.int32), self.piece.astype(np.int32)
 
 
+class Growing:
+    """An array that is appended to; its room doubles, so appending does not copy all that is there."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.zeros(1 << 12, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        need = self.n + len(more)
+        if need > len(self.room):
+            room = np.zeros(max(need, 2 * len(self.room)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : need] = more
+        self.n = need
+
+
 class Words:
     """Lattices of the words that a worker has met, as one; started again when it holds NODES characters."""
 
@@ -194,40 +210,47 @@ class Words:
     def clear(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
         self.first = self.last = np.zeros(0, np.int64)
-        self.start, self.size, self.piece, self.chance, self.codes = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.uint32)
+        self.held = {"start": Growing(np.int64), "size": Growing(np.int32), "piece": Growing(np.int32), "chance": Growing(np.float32), "codes": Growing(np.uint32)}
+        self.held["start"].extend(np.zeros(1, np.int64))
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        """start, size, piece, chance and codes, with room behind them."""
+        if name not in self.__dict__.get("held", ()):
+            raise AttributeError(name)
+        return self.held[name].room
 
     def learn(self, hashes: np.ndarray, codes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Where the words (sorted distinct hashes; first character and number of characters in codes) are held."""
-        if len(self.codes) + int(size.sum()) > NODES:
+        if self.held["codes"].n + int(size.sum()) > NODES:
             self.clear()
         new = np.flatnonzero(~k.member(hashes, self.hashes))
         if len(new):
             edges = np.concatenate([[0], np.cumsum(size[new])])
             some = codes[_ragged(first[new], size[new])]
             lattice = Lattice(self.p, some, edges)
-            nodes = len(self.codes)
+            nodes, edge = self.held["codes"].n, int(self.start[self.held["start"].n - 1])
             at = np.searchsorted(self.hashes, hashes[new])
             self.hashes = np.insert(self.hashes, at, hashes[new])
             self.first = np.insert(self.first, at, edges[:-1] + nodes)
             self.last = np.insert(self.last, at, edges[1:] + nodes - 1)
-            self.start = np.concatenate([self.start, lattice.start[1:] + self.start[-1]])
-            for name, more in (("size", lattice.size), ("piece", lattice.piece), ("chance", lattice.chance), ("codes", some)):
-                setattr(self, name, np.concatenate([getattr(self, name), more]))
+            for name, more in (("start", lattice.start[1:] + edge), ("size", lattice.size), ("piece", lattice.piece), ("chance", lattice.chance), ("codes", some)):
+                self.held[name].extend(more)
         return np.searchsorted(self.hashes, hashes)
 
     def sample(self, last: np.ndarray, first: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For words that occur (last and first character, seed): edge, occurrence, step and end of each piece taken."""
         out, who, at, step = [], np.arange(len(last)), last.copy(), 0
+        start, chance, size = self.start, self.chance, self.size
         while len(who):
             u = (k.mix(seeds[who] + np.uint64(step * int(_BASE) & _ALL)) >> np.uint64(11)).astype(float) * 2.0**-53
-            low, high = self.start[at], self.start[at + 1]
+            low, high = start[at], start[at + 1]
             edge = low.copy()
             moving = np.arange(len(who))
             while len(moving):  # first edge whose cumulated chance is above u
-                moving = moving[(self.chance[edge[moving]] <= u[moving]) & (edge[moving] < high[moving] - 1)]
+                moving = moving[(chance[edge[moving]] <= u[moving]) & (edge[moving] < high[moving] - 1)]
                 edge[moving] += 1
             out.append((edge, who, np.full(len(who), step, np.int32), at))
-            at = at - self.size[edge]
+            at = at - size[edge]
             more = at >= first[who]
             who, at, step = who[more], at[more], step + 1
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
