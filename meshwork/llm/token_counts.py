@@ -65,6 +65,8 @@ class PieceTokenizer:
 class JsonTokenizer:
     """A file of the tokenizers library; its own pre-tokenizer decides where texts are cut, so they go to it whole."""
 
+    cut = False
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -119,7 +121,9 @@ class Lengths:
 
 
 def frequent(docs: DataFrame, text: str, model: str, table: int = TABLE) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of all texts; at most ``table``."""
+    """Lengths of the most frequent pre-tokens of all texts; at most ``table``, and none where texts are not cut."""
+    if not tokenizer(model).cut:
+        return {}
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, seen = tokenizer(model), Counter()
