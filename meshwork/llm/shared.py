@@ -49,15 +49,17 @@ def lower_ascii(c: Column) -> Column:
 def ranked(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
     """Adds each row's place (from 0) in the order of the given columns, as a distributed sort.
 
-    Rows are dealt by range, numbered within each part, and shifted by the sizes of the parts before; no task sees more
-    than one part.  The parts are checkpointed first, so a lost executor cannot deal them in another way.  Rows that are
-    alike in all columns of the order get places next to each other.
+    Rows are dealt by range, sorted and numbered within each part, and shifted by the sizes of the parts before: one shuffle, and no task
+    sees more than one part.  The parts are checkpointed with their numbers, so a lost executor cannot deal them in another way.  Rows that
+    are alike in all columns of the order get places next to each other.
     """
     n = partitions(df.sparkSession)
-    part = f"__{name}_part"
-    dealt = checkpoint(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
+    part, number = f"__{name}_part", f"__{name}_number"
+    # a row's number has its part above 33 bits, and its place in the part below
+    dealt = checkpoint(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(number, F.monotonically_increasing_id()))
+    dealt = dealt.withColumn(part, F.shiftright(number, 33).cast("int"))
     sizes = dealt.groupBy(part).agg(F.count("*").alias("__n"))
     before = sizes.select(part, F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    local = dealt.withColumn("__local", F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1)
     # `before` has one row a part: at most as many as spark.sql.shuffle.partitions says
-    return local.join(F.broadcast(before), part).withColumn(name, (F.col("__local") + F.col("__before")).cast("long")).drop(part, "__local", "__before")
+    place = F.col(number).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before")
+    return dealt.join(F.broadcast(before), part).withColumn(name, place.cast("long")).drop(part, number, "__before")
