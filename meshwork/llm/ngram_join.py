@@ -184,7 +184,7 @@ def _grams(size: int, threshold: int, bands: tuple, shared):
 
 
 def prefixes(texts: DataFrame, size: int, threshold: int, bands: tuple, hot: np.ndarray) -> DataFrame | None:
-    """(key, n, grams): prefix n-grams that more than one text has, of texts that may link; None if a text isn't safe.
+    """(key, n, grams, hot): prefix n-grams that more than one text has, hot ones apart, of texts that may link; None if a text isn't safe.
 
     N-grams known to be hot come last in the order, and their rows are not gathered to be counted; as HOT of them are known, any other
     has less than one in HOT of all rows, which is the most that one key brings to a task.  Every n-gram is dealt once, to be
@@ -197,37 +197,46 @@ def prefixes(texts: DataFrame, size: int, threshold: int, bands: tuple, hot: np.
     rows = found.select("key", packed, F.explode(F.when(F.col("total").isNotNull(), F.col("grams")).otherwise(F.array("key"))).alias("gram"))
     gram = Window.partitionBy("gram")
     once = rows.withColumn("copy", F.lag("key").over(gram.orderBy("key", "packed")) == F.col("key")).filter("copy is null or not copy or packed < 0")
-    counted = once.select("key", "packed", "gram", F.count("*").over(gram).alias("df")).filter("df > 1 or packed < 0")
-    counted = counted.select("key", "packed", F.struct("df", "gram").alias("x"), F.lit(None).cast("array<long>").alias("hot"))
+    counted = once.select("key", "packed", "gram", F.count("*").over(gram).cast("int").alias("df")).filter("df > 1 or packed < 0")
+    counted = counted.withColumn("hot", F.lit(None).cast("array<long>"))
     if len(hot):  # as they are, in one row a text
-        counted = counted.unionAll(found.filter("total is not null and size(hot) > 0").select("key", packed, F.lit(None).cast(counted.schema["x"].dataType).alias("x"), "hot"))
-    by_text = counted.groupBy("key", "packed").agg(F.collect_set("x").alias("shared"), F.coalesce(F.first("hot", ignorenulls=True), F.array().cast("array<long>")).alias("hot"))
+        none = [F.lit(None).cast(kind).alias(c) for c, kind in (("gram", "long"), ("df", "int"))]
+        counted = counted.unionAll(found.filter("total is not null and size(hot) > 0").select("key", packed, *none, "hot"))
+    # dealt as plain rows: sets that were begun before the shuffle would hold an n-gram or two each, and be twice as large
+    by_text = counted.repartition("key").groupBy("key", "packed").agg(F.collect_set(F.when(F.col("gram").isNotNull(), F.struct("df", "gram"))).alias("shared"), F.coalesce(F.first("hot", ignorenulls=True), F.array().cast("array<long>")).alias("hot"))
     n, total = F.shiftright("packed", 34).cast("int"), F.shiftright("packed", 3).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
     lacks = by_text.withColumn("n", n).withColumn("alone", total - F.size("shared") - F.size("hot")).withColumn("m", F.col("n") - F.ceil(F.col("n") * threshold / 100).cast("int"))
     kept = checkpoint(lacks.filter((F.col("packed") < 0) | (F.col("alone") <= F.col("m"))))
     if kept.filter("packed < 0").head(1):
         return None
-    order = F.concat(F.transform(F.array_sort("shared"), lambda x: x["gram"]), F.array_sort("hot"))
-    return kept.select("key", "n", F.slice(order, F.lit(1), F.col("m") + 1 - F.col("alone")).alias("grams"))
+    grams, want = F.transform(F.array_sort("shared"), lambda x: x["gram"]), F.col("m") + 1 - F.col("alone")
+    return kept.select("key", "n", F.slice(grams, F.lit(1), want).alias("grams"), F.slice(F.array_sort("hot"), F.lit(1), F.greatest(want - F.size("shared"), F.lit(0))).alias("hot"))
 
 
 def placed(postings: DataFrame, threshold: int, *more: str) -> DataFrame:
-    """(gram, class, key, n): sizes fall into classes as wide as the threshold allows (and a little more), so two linked texts are
-    of one class or of neighbouring ones; each text stands in its class and the next."""
+    """(gram, hot, class, key, n): sizes fall into classes as wide as the threshold allows (and a little more), so two linked texts
+    are of one class or of neighbouring ones."""
     size = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / threshold) + 1e-6)).cast("int")
-    each = postings.select(F.explode("grams").alias("gram"), "key", "n", *more)
-    return each.select("gram", F.explode(F.array(size, size + 1)).alias("class"), "key", "n", *more)
+    marked = lambda name, hot: F.transform(name, lambda g: F.struct(g.alias("gram"), F.lit(hot).alias("hot")))
+    each = postings.select(F.explode(F.concat(marked("grams", False), marked("hot", True))).alias("x"), size.alias("class"), "key", "n", *more)
+    return each.select("x.gram", "x.hot", "class", "key", "n", *more)
 
 
 def clusters(places: DataFrame) -> DataFrame:
     """(key, n, cluster) of texts that share a prefix n-gram with another text of a size that allows a link.
 
-    The first text of each n-gram and class is its centre: stars connect as well as all pairs do.  A text goes with the least of
-    its centres; only the centres and what texts link among them make a graph, so copies of a text add nothing to it.
+    The first text of each n-gram and pair of neighbouring classes is a centre: stars connect as well as all pairs do.  A text goes with
+    the least of its centres; only the centres and what texts link among them make a graph, so copies of a text add nothing to it.
+    An n-gram that is not hot has few enough texts to be gone through in one task; centres of hot ones are aggregated and joined.
     """
-    firsts = places.groupBy("gram", "class").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
-    # the aggregate above is one row an n-gram and class, so AQE can split the rows of a frequent one in the join
-    met = places.join(firsts, ["gram", "class"]).groupBy("key", "n").agg(F.collect_set("first").alias("firsts"))
+    gram = Window.partitionBy("gram").orderBy("class")
+    ends = lambda low, high: F.struct(F.min("key").over(gram.rangeBetween(low, high)).alias("first"), F.max("key").over(gram.rangeBetween(low, high)).alias("last"))
+    cold = places.filter(~F.col("hot")).select("key", "n", F.array(ends(-1, 0), ends(0, 1)).alias("x"))
+    cold = cold.select("key", "n", F.explode(F.transform(F.filter("x", lambda x: x["first"] < x["last"]), lambda x: x["first"])).alias("first"))
+    both = places.filter("hot").select("gram", F.explode(F.array("class", F.col("class") + 1)).alias("class"), "key", "n")
+    firsts = both.groupBy("gram", "class").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
+    # the aggregate above is one row an n-gram and class, so AQE can split the rows of a hot one in the join
+    met = cold.unionAll(both.join(firsts, ["gram", "class"]).select("key", "n", "first")).groupBy("key", "n").agg(F.collect_set("first").alias("firsts"))
     met = checkpoint(met.select("key", "n", F.array_min("firsts").alias("least"), F.array_remove("firsts", F.array_min("firsts")).alias("firsts")))
     found = components(met.select("least", F.explode("firsts").alias("a")).select("a", F.col("least").alias("b")).distinct())
     return met.join(found.withColumnRenamed("key", "least"), "least", "left").select("key", "n", F.coalesce("label", "least").alias("cluster"))
@@ -404,8 +413,8 @@ def _forest(verifier: Verifier, postings: DataFrame) -> DataFrame:
         return forest
     # what is left to compare: texts of different components that share a prefix n-gram
     places = placed(postings.join(large.select("key", "label"), "key"), threshold, "label")
-    mixed = places.groupBy("gram", "class").agg(F.min("label").alias("one"), F.max("label").alias("two")).filter("one < two").select("gram", "class")
-    rest = clusters(places.join(mixed, ["gram", "class"]).drop("label")).join(large.select("key", "label"), "key")
+    mixed = places.groupBy("gram").agg(F.min("label").alias("one"), F.max("label").alias("two")).filter("one < two").select("gram")
+    rest = clusters(places.join(mixed, "gram").drop("label")).join(large.select("key", "label"), "key")
     return forest.unionAll(verifier.join(verifier.blocks(rest, 1), cross=True))
 
 
