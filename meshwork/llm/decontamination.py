@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as k
-from .shared import Packed, checkpoint
+from .shared import Packed, checkpoint, small_batches
 
 WINDOW = 10
 _HITS = "spans array<struct<start:int,end:int>>, items array<string>"
@@ -199,6 +199,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", ke
 
 def _find(rows: DataFrame, columns: list[str], benchmark: DataFrame, item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_index_bytes: int = 128 << 20) -> DataFrame:
     """rows (columns, __text) with what find_benchmark() adds."""
+    small_batches(rows.sparkSession)
     items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("string").alias("t"))
     total = items.mapInArrow(k.task(_sizes), "size long").agg(F.sum("size")).head()[0] or 0
     parts = -(-total // max_index_bytes) or 1

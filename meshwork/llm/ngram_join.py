@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from meshwork.plans.contraction import components
 
 from . import textkernel as k
-from .shared import Scratch, checkpoint, partitions
+from .shared import Scratch, checkpoint, partitions, small_batches
 
 #: By threshold: band edges (set sizes) and, for each band, the share of the hash space in 1/8.  A share has to be well above
 #: what a set can lack; below the last threshold everything is used.
@@ -430,6 +430,7 @@ def text_key(t: Column, shared: list[int]) -> Column:
 
 def _scan(docs: DataFrame, text: str, keys: tuple[str, ...], size: int, threshold: int, bands: tuple) -> tuple[DataFrame, np.ndarray, list[int]]:
     """(row, key, n) of each row, hot n-grams, and hashes that different texts share (n * n / 2**65 of n texts are to be expected)."""
+    small_batches(docs.sparkSession)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     row = F.struct(*(F.col(c) for c in keys))
     data = docs.select(F.struct(row.alias("row"), text_hash(t, 1).alias("other")).alias("row"), text_hash(t, 0).alias("key"), t.alias("text"))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as k
+from .shared import small_batches
 
 MARK = 0x2581
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -382,6 +383,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = (
     The sample of a row depends on its keys (or ``seed``, a long), its text, the model and the temperature alone; repeated rows are
     sampled alike.  A null text has null ids; an empty one none.  Columns that are called ids or lossless are replaced.
     """
+    small_batches(docs.sparkSession)
     columns = [c for c in dict.fromkeys([*keys, *carry]) if c not in ("ids", "lossless")]
     kinds_of = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     kinds = ", ".join(f"`{c}` {kinds_of[c]}" for c in columns)

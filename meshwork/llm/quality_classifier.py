@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as k
-from .shared import checkpoint
+from .shared import checkpoint, small_batches
 
 THRESHOLD = 0.7
 
@@ -144,6 +144,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column | None = No
     key is null, teach nothing, and a label that is given twice teaches once (two different labels of a key teach both classes).  A score depends on the text alone: null counts as empty, an empty text has a score like
     any other, repeated rows score alike.  With labels of one class only, or none, all scores are that class, or 0.5.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     vectors = checkpoint(docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(k.task(_vectors([key])), f"`{key}` {kind}, __x array<double>"))
     model = train_model(vectors, labels, key, label, F.lit(True) if train is None else train, shrink, ridge)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as k
-from .shared import Packed, checkpoint
+from .shared import Packed, checkpoint, small_batches
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -121,6 +121,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
     than the named ones do not matter.  The lines over the limit go to the tasks as a broadcast set of hashes if they are at most
     ``max_broadcast`` (16 bytes each), which are counted; beyond that they are joined, with the same result.
     """
+    small_batches(docs.sparkSession)
     names = [*keys, *(x.split()[0] for x in _FEATURES.split(", "))]
     data = docs.select(*(F.col(c) for c in keys), F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
@@ -137,6 +138,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
 
 def keep_documents(docs: DataFrame, text: str = "text", host: str = "source", line_limit: int = 20, keep_share: float = 0.15, max_broadcast: int = 2_000_000) -> DataFrame:
     """The rows of docs that quality_rules() keeps, as they are; texts are scanned twice and not shuffled."""
+    small_batches(docs.sparkSession)
     names = [x.split()[0] for x in _FEATURES.split(", ")]
     data = docs.select(F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
     found = checkpoint(data.mapInArrow(k.task(_scan("__text", "__host", names)), _FEATURES).select(*_TEXT, "lines", "line_words"))
@@ -206,6 +208,7 @@ def remove_frequent_lines(docs: DataFrame, text: str = "text", host: str = "sour
     Null texts stay null, null hosts are one host, and an empty table gives an empty one.  The lines are broadcast as in
     quality_rules(), or, if they are too many, each document is joined with those of its own lines that go.
     """
+    small_batches(docs.sparkSession)
     names = [x.split()[0] for x in _FEATURES.split(", ")]
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).cast("string").alias("__text"), F.col(host).cast("string").alias("__host"))
     found = checkpoint(rows.drop("__row").mapInArrow(k.task(_scan("__text", "__host", names)), _FEATURES).select(*_TEXT, "lines", "line_words"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshwork.session import Scratch, delete_folder, shared_folder
 
-__all__ = ["Packed", "Scratch", "checkpoint", "delete_folder", "lower_ascii", "partitions", "ranked", "shared_folder"]
+__all__ = ["Packed", "Scratch", "checkpoint", "delete_folder", "lower_ascii", "partitions", "ranked", "shared_folder", "small_batches"]
 
 
 class Packed:
@@ -32,6 +32,15 @@ class Packed:
         return rows.select(*(body.alias(c) if c == self.text else F.col("__row")[self.fields[c]].alias(c) for c in self.docs.columns))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets texts go to Python workers in Arrow batches of 4 MB, unless the session asks for less: a batch is held by the executor's
+    Arrow buffers and by the worker, and the kernels work in slices of 0.5 MB anyway."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key).removesuffix("b")
+    if not held.isdigit() or not 0 < int(held) <= 4 << 20:
+        spark.conf.set(key, str(4 << 20))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A copy in the shared folder, with its lineage cut, which survives the loss of executors."""
     shared_folder(df.sparkSession)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as k
+from .shared import small_batches
 
 MARK = "▁"  # stands for a space in SentencePiece models
 TOP = 1024  # pre-tokens that a task reports
@@ -148,6 +149,7 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", text: str
     have none; repeated rows count alike; other columns do not matter; ``model`` is a file name of the
     public_tokenizers package or a path that all workers have.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, text, model))
     names = [*keys, "n_bytes", "n_tokens", "over_limit"]
 
