@@ -157,7 +157,10 @@ def _sizes(size: int, threshold: int, bands: tuple):
 
 
 def _grams(size: int, threshold: int, bands: tuple, shared):
-    """(key, n, band, total, grams, hot): n-grams of each new key, the hot ones apart, and how many of both; total is null if that isn't safe."""
+    """(key, n, band, total, grams, hot): n-grams of each new key that are not hot, and their number (null if the band isn't safe).
+
+    hot: the first hot ones, as many as a prefix takes in if all others come before them; none, for most texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -175,8 +178,8 @@ def _grams(size: int, threshold: int, bands: tuple, shared):
                         seen.add(key)
                     for band, grams in band_grams(h[edges[i] : edges[i + 1]], threshold, bands):
                         known = k.member(grams, hot)
-                        safe = len(grams) > n - -(-threshold * n // 100)
-                        out.append((key, n, band, len(grams) if safe else None, grams[~known].view(np.int64), grams[known].view(np.int64)))
+                        cold, lack = grams[~known], n - -(-threshold * n // 100)
+                        out.append((key, n, band, len(cold) if len(grams) > lack else None, cold.view(np.int64), np.sort(grams[known])[: max(0, lack + 1 - len(cold))].view(np.int64)))
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)], ["key", "n", "band", "total", "grams", "hot"])
 
@@ -188,7 +191,8 @@ def prefixes(texts: DataFrame, size: int, threshold: int, bands: tuple, hot: np.
 
     N-grams known to be hot come last in the order, and their rows are not gathered to be counted; as HOT of them are known, any other
     has less than one in HOT of all rows, which is the most that one key brings to a task.  Every n-gram is dealt once, to be
-    counted; only those that several texts have go on, as a text's other n-grams are what they lack of its total.
+    counted; only those that several texts have go on, as a text's other n-grams
+    are what they lack of its total.
     """
     shared = texts.sparkSession.sparkContext.broadcast(hot)  # HOT at most
     found = texts.mapInArrow(k.task(_grams(size, threshold, bands, shared)), "key long, n int, band int, total int, grams array<long>, hot array<long>")
@@ -205,12 +209,12 @@ def prefixes(texts: DataFrame, size: int, threshold: int, bands: tuple, hot: np.
     # dealt as plain rows: sets that were begun before the shuffle would hold an n-gram or two each, and be twice as large
     by_text = counted.repartition("key").groupBy("key", "packed").agg(F.collect_set(F.when(F.col("gram").isNotNull(), F.struct("df", "gram"))).alias("shared"), F.coalesce(F.first("hot", ignorenulls=True), F.array().cast("array<long>")).alias("hot"))
     n, total = F.shiftright("packed", 34).cast("int"), F.shiftright("packed", 3).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-    lacks = by_text.withColumn("n", n).withColumn("alone", total - F.size("shared") - F.size("hot")).withColumn("m", F.col("n") - F.ceil(F.col("n") * threshold / 100).cast("int"))
+    lacks = by_text.withColumn("n", n).withColumn("alone", total - F.size("shared")).withColumn("m", F.col("n") - F.ceil(F.col("n") * threshold / 100).cast("int"))
     kept = checkpoint(lacks.filter((F.col("packed") < 0) | (F.col("alone") <= F.col("m"))))
     if kept.filter("packed < 0").head(1):
         return None
-    grams, want = F.transform(F.array_sort("shared"), lambda x: x["gram"]), F.col("m") + 1 - F.col("alone")
-    return kept.select("key", "n", F.slice(grams, F.lit(1), want).alias("grams"), F.slice(F.array_sort("hot"), F.lit(1), F.greatest(want - F.size("shared"), F.lit(0))).alias("hot"))
+    grams = F.transform(F.array_sort("shared"), lambda x: x["gram"])
+    return kept.select("key", "n", F.slice(grams, F.lit(1), F.col("m") + 1 - F.col("alone")).alias("grams"), "hot")
 
 
 def placed(postings: DataFrame, threshold: int, *more: str) -> DataFrame:
