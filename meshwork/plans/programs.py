@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from meshwork.operators.graph import Graph
 from meshwork.session import Scratch
 
-from . import contraction
+from . import contraction, sketches
 from .gimv import Context, Program, Result, run
 
 DAMPING = 0.85
@@ -110,22 +110,31 @@ def contracted_components(graph: Graph) -> DataFrame:
 def neighbourhood(graph: Graph, max_iter: int = -1, log_size: int = 10) -> list[float]:
     """Estimated pairs (from, to) of vertices within 0, 1, 2, ... edges of each other, until no more come, by a sketch a vertex.
 
-    A round merges the sketches of a vertex's successors into its own.  A sketch has at most 2**log_size bytes and little more, and errs by
-    some 1.04 / sqrt(2**log_size).
+    A round merges the sketches of a vertex's successors into its own (sketches.py); the last one is that in which no sketch changes.  A
+    sketch has 2**log_size bytes (log_size: 4 to 21), and errs by some 1.04 / sqrt(2**log_size).
     """
+    if not 4 <= log_size <= 21:
+        raise ValueError(f"log_size must be from 4 to 21, not {log_size}")
     scratch = Scratch(graph.edges.sparkSession)
-    edges = scratch.write(graph.edges.select("src", "dst").distinct())
-    state = scratch.write(graph.vertices().groupBy("id").agg(F.hll_sketch_agg("id", log_size).alias("sketch")))
-    pairs: list[float] = []
-    while True:
-        total = float(state.agg(F.sum(F.hll_sketch_estimate("sketch"))).head()[0] or 0)
-        if (pairs and total <= pairs[-1]) or (0 <= max_iter <= len(pairs) - 1):
-            break
-        pairs.append(total)
-        heard = edges.join(state.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "sketch")
-        state = scratch.write(state.unionAll(heard).groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch")))
-    scratch.clear()
-    return pairs
+    try:
+        edges = scratch.write(graph.edges.select("src", "dst").distinct())
+        n = Graph(edges).num_vertices()
+        if not n:
+            return [0.0]
+        blocks = sketches.block_count(n, log_size)
+        state = scratch.write(sketches.first(edges, n, blocks, log_size))
+        pairs = [math.fsum(r.total for r in state.select("total").collect())]  # a row a block
+        scratch.keep_last()
+        while not 0 <= max_iter < len(pairs):
+            state = scratch.write(sketches.after(state, blocks, log_size))
+            scratch.keep_last()
+            seen = state.select("total", "changed").collect()
+            if not any(r.changed for r in seen):
+                break
+            pairs.append(math.fsum(r.total for r in seen))
+        return pairs
+    finally:
+        scratch.clear()
 
 
 def effective_diameter(pairs: list[float], share: float = 0.9) -> float:

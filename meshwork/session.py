@@ -50,7 +50,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.tables = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+        self.spark, self.folder, self.tables, self.kept = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0, 1
 
     def path(self) -> str:
         self.tables += 1
@@ -61,5 +61,13 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_last(self) -> None:
+        """Deletes all tables but the last, and lets Spark drop the shuffle files that nothing refers to any more, which otherwise stay
+        until the driver happens to collect its garbage: a loop whose tables are large needs room for a round, not for all of them."""
+        for number in range(self.kept, self.tables):
+            delete_folder(self.spark, f"{self.folder}/{number}")
+        self.kept = self.tables
+        self.spark.sparkContext._jvm.System.gc()
+
     def clear(self) -> None:
         delete_folder(self.spark, self.folder)

@@ -1,11 +1,13 @@
 import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from meshwork.operators.graph import Graph, top_k
-from meshwork.plans import gimv, programs
+from meshwork.plans import gimv, programs, sketches
+from meshwork.session import Scratch
 
 EDGES = [(0, 1, 1.0), (0, 2, 4.0), (1, 2, 2.0), (2, 0, 1.0), (3, 2, 1.0), (3, 3, 0.5), (5, 6, 3.0), (5, 6, 2.0)]
 INF = None
@@ -171,3 +173,29 @@ def test_neighbourhood(spark):
     assert len(got) == len(exact) and all(abs(a - b) <= 0.02 * b for a, b in zip(got, exact, strict=True))
     assert programs.neighbourhood(g, 1, 12) == got[:2]
     assert programs.effective_diameter([10.0, 20.0, 40.0]) == 1.8 and programs.effective_diameter([3.0]) == 0.0 and math.isnan(programs.effective_diameter([]))
+
+
+def test_neighbourhood_room(spark, monkeypatch):
+    """However many rounds there are, tables of rounds that are over go; many small blocks give what one gives."""
+    chain = Graph.of(spark.createDataFrame([(i, i + 1) for i in range(11)] + [(11, 9), (3, 3), (0, 1)], "src long, dst long"))
+    write, seen = Scratch.write, []
+
+    def watched(self, df):
+        out = write(self, df)
+        seen.append(len([f for f in os.listdir(self.folder.removeprefix("file:")) if f.isdigit()]))
+        return out
+
+    monkeypatch.setattr(Scratch, "write", watched)
+    got = programs.neighbourhood(chain, 5, 12)
+    # of vertices 0 to 11, those within 0 to 5 edges; 9, 10 and 11 are a ring
+    assert [round(x) for x in got] == [12, 24, 36, 45, 53, 60]
+    assert len(seen) >= 6 and max(seen) <= 2
+    monkeypatch.setattr(sketches, "block_count", lambda n, log_size: 5)
+    assert programs.neighbourhood(chain, 5, 12) == pytest.approx(got)
+
+
+def test_neighbourhood_hub(spark):
+    """A vertex that many blocks hear of, and one that hears of them all."""
+    spokes = [(i, 0) for i in range(1, 1200)] + [(1200, i) for i in range(1, 1200)]
+    got = programs.neighbourhood(Graph.of(spark.createDataFrame(spokes, "src long, dst long")), log_size=14)
+    assert got == pytest.approx([1201, 1201 + 2 * 1199, 1202 + 2 * 1199], rel=0.02) and programs.neighbourhood(Graph.of(spark.createDataFrame([], "src long, dst long"))) == [0.0]
